@@ -1,0 +1,50 @@
+"""Intermediate tables in the folder that driver and executors share.
+
+A cluster names that folder in ``spark.checkpoint.dir``. It is read from the session; only
+where it is unset (local tests) a temporary folder of this machine is used instead.
+"""
+
+from __future__ import annotations
+
+import atexit
+import functools
+import tempfile
+import uuid
+
+from pyspark.sql import DataFrame, SparkSession
+
+
+@functools.cache
+def _local_root() -> str:
+    return "file://" + tempfile.mkdtemp(prefix="kilnwork-")
+
+
+def shared_root(spark: SparkSession) -> str:
+    """The shared folder of this session, without a slash at its end."""
+    named = spark.conf.get("spark.checkpoint.dir", None)
+    return (named or _local_root()).rstrip("/")
+
+
+def _forget(spark: SparkSession, path: str) -> None:
+    try:
+        jvm = spark.sparkContext._jvm
+        target = jvm.org.apache.hadoop.fs.Path(path)
+        target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
+    except Exception:  # the session may have ended already; the folder is scratch space
+        pass
+
+
+def scratch_path(spark: SparkSession, name: str) -> str:
+    """A fresh path in the shared folder, removed when this Python process ends."""
+    path = f"{shared_root(spark)}/kilnwork-{name}-{uuid.uuid4().hex}"
+    atexit.register(_forget, spark, path)
+    return path
+
+
+def saved(df: DataFrame, name: str) -> DataFrame:
+    """Write ``df`` once to the shared folder and read it back: it cuts the lineage, and a lost
+    executor costs only the tasks that ran there."""
+    spark = df.sparkSession
+    path = scratch_path(spark, name)
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
