@@ -49,8 +49,14 @@ def op5_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_lines", "n_dropped", F.sha2("text", 256).alias("kept_sha256"))
 
 
+def op8_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .simhash import simhash_groups
+
+    return simhash_groups(_read(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (op1_best_fit_packing, op3_byte_bpe, op4_exact_dedup, op5_line_dedup)}
+    return {f.__name__: f for f in (op1_best_fit_packing, op3_byte_bpe, op4_exact_dedup, op5_line_dedup, op8_simhash)}
 
 
 #: ASCII white space as DuckDB string and regular-expression text.

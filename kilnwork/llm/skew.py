@@ -8,14 +8,15 @@ from pyspark.sql import DataFrame, functions as F
 KEY_ROWS, HOT_KEYS = 256, 65_536
 
 
-def salted_lookup(rows: DataFrame, table: DataFrame, keys: list[str], weight: str, spread: str, how: str = "inner") -> DataFrame:
+def salted_lookup(rows: DataFrame, table: DataFrame, keys: list[str], weight: str, spread: str, how: str = "inner", total: int | None = None) -> DataFrame:
     """Join ``rows`` with ``table`` (one row per key, ``weight`` = how many rows have that key).
 
     A key with more rows than ``cap`` is dealt over several salts by ``spread``, and its table row
     is repeated once per salt. As the weights sum to the rows, at most rows / cap keys are hot;
     ``cap`` grows with the rows so that the broadcast list of hot keys never exceeds HOT_KEYS.
     """
-    total = table.agg(F.sum(weight)).first()[0] or 0
+    if total is None:  # at least the sum of the weights
+        total = table.agg(F.sum(weight)).first()[0] or 0
     cap = max(KEY_ROWS, -(-total // HOT_KEYS))
     splits = F.ceil(F.col(weight) / F.lit(cap)).cast("int")
     hot = table.filter(F.col(weight) > cap).select(*keys, splits.alias("_splits"))
