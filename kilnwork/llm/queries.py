@@ -55,8 +55,51 @@ def op8_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash_groups(_read(spark, sf_dir, "documents"))
 
 
+def op2_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .quality import quality_scores
+
+    return quality_scores(_read(spark, sf_dir, "documents"), _read(spark, sf_dir, "labels"))
+
+
+def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .rules import quality_rules
+
+    out, _ = quality_rules(_read(spark, sf_dir, "documents"), _read(spark, sf_dir, "labels"))
+    return out.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "rule")
+
+
+def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .langid import held_out, predict, train
+
+    docs = _read(spark, sf_dir, "documents").withColumn("held_out", held_out(F.col("doc_id")))
+    model = train(docs.filter(~F.col("held_out")))
+    return predict(docs.select("doc_id", "held_out", "text"), model).select("doc_id", "held_out", "lang_pred", "score")
+
+
+def op9_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .licenses import license_scan
+
+    return license_scan(_read(spark, sf_dir, "documents"))
+
+
+def op10_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .urlfilter import url_filter
+
+    return url_filter(_read(spark, sf_dir, "pages").select("page_id", "url")).select("page_id", "host", "path", "rule", "verdict", "llr")
+
+
+def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import corpus_pipeline
+
+    return corpus_pipeline.run(spark, sf_dir)
+
+
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (op1_best_fit_packing, op3_byte_bpe, op4_exact_dedup, op5_line_dedup, op8_simhash)}
+    named = (
+        op1_best_fit_packing, op2_quality_classifier, op3_byte_bpe, op4_exact_dedup, op5_line_dedup, op6_quality_rules,
+        op7_language_id, op8_simhash, op9_license_scan, op10_url_filter, pipeline,
+    )
+    return {f.__name__: f for f in named}
 
 
 #: ASCII white space as DuckDB string and regular-expression text.
