@@ -7,11 +7,14 @@ import functools
 import re
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 #: Texts are encoded in stretches of about so many characters.
 STRETCH = 100_000
+#: Rows whose ids are held at a time, and in one batch that goes back.
+ROWS = 500
 #: A letter before one space: no match of the pattern spans these two, and what follows the
 #: space never depends on what is before it.
 SAFE = re.compile(r"(?<=[^\W\d_])(?= )")
@@ -45,12 +48,12 @@ def encode(docs: DataFrame, ranks: str, pattern: str) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc = encoding(ranks, pattern)
         for batch in batches:
-            doc, text = batch.columns
-            ids = []
-            for x in text.to_pylist():
-                x = x or ""
-                ids.append(enc.encode_ordinary(x) if len(x) <= STRETCH else [i for part in stretches(x) for i in enc.encode_ordinary(part)])
-            yield pa.RecordBatch.from_arrays([doc, pa.array(ids, pa.list_(pa.int32()))], ["doc_id", "ids"])
+            for at in range(0, batch.num_rows, ROWS):
+                doc, text = batch.slice(at, ROWS).columns
+                ids = [np.concatenate([enc.encode_to_numpy(part, disallowed_special=()) for part in stretches(x.as_py() or "")]) for x in text]
+                stops = pa.array(np.cumsum([0, *map(len, ids)]), pa.int32())
+                flat = pa.array(np.concatenate(ids).astype(np.int32))
+                yield pa.RecordBatch.from_arrays([doc, pa.ListArray.from_arrays(stops, flat)], ["doc_id", "ids"])
 
     return docs.select("doc_id", F.col("text").cast("string").alias("text")).mapInArrow(run, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, ids array<int>")
 
@@ -63,7 +66,9 @@ def decode(encoded: DataFrame, ranks: str, pattern: str) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc = encoding(ranks, pattern)
         for batch in batches:
-            texts = [enc.decode_bytes(ids or []) for ids in batch.column(at).to_pylist()]
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(texts, pa.binary())], [*batch.schema.names, "decoded"])
+            for i in range(0, batch.num_rows, ROWS):
+                part = batch.slice(i, ROWS)
+                texts = [enc.decode_bytes(ids.values.to_pylist() if ids.is_valid else []) for ids in part.column(at)]
+                yield pa.RecordBatch.from_arrays([*part.columns, pa.array(texts, pa.binary())], [*batch.schema.names, "decoded"])
 
     return encoded.mapInArrow(run, f"{kinds}, decoded binary")
