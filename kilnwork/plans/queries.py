@@ -1,6 +1,6 @@
 """All registered queries outside the llm subpackage."""
 
-from . import table_queries, text_queries  # noqa: F401
+from . import record_queries, table_queries, text_queries  # noqa: F401
 from .base import QUERIES, SQL
 
 __all__ = ["QUERIES", "SQL"]
