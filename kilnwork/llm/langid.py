@@ -124,8 +124,8 @@ def predict(docs: DataFrame, model: tuple[list[str], np.ndarray], text_col: str
         return pa.StructArray.from_arrays([pa.array(found, pa.string()), pa.array(scores, pa.float64())], ["lang_pred", "score"])
 
     rest = [c for c in docs.columns if c not in ("lang_pred", "score")]
-    out = docs.select(*rest, guess(F.col(text_col).cast("string")).alias("_guess"))
-    return out.select(*rest, "_guess.lang_pred", "_guess.score")
+    out = docs.select(*rest, guess(F.col(text_col).cast("string")).alias("_kilnwork_guess"))
+    return out.select(*rest, "_kilnwork_guess.lang_pred", "_kilnwork_guess.score")
 
 
 def held_out(doc_id):

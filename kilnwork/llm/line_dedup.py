@@ -61,6 +61,7 @@ def line_dedup(docs: DataFrame, min_chars: int = 20, min_docs: int = 3) -> DataF
             dropped.append(len(lines) - len(kept))
         return pa.StructArray.from_arrays([pa.array(texts, pa.string()), pa.array(counts, pa.int64()), pa.array(dropped, pa.int64())], ["text", "n_lines", "n_dropped"])
 
-    rest = [c for c in docs.columns if c not in ("text", "n_lines", "n_dropped")]
-    joined = docs.select(*rest, text).join(drops.hint("shuffle_hash"), "doc_id", "left").withColumn("_cut", cut("text", "_drops"))
-    return joined.select(*[F.col("_cut.text").alias("text") if c == "text" else F.col(c) for c in docs.columns if c not in ("n_lines", "n_dropped")], "_cut.n_lines", "_cut.n_dropped")
+    columns = [c for c in docs.columns if c not in ("n_lines", "n_dropped")]
+    rows = docs.select("doc_id", text, F.struct(*(c for c in columns if c != "text"), F.lit(None).alias("_kilnwork")).alias("_row"))
+    joined = rows.join(drops.hint("shuffle_hash"), "doc_id", "left").withColumn("_cut", cut("text", "_drops"))
+    return joined.select(*(F.col("_cut.text") if c == "text" else F.col(f"_row.`{c}`") for c in columns), "_cut.n_lines", "_cut.n_dropped")

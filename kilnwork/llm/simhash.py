@@ -170,6 +170,6 @@ def simhash_groups(docs: DataFrame, bits: int = 4, posting_rows: int = POSTING_R
 
 
 def drop_near_duplicates(docs: DataFrame, bits: int = 4) -> DataFrame:
-    """The rows of ``docs`` whose doc_id is the smallest of its group, with all their columns."""
+    """The rows of ``docs`` whose doc_id is the smallest of its group, with all their columns. Rows without doc_id go."""
     keep = simhash_groups(docs.select("doc_id", "text"), bits).filter("doc_id = component_id").select("doc_id").distinct()
     return docs.join(keep, "doc_id", "left_semi")
