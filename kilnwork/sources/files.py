@@ -24,15 +24,11 @@ def read_json_lines(spark: SparkSession, path: str, schema: StructType | str, st
 
 
 def read_json_any(spark: SparkSession, path: str, schema: StructType | str) -> DataFrame:
-    """One JSON array or document, or JSON lines: told apart by the first character that says so."""
-    first = spark.read.text(path, wholetext=True).select(F.substring(F.ltrim("value"), 1, 1).alias("c"), F.size(F.split(F.trim("value"), "\n")).alias("n")).first()
-    whole = first is not None and (first.c == "[" or first.n > 1 and spark.read.schema(schema).json(path).filter("false").count() == 0 and first.c == "{" and _is_document(spark, path))
-    return spark.read.schema(schema).option("multiLine", bool(whole)).json(path)
-
-
-def _is_document(spark: SparkSession, path: str) -> bool:
-    """Whether the whole file is one JSON object."""
-    return bool(spark.read.text(path, wholetext=True).select(F.try_parse_json("value").isNotNull().alias("ok")).first().ok)
+    """One JSON array or document, or JSON lines: lines if the first one that is not blank is an
+    object by itself."""
+    line = spark.read.text(path).filter(F.trim("value") != "")
+    first = line.select((F.trim("value").startswith("{") & F.try_parse_json("value").isNotNull()).alias("whole")).first()
+    return spark.read.schema(schema).option("multiLine", not (first is None or first.whole)).json(path)
 
 
 def read_text_files(spark: SparkSession, path: str, glob: str = "*", ignored: Sequence[str] = IGNORED) -> DataFrame:
