@@ -93,10 +93,14 @@ def license_scan(docs: DataFrame, templates: dict[str, str] | None = None, least
         table |= {r.license: (r.sh, r.bands) for r in part.collect() if sizes.get(r.license) == k}
     banded = spark.createDataFrame([(name, len(spelled[name]), list(sh), b, h) for name, (sh, bands) in table.items() for b, h in enumerate(bands)], "license string, n int, template array<bigint>, band int, hash long")
 
-    low = F.lower(F.col("text").cast("string"))
-    maybe = F.lit(False)
-    for a in anchors:
-        maybe |= F.contains(low, F.lit(a))
+    def has_anchor(low):
+        maybe = F.lit(False)
+        for a in anchors:
+            maybe |= F.contains(low, F.lit(a))
+        return maybe & low.rlike(rf"(?<![\p{{L}}\p{{N}}])({'|'.join(anchors)})(?![\p{{L}}\p{{N}}])")
+
+    # exists binds the lower-cased text, which a plain filter would compute for every anchor
+    maybe = F.exists(F.array(F.lower(F.col("text").cast("string"))), has_anchor)
     lengths = sorted({len(w) for w in spelled.values()})
     shingle_sizes = sorted(set(sizes.values()))
     hashed = docs.filter(maybe).select("doc_id", *(_shingles(_words(F.col("text").cast("string")), k).alias(f"h{k}") for k in shingle_sizes))
