@@ -18,6 +18,10 @@ ROWS = 500
 #: A letter before one space: no match of the pattern spans these two, and what follows the
 #: space never depends on what is before it.
 SAFE = re.compile(r"(?<=[^\W\d_])(?= )")
+#: Runs of white space (as the pattern's \\s has it) that the regular expression would have to
+#: back up over one by one.
+SPACES = "[\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]"
+LONG_SPACE = re.compile(SPACES + "{2000,}")
 
 
 @functools.cache
@@ -41,6 +45,21 @@ def stretches(text: str, size: int = STRETCH) -> Iterator[str]:
     yield text[start:]
 
 
+def token_ids(enc, text: str, size: int = STRETCH, long_space: re.Pattern = LONG_SPACE) -> np.ndarray:
+    """Ids of a whole text. A long run of white space is one match of the pattern up to its last
+    character, or with it at the end of the text: it is encoded as such, without the search."""
+    ids = []
+    for part in stretches(text, size):
+        start = 0
+        for run in long_space.finditer(part):
+            stop = run.end() - (run.end() < len(part))  # only the text's end ends a stretch in white space
+            ids.append(enc.encode_to_numpy(part[start : run.start()], disallowed_special=()))
+            ids.append(np.array(enc._encode_single_piece(part[run.start() : stop]), dtype=np.uint32))
+            start = stop
+        ids.append(enc.encode_to_numpy(part[start:], disallowed_special=()))
+    return np.concatenate(ids)
+
+
 def encode(docs: DataFrame, ranks: str, pattern: str) -> DataFrame:
     """doc_id and ids (array of int) of each text; null counts as empty, and an empty text has no
     ids. Special tokens are ordinary text. Extra columns are left out; repeated rows stay."""
@@ -50,7 +69,7 @@ def encode(docs: DataFrame, ranks: str, pattern: str) -> DataFrame:
         for batch in batches:
             for at in range(0, batch.num_rows, ROWS):
                 doc, text = batch.slice(at, ROWS).columns
-                ids = [np.concatenate([enc.encode_to_numpy(part, disallowed_special=()) for part in stretches(x.as_py() or "")]) for x in text]
+                ids = [token_ids(enc, x.as_py() or "") for x in text]
                 stops = pa.array(np.cumsum([0, *map(len, ids)]), pa.int32())
                 flat = pa.array(np.concatenate(ids).astype(np.int32))
                 yield pa.RecordBatch.from_arrays([doc, pa.ListArray.from_arrays(stops, flat)], ["doc_id", "ids"])

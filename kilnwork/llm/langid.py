@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, functions as F
 #: Hash bins, and lengths of n-grams in code points.
 BINS, LENGTHS = 1 << 16, (1, 2, 3)
 #: Labelled rows that counts are learned from at most, and languages.
-TRAIN_ROWS, MAX_LANGUAGES = 20_000, 500
+TRAIN_ROWS, MAX_LANGUAGES = 20_000, 100
 #: Code points that are worked on at a time.
 BLOCK = 1 << 20
 UNKNOWN = "und"
@@ -66,7 +66,9 @@ def train(labelled: DataFrame, bins: int = BINS, max_rows: int = TRAIN_ROWS) ->
     a hash of the text; each task sums its rows' counts, and only the sums reach the driver.
     """
     labelled = labelled.filter("lang is not null and text is not null").select("text", "lang")
-    n = labelled.count()
+    n, kinds = labelled.agg(F.count("*"), F.count_distinct("lang")).first()
+    if kinds > MAX_LANGUAGES:
+        raise ValueError(f"{kinds} languages; the matrix is made for {MAX_LANGUAGES} at most")
     if n > max_rows:
         labelled = labelled.filter(F.pmod(F.xxhash64("text"), F.lit(1 << 20)) < int((1 << 20) * max_rows / n))
 
@@ -83,8 +85,6 @@ def train(labelled: DataFrame, bins: int = BINS, max_rows: int = TRAIN_ROWS) ->
 
     rows = labelled.mapInArrow(count, "lang string, bin long, n long").groupBy("lang", "bin").agg(F.sum("n").alias("n")).toArrow()
     langs = sorted(set(rows.column("lang").to_pylist()))
-    if len(langs) > MAX_LANGUAGES:
-        raise ValueError(f"{len(langs)} languages; the matrix is made for {MAX_LANGUAGES} at most")
     counts = np.zeros((bins, len(langs)))
     at = {x: i for i, x in enumerate(langs)}
     counts[rows.column("bin").to_numpy(), [at[x] for x in rows.column("lang").to_pylist()]] = rows.column("n").to_numpy()

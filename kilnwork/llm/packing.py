@@ -320,7 +320,7 @@ def pack(parts: DataFrame, capacity: int = 2048) -> DataFrame:
         "_before", F.sum("_n").over(Window.partitionBy("length").orderBy("_salt")) - F.col("_n")
     ).drop("_n")
     ranked = parts.withColumn(
-        "_rank", F.row_number().over(Window.partitionBy("length", "_salt").orderBy("doc_id", "piece")) - 1
+        "_rank", F.row_number().over(Window.partitionBy("length", "_salt").orderBy("doc_id", "piece", F.xxhash64(*columns))) - 1
     )
     ranked = ranked.join(before, ["length", "_salt"]).select(*columns, (F.col("_rank") + F.col("_before")).alias("_rank"))
     shared = parts.sparkSession.sparkContext.broadcast(table)  # a few entries per length

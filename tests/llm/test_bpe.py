@@ -1,9 +1,11 @@
 import hashlib
+import random
+import re
 
 import pytest
 import public_tokenizers
 
-from kilnwork.llm.bpe import SAFE, decode, encode, encoding, stretches
+from kilnwork.llm.bpe import SAFE, SPACES, decode, encode, encoding, stretches, token_ids
 
 RANKS, PATTERN = public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN
 
@@ -25,6 +27,15 @@ def test_stretches_join_to_the_same_ids():
     assert SAFE.search("a b").start() == 1
 
 
+def test_long_runs_of_white_space():
+    enc, rng = encoding(RANKS, PATTERN), random.Random(1)
+    for _ in range(300):
+        text = "".join(rng.choice(["a", "é", "1", "!", "'s", " ", "  ", "\n", "\t\r", "\xa0", "\u3000", "\x1c", "   \n "]) for _ in range(rng.randint(0, 40)))
+        assert token_ids(enc, text, 5, re.compile(SPACES + "{2,}")).tolist() == enc.encode_ordinary(text), repr(text)
+    for text in (" " * 300_000 + "x", "a" + "\n" * 300_000):
+        assert enc.decode_bytes(token_ids(enc, text).tolist()).decode() == text
+
+
 def test_round_trip_with_nulls_repeats_and_extra_columns(spark):
     rows = [(i, t, "x", [1]) for i, t in enumerate(ODD)] + [(1, None, None, None), (None, "same", "y", [2])]
     docs = spark.createDataFrame(rows, "doc_id long, text string, decoded string, ids array<int>")
