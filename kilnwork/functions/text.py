@@ -114,17 +114,26 @@ def token_estimate(text: Column) -> Column:
     return F.greatest(F.lit(1), F.floor(F.length(text) / 4)).cast("long")
 
 
+def query_terms(query: Column) -> Column:
+    return F.filter(F.split(F.lower(query), r"\s+"), lambda t: t != "")
+
+
+def terms_within(terms: Column, low: Column) -> Column:
+    """Share of ``terms`` found anywhere in a text that is in lower case already."""
+    return F.size(F.filter(terms, lambda t: F.contains(low, t))) / F.greatest(F.lit(1), F.size(terms))
+
+
 def term_overlap(query: Column, document: Column) -> Column:
     """Share of the query's words found anywhere in the document; a repeated word counts again."""
-    terms = F.filter(F.split(F.lower(query), r"\s+"), lambda t: t != "")
-    low = F.lower(document)
-    return bind(terms, lambda a: F.size(F.filter(a, lambda t: F.contains(low, t))) / F.greatest(F.lit(1), F.size(a)))
+    return bind(F.lower(document), lambda low: bind(query_terms(query), lambda a: terms_within(a, low)))
 
 
 def leaked_terms(text: Column, terms: Sequence[str] = LEAK_TERMS) -> Column:
     """Terms found with case and underscores ignored, sorted."""
-    flat = F.replace(F.lower(text), F.lit("_"), F.lit(""))
-    return F.array_sort(F.array_compact(F.array(*(F.when(F.contains(flat, F.lit(t.replace("_", ""))), F.lit(t)) for t in terms))))
+    def found(flat):
+        return F.array_sort(F.array_compact(F.array(*(F.when(F.contains(flat, F.lit(t.replace("_", ""))), F.lit(t)) for t in terms))))
+
+    return bind(F.replace(F.lower(text), F.lit("_"), F.lit("")), found)
 
 
 def count_before(text: Column, label: str) -> Column:

@@ -6,7 +6,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from ..functions.text import identifier_tokens, term_overlap
+from ..functions.text import identifier_tokens, query_terms, terms_within
 
 # Weights of the scores.
 FIELD_WEIGHTS = {"issue_summary": 0.40, "failure_signal": 0.25, "patch_summary": 0.20, "changed_files": 0.10, "strategy": 0.05}
@@ -43,10 +43,16 @@ def top_k(scored: DataFrame, query_id: str, score: str, doc_id: str, k: int) ->
     return scored.withColumn("rank", rank).filter(F.col("rank") <= k)
 
 
-def field_score(query: Column, fields: dict[str, Column]) -> Column:
+def _few(queries: DataFrame, most: int = 10_000) -> bool:
+    """Whether queries are few enough to be sent to every task; else the planner chooses."""
+    return queries.limit(most + 1).count() <= most
+
+
+def field_score(terms: Column, low_fields: dict[str, Column]) -> Column:
+    """Weighted shares of the terms that the fields (in lower case) hold."""
     total = F.lit(0.0)
     for name, weight in FIELD_WEIGHTS.items():
-        total = total + weight * term_overlap(query, fields[name])
+        total = total + weight * terms_within(terms, low_fields[name])
     return total
 
 
@@ -57,11 +63,16 @@ def retrieve(queries: DataFrame, query_id: str, text: str, records: DataFrame, r
     small. ``exclude``: columns that queries and records share; a record equal to the query in any
     of them is left out. Records need only their fields, so no text is carried through the sort.
     """
-    asked = queries.select(F.col(query_id).alias("query_id"), F.col(text).alias("_q"), *(F.col(c).alias(f"_x_{c}") for c in exclude))
+    asked = queries.select(F.col(query_id).alias("query_id"), query_terms(F.col(text)).alias("_terms"), *(F.col(c).alias(f"_x_{c}") for c in exclude))
+    low = records.select(record_id, *exclude, *(F.lower(c).alias(f"_f_{n}") for n, c in fields.items()))
+    # the work is in the pairs, so records are dealt by number, not by bytes
+    spark = records.sparkSession
+    low = low.repartition(max(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions"))), record_id)
     allowed = F.lit(True)
     for c in exclude:
         allowed &= ~F.col(c).eqNullSafe(F.col(f"_x_{c}"))
-    scored = records.join(asked, allowed).select("query_id", record_id, F.bround(field_score(F.col("_q"), fields), 6).alias("score"))
+    pairs = low.join(F.broadcast(asked) if _few(asked) else asked, allowed)
+    scored = pairs.select("query_id", record_id, F.bround(field_score(F.col("_terms"), {n: F.col(f"_f_{n}") for n in fields}), 6).alias("score"))
     return top_k(scored, "query_id", "score", record_id, k)
 
 
