@@ -11,7 +11,7 @@ from .base import query
 from .text_queries import _FAILURE, rewards
 
 _PACKED = """SELECT task_id, policy || CASE WHEN task_id % 19 = 0 THEN ' tests_hidden' ELSE '' END AS text, patch, CASE WHEN task_id % 5 = 4 THEN 'eval' ELSE 'train' END AS split FROM run_rewards WHERE has_run
-    UNION ALL SELECT task_id, policy, patch, 'eval' FROM run_rewards WHERE task_id % 23 = 0 AND has_run"""
+    UNION ALL SELECT task_id, policy, patch, 'eval' FROM run_rewards WHERE lang = 'es' AND has_run"""
 
 
 @query(f"""
@@ -25,7 +25,7 @@ def package_gate(t):
     runs = t("run_rewards").filter("has_run")
     text = F.concat("policy", F.when(F.col("task_id") % 19 == 0, " tests_hidden").otherwise(""))
     first = runs.select("task_id", text.alias("text"), "patch", F.when(F.col("task_id") % 5 == 4, "eval").otherwise("train").alias("split"))
-    again = runs.filter("task_id % 23 = 0").select("task_id", F.col("policy").alias("text"), "patch", F.lit("eval").alias("split"))
+    again = runs.filter("lang = 'es'").select("task_id", F.col("policy").alias("text"), "patch", F.lit("eval").alias("split"))
     known = t("labels").filter("quality = 1").select(F.col("doc_id").alias("task_id"))
     return V.package_violations(first.union(again), known, t("documents").select(F.concat(F.lit("src/"), "source", F.lit(".py")).alias("file")))
 

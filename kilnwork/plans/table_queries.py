@@ -80,9 +80,9 @@ def pref_bank(t):
     return S.keep_first(pairs, [F.col("task_id"), F.col("reason"), F.col("patch")], ["ord"], ["ord", "task_id", "policy", "reason"]).select("task_id", "policy", "reason")
 
 
-@query("SELECT l_orderkey, count(*) AS n FROM lineitem WHERE l_orderkey NOT IN (SELECT o_orderkey FROM orders WHERE o_orderkey % 3 <> 0) GROUP BY l_orderkey")
+@query("SELECT l_orderkey, count(*) AS n FROM lineitem WHERE l_orderkey NOT IN (SELECT o_orderkey FROM orders WHERE o_totalprice > 100000) GROUP BY l_orderkey")
 def unknown_key_violations(t):
-    known = t("orders").filter("o_orderkey % 3 <> 0").select(F.col("o_orderkey").alias("l_orderkey"))
+    known = t("orders").filter("o_totalprice > 100000").select(F.col("o_orderkey").alias("l_orderkey"))
     return V.unknown_keys(t("lineitem"), known, "l_orderkey").groupBy("l_orderkey").agg(F.count("*").alias("n"))
 
 
@@ -337,12 +337,12 @@ def repair_guard(t):
 
 
 @query("""
-    WITH m AS (SELECT doc_id AS id, 'manifest' AS origin FROM documents WHERE doc_id % 3 = 0), d AS (SELECT page_id AS id, 'directory' AS origin FROM pages)
+    WITH m AS (SELECT doc_id AS id, 'manifest' AS origin FROM documents WHERE lang = 'en'), d AS (SELECT page_id AS id, 'directory' AS origin FROM pages)
     SELECT id, origin FROM m UNION ALL SELECT id, origin FROM d WHERE id NOT IN (SELECT id FROM m)""")
 def src_manifest_merge(t):
     from ..sources.files import merge_manifests
 
-    manifest = t("documents").filter("doc_id % 3 = 0").select(F.col("doc_id").alias("id"), F.lit("manifest").alias("origin"))
+    manifest = t("documents").filter("lang = 'en'").select(F.col("doc_id").alias("id"), F.lit("manifest").alias("origin"))
     return merge_manifests(manifest, t("pages").select(F.col("page_id").alias("id"), F.lit("directory").alias("origin")), "id")
 
 
@@ -394,9 +394,9 @@ def rel_intersect_all(t):
     return t("customer").select(F.col("c_nationkey").alias("nation")).intersectAll(t("supplier").select("s_nationkey"))
 
 
-@query("SELECT n_nationkey AS nation FROM nation EXCEPT SELECT s_nationkey FROM supplier WHERE s_suppkey % 2 = 0")
+@query("SELECT n_nationkey AS nation FROM nation EXCEPT SELECT s_nationkey FROM supplier WHERE s_acctbal > 7000")
 def rel_except(t):
-    return t("nation").select(F.col("n_nationkey").alias("nation")).subtract(t("supplier").filter("s_suppkey % 2 = 0").select("s_nationkey"))
+    return t("nation").select(F.col("n_nationkey").alias("nation")).subtract(t("supplier").filter("s_acctbal > 7000").select("s_nationkey"))
 
 
 @query("SELECT event_id, round_even(sum(value) OVER (PARTITION BY user_id ORDER BY event_id ROWS BETWEEN 3 PRECEDING AND CURRENT ROW), 4) AS recent FROM events")
