@@ -2,11 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import pyarrow as pa
-import xxhash
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from .skew import salted_lookup
 from .store import saved
@@ -15,11 +11,23 @@ from .store import saved
 BLANK = " \t\n\x0b\x0c\r"
 
 
-def line_key(line: str, min_chars: int) -> bytes | None:
-    """128-bit hash of the line without blanks at its ends and with A-Z in lower case; None for a
-    key of under ``min_chars`` code points."""
-    line = line.strip(BLANK)
-    return xxhash.xxh3_128_digest(line.encode().lower()) if len(line) >= min_chars else None
+def line_key(line: Column) -> Column:
+    """The line without blanks at its ends and with A-Z in lower case."""
+    return F.translate(F.btrim(line, F.lit(BLANK)), "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+
+
+def lines_of(text: Column) -> Column:
+    return F.split(F.coalesce(text, F.lit("")), "\n", -1)
+
+
+def _reassembled(text: Column, gone: Column) -> Column:
+    """The lines of ``text`` whose positions are not in ``gone``, joined in order. The outer
+    transform binds the lines once."""
+    def join(lines):
+        left = F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), gone)
+        return F.array_join(F.transform(left, lambda at: F.get(lines, at)), "\n")
+
+    return F.transform(F.array(lines_of(text)), join)[0]
 
 
 def line_dedup(docs: DataFrame, min_chars: int = 20, min_docs: int = 3) -> DataFrame:
@@ -27,41 +35,29 @@ def line_dedup(docs: DataFrame, min_chars: int = 20, min_docs: int = 3) -> DataF
 
     A key of at least ``min_chars`` code points in at least ``min_docs`` documents loses all its
     lines but those of the largest doc_id that holds it. A null text is one empty line and becomes
-    an empty text. Rows that repeat a doc_id count as one document. A row without doc_id counts
-    for no key and keeps all its lines. Columns n_lines and n_dropped of ``docs`` are replaced;
-    others pass unchanged. An empty table stays empty.
-    """
+    an empty text. Rows that repeat a doc_id count as one document, and each loses its own lines. A
+    row without doc_id counts for no key and keeps all its lines. Texts of any length are read
+    whole. Columns n_lines and n_dropped of ``docs`` are replaced; others pass unchanged. An empty
+    table stays empty.
 
-    def keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            ids, found = [], []
-            for doc, text in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                own = {line_key(x, min_chars) for x in (text or "").split("\n")} - {None} if doc is not None else ()
-                ids += [doc] * len(own)
-                found += own
-            yield pa.RecordBatch.from_arrays([pa.array(ids, batch.schema.field(0).type), pa.array(found, pa.binary())], ["doc_id", "key"])
-
-    kind = docs.schema["doc_id"].dataType.simpleString()
-    text = F.col("text").cast("string").alias("text")
-    held = saved(docs.select("doc_id", text).mapInArrow(keys, f"doc_id {kind}, key binary"), "lines")
-    shared = held.groupBy("key").agg(F.count_distinct("doc_id").alias("n"), F.max("doc_id").alias("keeper"), F.count("*").alias("held")).filter(F.col("n") >= min_docs)
+    Lines are exploded with their positions and a 128-bit hash of their key; documents are counted
+    per hash, and only positions of dropped lines go back to their text.
+    """
+    text = F.col("text").cast("string")
+    exploded = docs.filter("doc_id is not null").select("doc_id", F.xxhash64(text).alias("_h"), F.posexplode(lines_of(text)).alias("pos", "line"))
+    keyed = exploded.select("doc_id", "_h", "pos", line_key(F.col("line")).alias("key")).filter(F.length("key") >= min_chars)
+    held = saved(keyed.select("doc_id", "_h", "pos", F.xxhash64("key").alias("k1"), F.xxhash64(F.lit(1), "key").alias("k2"), F.monotonically_increasing_id().alias("at")), "lines")
+    shared = held.groupBy("k1", "k2").agg(F.count_distinct("doc_id").alias("n"), F.max("doc_id").alias("keeper"), F.count("*").alias("held")).filter(F.col("n") >= min_docs)
     shared = saved(shared, "shared")
-    drops = salted_lookup(held, shared, ["key"], "held", "doc_id").filter("doc_id != keeper")
-    drops = drops.groupBy("doc_id").agg(F.collect_set("key").alias("_drops"))  # at most the lines of a document
-
-    @F.arrow_udf("struct<text string, n_lines long, n_dropped long>")
-    def cut(text: pa.Array, drops: pa.Array) -> pa.Array:
-        texts, counts, dropped = [], [], []
-        for x, gone in zip(text.to_pylist(), drops.to_pylist(), strict=True):
-            lines = (x or "").split("\n")
-            gone = set(gone or ())
-            kept = [y for y in lines if line_key(y, min_chars) not in gone] if gone else lines
-            texts.append("\n".join(kept))
-            counts.append(len(lines))
-            dropped.append(len(lines) - len(kept))
-        return pa.StructArray.from_arrays([pa.array(texts, pa.string()), pa.array(counts, pa.int64()), pa.array(dropped, pa.int64())], ["text", "n_lines", "n_dropped"])
+    drops = salted_lookup(held, shared, ["k1", "k2"], "held", "at").filter("doc_id != keeper")
+    drops = drops.groupBy("doc_id", "_h").agg(F.collect_set("pos").alias("_gone"))  # at most the lines of a document
 
     columns = [c for c in docs.columns if c not in ("n_lines", "n_dropped")]
-    rows = docs.select("doc_id", text, F.struct(*(c for c in columns if c != "text"), F.lit(None).alias("_kilnwork")).alias("_row"))
-    joined = rows.join(drops.hint("shuffle_hash"), "doc_id", "left").withColumn("_cut", cut("text", "_drops"))
-    return joined.select(*(F.col("_cut.text") if c == "text" else F.col(f"_row.`{c}`") for c in columns), "_cut.n_lines", "_cut.n_dropped")
+    rows = docs.select("doc_id", F.xxhash64(text).alias("_h"), text.alias("text"), F.struct(*(c for c in columns if c != "text"), F.lit(None).alias("_kilnwork")).alias("_row"))
+    joined = rows.join(drops, ["doc_id", "_h"], "left")
+    kept = F.when(F.col("_gone").isNull(), F.coalesce("text", F.lit(""))).otherwise(_reassembled(F.col("text"), F.col("_gone")))
+    return joined.select(
+        *(kept.alias("text") if c == "text" else F.col(f"_row.`{c}`") for c in columns),
+        F.size(lines_of(F.col("text"))).cast("long").alias("n_lines"),
+        F.coalesce(F.size("_gone"), F.lit(0)).cast("long").alias("n_dropped"),
+    )
