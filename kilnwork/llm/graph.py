@@ -5,22 +5,20 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, functions as F
 
 from .skew import salted_lookup
-from .store import saved
-
-MAX_ROUNDS = 60
+from .store import release, saved
 
 
 def components(edges: DataFrame) -> DataFrame:
     """``edges``: a, b (long). Returns node, root (the smallest node reachable) for every node of
     an edge between different nodes. Each round links every node to the smallest neighbour, once
-    over larger and once over smaller neighbours; the rounds end when the links are stars. Hubs
-    are looked up over salts. No links reach the driver, only their number.
+    over larger and once over smaller neighbours; the rounds end when the links are stars, after
+    about log(n) squared of them at most. Hubs are looked up over salts. No links reach the driver,
+    only their number.
     """
     edges = saved(edges.filter("a != b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "links")
     n = edges.count()
-    for _ in range(MAX_ROUNDS):
-        if not n:
-            break
+    same = not n
+    while not same:
         both = edges.select(F.col("a").alias("u"), F.col("b").alias("v")).union(edges.select("b", "a"))
         low = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"), F.count("*").alias("n"))
         large = salted_lookup(both.filter("v > u"), low, ["u"], "n", "v", total=2 * n).select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
@@ -30,9 +28,6 @@ def components(edges: DataFrame) -> DataFrame:
         after = saved(small.union(low.select("m", "u")).distinct(), "small-star")
         m = after.count()
         same = m == n and after.join(edges, ["a", "b"], "left_anti").isEmpty()
+        release(large, edges)
         edges, n = after, m
-        if same:
-            break
-    else:
-        raise RuntimeError(f"components did not settle in {MAX_ROUNDS} rounds")
     return edges.select(F.col("b").alias("node"), F.col("a").alias("root")).union(edges.select("a", "a").distinct())

@@ -1,11 +1,12 @@
 import random
+from itertools import combinations
 
 import numpy as np
 import pytest
 import xxhash
 
 from kilnwork.llm.graph import components
-from kilnwork.llm.simhash import drop_near_duplicates, fingerprint, forest, near_links, simhash_groups
+from kilnwork.llm.simhash import POSITIONS, fingerprint, forest, linked, near_links, shared_bytes, simhash_groups
 
 
 def brute_components(values, linked):
@@ -59,6 +60,19 @@ def test_links_join_what_all_pairs_join(spark, posting_rows):
     assert len(pairs) < len(values) ** 2 / 4
 
 
+def test_four_shared_bytes_hold_a_triple():
+    assert len(POSITIONS) == len(set(POSITIONS)) == 20
+    assert all(any(set(t) <= set(four) for t in POSITIONS) for four in combinations(range(8), 4))
+
+
+def test_tally_of_shared_bytes():
+    rng = random.Random(5)
+    x = np.array([rng.getrandbits(64) & rng.getrandbits(64) & rng.getrandbits(64) & rng.getrandbits(64) for _ in range(500)] + [0, 2**64 - 1, 1 << 63, 0x8000000100000000], dtype="<u8")
+    tally = [sum(int(v) >> 8 * i & 0xFF == 0 for i in range(8)) for v in x]
+    assert shared_bytes(x).tolist() == tally
+    assert linked(x, 4).tolist() == [int(v).bit_count() <= 4 for v in x]
+
+
 def test_forest_spans_a_chain():
     f = np.sort(np.array([0, 0b1111, 0b11111111, 0xFF << 50], dtype="<u8"))
     assert len(forest(f, 4)) == 2
@@ -77,7 +91,4 @@ def test_groups_of_copies_nulls_and_clashing_columns(spark):
     docs = spark.createDataFrame([(*r, 1, 1, 1) for r in rows], "doc_id long, text string, lang string, fp int, n int, key int")
     got = sorted((r.doc_id or 0, r.component_id or 0) for r in simhash_groups(docs).collect())
     assert got == [(0, 0), (1, 1), (2, 1), (3, 3), (5, 3), (7, 7), (7, 7), (9, 3)]
-    kept = drop_near_duplicates(docs)
-    assert kept.columns == docs.columns
-    assert sorted(r.doc_id for r in kept.collect()) == [1, 3, 7, 7]
     assert simhash_groups(docs.limit(0)).count() == 0
