@@ -15,6 +15,10 @@ TRAIN_ROWS = 20_000
 SOFT_WEIGHT = 0.05
 #: The prior strength (in documents) stays in these bounds.
 LEAST_STRENGTH, MOST_STRENGTH = 2.0, 1e5
+#: A document is judged by the tallies of all folds but its own, so its label never feeds its score.
+FOLDS = 4
+#: Sections, and bytes of their names, that may be broadcast; more are joined over salts.
+BROADCAST_SECTIONS, BROADCAST_BYTES = 100_000, 8_000_000
 
 
 def fit_classifier(x: np.ndarray, y: np.ndarray, ridge: float = 1.0, rounds: int = 50) -> tuple[np.ndarray, np.ndarray, np.ndarray, float]:
@@ -80,41 +84,81 @@ def prior_strength(groups: DataFrame, rate: str, tried: str, expected) -> float:
     return float(np.clip(1 / between - 1 if between > 0 else MOST_STRENGTH, LEAST_STRENGTH, MOST_STRENGTH))
 
 
+def _posteriors(rows: DataFrame) -> DataFrame:
+    """One row per section (_host, _path) with n, and host_posterior and path_posterior: arrays by
+    fold, each from the documents of all other folds. ``rows``: _host, _path, _fold, _w, _y."""
+    folds = range(FOLDS)
+
+    def sums(value, name):
+        return [F.sum(F.when(F.col("_fold") == i, value).otherwise(0.0)).alias(f"{name}{i}") for i in folds]
+
+    sections = rows.groupBy("_host", "_path").agg(*sums(F.col("_w"), "tried"), *sums(F.col("_w") * F.col("_y"), "good"), F.count("*").alias("n"))
+    sections = saved(sections, "sections")
+    hosts = sections.groupBy("_host").agg(*(F.sum(f"{c}{i}").alias(f"h_{c}{i}") for c in ("tried", "good") for i in folds), F.count("*").alias("h_sections"))
+    hosts = saved(hosts, "hosts")
+    all_of = hosts.agg(*(F.sum(c).alias(c) for c in hosts.columns if c[:3] in ("h_t", "h_g"))).first()
+
+    def total(name):
+        return sum((F.col(f"{name}{i}") for i in folds), F.lit(0.0))
+
+    tried, good = ([all_of[f"h_{c}{i}"] or 0.0 for i in folds] for c in ("tried", "good"))
+
+    def share(without=None):
+        t, g = (sum(x) - (x[without] if without is not None else 0) for x in (tried, good))
+        return min(max(g / t, 1e-4), 1 - 1e-4) if t > 0 else 0.5
+
+    k_host = prior_strength(hosts.withColumn("rate", total("h_good") / total("h_tried")).withColumn("tried", total("h_tried")), "rate", "tried", F.lit(share()))
+    hosts = hosts.withColumn("_host_all", (total("h_good") + k_host * share()) / (total("h_tried") + k_host))
+    by_fold = [(total("h_good") - F.col(f"h_good{i}") + k_host * share(i)) / (total("h_tried") - F.col(f"h_tried{i}") + k_host) for i in folds]
+    hosts = hosts.select("_host", "h_sections", "_host_all", F.array(*by_fold).alias("host_posterior"))
+    sections = saved(salted_lookup(sections, hosts, ["_host"], "h_sections", "_path"), "by-host")
+    k_path = prior_strength(sections.withColumn("rate", total("good") / total("tried")).withColumn("tried", total("tried")), "rate", "tried", F.col("_host_all"))
+    by_fold = [(total("good") - F.col(f"good{i}") + k_path * F.get("host_posterior", F.lit(i))) / (total("tried") - F.col(f"tried{i}") + k_path) for i in folds]
+    return saved(sections.select("_host", "_path", "n", "host_posterior", F.array(*by_fold).alias("path_posterior")), "posteriors")
+
+
+def _scored(docs: DataFrame, carried: dict, labels: DataFrame, host: str, path: str, max_rows: int, threshold: float) -> DataFrame:
+    """The columns ``carried`` of each row, its evidence, posteriors, score and verdict."""
+    site = [F.coalesce(F.col(c).cast("string"), F.lit("")).alias(n) for c, n in ((host, "_host"), (path, "_path"))]
+    named = docs.select(*(c.alias(n) for n, c in carried.items()), *site, F.pmod(F.xxhash64("doc_id"), F.lit(FOLDS)).alias("_fold"), F.monotonically_increasing_id().alias("_at"), "text")
+    stats = saved(text_stats(named, [c for c in named.columns if c != "text"]), "stats")
+    model = fit_classifier(*labelled_sample(stats, labels, max_rows))
+    known = labels.filter("doc_id is not null").groupBy("doc_id").agg(F.avg((F.col("quality") > 0).cast("double")).alias("_label"))
+    evidence = evidence_column(model)
+    p = 1 / (1 + F.exp(-(F.col("evidence") + model[3])))
+    rows = with_features(stats).select("doc_id", "_host", "_path", "_fold", evidence.alias("evidence")).join(known, "doc_id", "left")
+    sections = _posteriors(rows.withColumn("_w", F.when(F.col("_label").isNull(), SOFT_WEIGHT).otherwise(1.0)).withColumn("_y", F.coalesce("_label", p)))
+    rows = with_features(stats).select(*carried, "_host", "_path", "_fold", "_at", evidence.alias("evidence"))
+    size = sections.agg(F.count("*").alias("n"), F.coalesce(F.sum(F.octet_length("_host") + F.octet_length("_path")), F.lit(0)).alias("bytes")).first()
+    if size.n <= BROADCAST_SECTIONS and size.bytes <= BROADCAST_BYTES:
+        out = rows.join(F.broadcast(sections.drop("n")), ["_host", "_path"])
+    else:
+        out = salted_lookup(rows, sections, ["_host", "_path"], "n", "_at")
+    out = out.select(*carried, "evidence", *(F.get(c, F.col("_fold").cast("int")).alias(c) for c in ("host_posterior", "path_posterior")))
+    section = F.greatest(F.lit(1e-6), F.least(F.lit(1 - 1e-6), F.col("path_posterior")))
+    score = 1 / (1 + F.exp(-(F.col("evidence") + _logit(section))))
+    return out.withColumn("score", score).withColumn("kept", F.col("score") >= threshold - 1e-9)
+
+
 def quality_scores(docs: DataFrame, labels: DataFrame, host: str = "source", path: str = "lang", max_rows: int = TRAIN_ROWS, threshold: float = 0.5) -> DataFrame:
     """One row per row of ``docs``: doc_id, evidence, host_posterior, path_posterior, score, kept.
 
     Every document counts in the tally of its site section (``host``, ``path``): with its label if
     it has one, else with the classifier's probability at SOFT_WEIGHT. Hosts are shrunk toward the
     global share and sections toward their host, each by a strength estimated from how much such
-    groups vary. score = logistic(evidence + log-odds of the section); kept: score of at least
+    groups vary; a document's posteriors leave out the documents of its own fold (by a hash of
+    doc_id). score = logistic(evidence + log-odds of the section); kept: score of at least
     ``threshold``. Null host or path is a site of its own; a null text has the features of an
-    empty one; labels of one doc_id that differ are averaged. Empty labels give evidence 0 and
-    score 0.5, and keep everything. Repeated rows stay.
+    empty one, and texts of any length are read whole; labels of one doc_id that differ are
+    averaged. A row without doc_id has no label and is judged like any other. Empty labels give
+    evidence 0 and score 0.5, and keep everything. Repeated rows stay, each with its own text's
+    verdict; extra columns are left out. An empty table gives an empty result.
     """
-    named = docs.select("doc_id", "text", F.coalesce(F.col(host).cast("string"), F.lit("")).alias("_host"), F.coalesce(F.col(path).cast("string"), F.lit("")).alias("_path"))
-    stats = saved(text_stats(named, ["doc_id", "_host", "_path"]), "stats")
-    model = fit_classifier(*labelled_sample(stats, labels, max_rows))
-    known = labels.filter("doc_id is not null").groupBy("doc_id").agg(F.avg((F.col("quality") > 0).cast("double")).alias("_label"))
-    p = 1 / (1 + F.exp(-(F.col("evidence") + model[3])))
-    rows = with_features(stats).select("doc_id", "_host", "_path", evidence_column(model).alias("evidence")).join(known, "doc_id", "left")
-    rows = saved(rows.withColumn("_w", F.when(F.col("_label").isNull(), SOFT_WEIGHT).otherwise(1.0)).withColumn("_y", F.coalesce("_label", p)), "evidence")
-    sections = rows.groupBy("_host", "_path").agg(F.sum("_w").alias("tried"), F.sum(F.col("_w") * F.col("_y")).alias("good"), F.count("*").alias("n"))
-    sections = saved(sections, "sections")
-    hosts = saved(sections.groupBy("_host").agg(F.sum("tried").alias("h_tried"), F.sum("good").alias("h_good"), F.sum("n").alias("h_n"), F.count("*").alias("h_sections")), "hosts")
-    total = hosts.agg(F.sum("h_tried").alias("tried"), F.sum("h_good").alias("good")).first()
-    share = min(max((total.good or 0.0) / (total.tried or 1.0), 1e-4), 1 - 1e-4) if total.tried else 0.5
-    k_host = prior_strength(hosts.withColumn("rate", F.col("h_good") / F.col("h_tried")), "rate", "h_tried", F.lit(share))
-    hosts = hosts.withColumn("host_posterior", (F.col("h_good") + k_host * share) / (F.col("h_tried") + k_host))
-    sections = salted_lookup(sections, hosts.select("_host", "h_sections", "host_posterior"), ["_host"], "h_sections", "_path")
-    k_path = prior_strength(sections.withColumn("rate", F.col("good") / F.col("tried")), "rate", "tried", F.col("host_posterior"))
-    sections = saved(sections.withColumn("path_posterior", (F.col("good") + k_path * F.col("host_posterior")) / (F.col("tried") + k_path)), "posteriors")
-    out = salted_lookup(rows.select("doc_id", "_host", "_path", "evidence"), sections.select("_host", "_path", "n", "host_posterior", "path_posterior"), ["_host", "_path"], "n", "doc_id")
-    section = F.greatest(F.lit(1e-6), F.least(F.lit(1 - 1e-6), F.col("path_posterior")))
-    score = 1 / (1 + F.exp(-(F.col("evidence") + _logit(section))))
-    return out.select("doc_id", "evidence", "host_posterior", "path_posterior", score.alias("score")).withColumn("kept", F.col("score") >= threshold)
+    return _scored(docs, {"doc_id": F.col("doc_id")}, labels, host, path, max_rows, threshold)
 
 
-def keep_good(docs: DataFrame, labels: DataFrame, **options) -> DataFrame:
-    """The rows of ``docs`` that quality_scores keeps, with all their columns."""
-    kept = quality_scores(docs, labels, **options).filter("kept").select("doc_id").distinct()
-    return docs.join(kept, "doc_id", "left_semi")
+def keep_good(docs: DataFrame, labels: DataFrame, host: str = "source", path: str = "lang", max_rows: int = TRAIN_ROWS, threshold: float = 0.5) -> DataFrame:
+    """The rows of ``docs`` that quality_scores keeps, with all their columns: every row by its own
+    verdict, whether its doc_id is null, repeated or neither. Rows are filtered where they are."""
+    row = F.struct(*(F.col(f"`{c}`") for c in docs.columns))
+    return _scored(docs, {"doc_id": F.col("doc_id"), "_row": row}, labels, host, path, max_rows, threshold).filter("kept").select("_row.*")

@@ -120,8 +120,10 @@ def quality_rules(docs: DataFrame, labels: DataFrame, max_rows: int = TRAIN_ROWS
     """One row per row of ``docs`` (doc_id, the counts, base_failed, rule, kept), and the rules.
 
     base_failed: under 10 words, or over 20 % of the words in repeated windows. kept: the base
-    passed and no learned rule holds. A null text has no words and fails. Empty labels learn no
-    rule; an empty table gives an empty result; repeated rows stay.
+    passed and no learned rule holds. A null text has no words and fails; texts of any length are
+    read whole. A row without doc_id has no label and is judged like any other. Empty labels learn
+    no rule; an empty table gives an empty result; repeated rows stay, each judged by its own text;
+    extra columns are left out.
     """
     stats = saved(text_stats(docs, ["doc_id"]), "stats")
     rules = learn(*labelled_sample(stats, labels, max_rows))

@@ -68,7 +68,8 @@ def counts(text: str | None) -> tuple[int, ...]:
 
 
 def text_stats(docs: DataFrame, keep: list[str]) -> DataFrame:
-    """The columns ``keep`` of ``docs`` and the counts of its column text."""
+    """The columns ``keep`` of ``docs`` and the counts of its column text, which is read whole at any
+    length; a null text counts as empty."""
 
     @F.arrow_udf("struct<" + ", ".join(f"{c} long" for c in COLUMNS) + ">")
     def stats(texts: pa.Array) -> pa.Array:
@@ -105,11 +106,12 @@ def with_features(stats: DataFrame) -> DataFrame:
 
 
 def labelled_sample(stats: DataFrame, labels: DataFrame, max_rows: int) -> tuple[np.ndarray, np.ndarray]:
-    """Features and 0/1 quality of about ``max_rows`` labelled documents at most, chosen by a hash
-    of doc_id; rows without doc_id or quality are left out."""
+    """Features and 0/1 quality of ``max_rows`` labelled rows at most: the first ones by a hash of
+    the row, so that neither a repeated doc_id nor a group of copies is taken whole. Rows without
+    doc_id or quality are left out; differing labels of one doc_id give a row each. Each task sends
+    no more than the bound, and no more reaches the driver."""
     labels = labels.filter("doc_id is not null and quality is not null").select("doc_id", F.col("quality").cast("int").alias("quality"))
-    n = labels.count()
-    if n > max_rows:
-        labels = labels.filter(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 20)) < int((1 << 20) * max_rows / n))
-    rows = with_features(stats).join(labels, "doc_id").orderBy("doc_id", "quality").select(*FEATURES, "quality").toPandas()
+    joined = with_features(stats).join(labels, "doc_id").select("doc_id", *FEATURES, "quality")
+    first = joined.orderBy(F.xxhash64(*joined.columns), "doc_id", "quality").limit(max_rows)
+    rows = first.select(*FEATURES, "quality").toPandas()
     return rows[list(FEATURES)].to_numpy(dtype=float), (rows["quality"] > 0).to_numpy(dtype=int)

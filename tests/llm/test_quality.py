@@ -1,15 +1,19 @@
+import math
 import random
 import re
 from collections import Counter
 
 import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
+from kilnwork.llm import quality
 from kilnwork.llm.quality import fit_classifier, keep_good, quality_scores
 from kilnwork.llm.rules import covers, learn, quality_rules, verdict
-from kilnwork.llm.textstats import FEATURES, counts, repeated
+from kilnwork.llm.textstats import COLUMNS, FEATURES, counts, labelled_sample, repeated, text_stats
 
 WORDS = ["alpha", "beta", "gamma", "delta", "omega", "kappa", "sigma", "theta", "lambda", "zeta"]
+WORDS_TEXT = " ".join(f"{w}{n}" for n in range(10, 16) for w in WORDS)
 
 
 def brute_counts(text):
@@ -47,10 +51,11 @@ def fixture(spark, n=900):
 
 def test_rules_reject_what_labels_reject(spark):
     docs, labels = fixture(spark)
-    extra = spark.createDataFrame([(2000, None, None, None), (2001, "", None, None), (2002, "a b c d e f g h i j " * 3, None, None), (2001, "", None, None)], docs.schema)
+    extra = spark.createDataFrame([(2000, None, None, None), (2001, "", None, None), (2002, "a b c d e f g h i j " * 3, None, None), (2001, "", None, None), (2003, "ALPHA77!! " * 200_000, None, None), (None, WORDS_TEXT, None, None)], docs.schema)
     out, rules = quality_rules(docs.union(extra).withColumn("kept", F.lit(1)).withColumn("n_words", F.lit(1)), labels)
     got = {r.doc_id: r for r in out.collect()}
-    assert rules and out.count() == 904
+    assert rules and out.count() == 906
+    assert got[2003].base_failed and got[2003].n_words == 200_000 and got[None].kept
     assert all(got[i].kept == (i % 4 != 0) for i in range(900))
     assert got[2000].base_failed and got[2001].base_failed and got[2002].base_failed and not got[2002].kept
     assert quality_rules(docs.limit(0), labels)[0].count() == 0
@@ -73,20 +78,119 @@ def test_verdict_is_the_first_rule_that_holds(spark):
 
 def test_scores_separate_and_shrink(spark):
     docs, labels = fixture(spark)
-    extra = spark.createDataFrame([(3000, None, "new", None), (3001, "", None, "fr")], docs.schema)
-    all_docs = docs.union(extra).withColumn("evidence", F.lit("x")).withColumn("n", F.lit(1))
-    rows = {r.doc_id: r for r in quality_scores(all_docs, labels).collect()}
-    assert len(rows) == 902
-    assert np.mean([rows[i].kept == (i % 4 != 0) for i in range(900)]) > 0.99
+    extra = spark.createDataFrame([(3000, None, "new", None), (3001, "", None, "fr"), (3002, "ALPHA77!! " * 200_000, "s0", "en"), (None, WORDS_TEXT, "s0", "en"), (None, WORDS_TEXT.upper().replace(" ", "!! "), "s0", "en"), (1, WORDS_TEXT.upper().replace(" ", "!! "), "s0", "en")], docs.schema)
+    all_docs = docs.union(extra).withColumn("evidence", F.lit("x")).withColumn("n", F.lit(1)).withColumn("_row", F.lit(2)).repartition(3)
+    scored = quality_scores(all_docs, labels).collect()
+    rows = {r.doc_id: r for r in scored if r.doc_id != 1}
+    assert len(scored) == 906
+    assert np.mean([rows[i].kept == (i % 4 != 0) for i in range(900) if i != 1]) > 0.99
     share = np.mean([r.host_posterior for r in rows.values()])
     assert abs(rows[3000].host_posterior - share) < 0.15  # a site of one document stays near the prior
-    assert all(0 <= r.score <= 1 for r in rows.values())
+    assert all(0 <= r.score <= 1 for r in scored) and not rows[3002].kept
     kept = keep_good(all_docs, labels)
-    assert kept.columns == all_docs.columns and abs(kept.count() - 675) < 10
-    assert quality_scores(docs.limit(0), labels).count() == 0
+    assert kept.columns == all_docs.columns
+    # each row by its own verdict: of null ids, and of one id on two texts, one row stays
+    found = Counter((r.doc_id, r.text) for r in kept.collect())
+    assert sum(found.values()) == sum(r.kept for r in scored)
+    assert [t == WORDS_TEXT for d, t in found if d is None] == [True]
+    assert [d for d, t in found if d == 1] == [1]
+    assert quality_scores(docs.limit(0), labels).count() == 0 and keep_good(docs.limit(0), labels).count() == 0
     assert quality_scores(docs, labels.limit(0)).filter("kept").count() == 900
 
 
+def test_sections_that_cannot_be_broadcast_give_the_same(spark, monkeypatch):
+    docs, labels = fixture(spark, 200)
+    both = []
+    for most in (quality.BROADCAST_SECTIONS, 0):
+        monkeypatch.setattr(quality, "BROADCAST_SECTIONS", most)
+        both.append(sorted((r.doc_id, round(r.score, 9)) for r in quality_scores(docs, labels).collect()))
+    assert both[0] == both[1]
+
+
+def brute_strength(groups):
+    """Groups (rate, tried, expected): the prior's strength by moments."""
+    spread = sum(t * (r - e) ** 2 for r, t, e in groups)
+    most = sum(t * e * (1 - e) for _, t, e in groups)
+    between = max(0.0, spread - sum(e * (1 - e) for _, _, e in groups)) / most
+    return float(np.clip(1 / between - 1 if between > 0 else quality.MOST_STRENGTH, quality.LEAST_STRENGTH, quality.MOST_STRENGTH))
+
+
+def test_scores_against_brute_force(spark):
+    """The classifier's optimum, tallies, shrinkage and score, from their definitions."""
+    rng = random.Random(9)
+    docs, labels = [], []
+    for i in range(260):
+        bad = rng.random() < (0.7 if i % 3 == 0 else 0.2)
+        words = [rng.choice(WORDS) + str(rng.randint(0, 99)) for _ in range(rng.randint(20, 60))]
+        docs.append((i, " ".join(w.upper() if bad and rng.random() < 0.5 else w for w in words), f"s{i % 7}", f"p{rng.randint(0, 2)}"))
+        if rng.random() < 0.5:
+            labels.append((i, int(not bad), 0))
+    docs.append((None, "alpha beta", "s1", None))
+    frame = spark.createDataFrame(docs, "doc_id long, text string, source string, lang string")
+    got = {r.doc_id: r for r in quality_scores(frame, spark.createDataFrame(labels, "doc_id long, quality int, toxic int")).collect()}
+    known = dict((d, q) for d, q, _ in labels)
+
+    names = {n: i for i, n in enumerate(COLUMNS)}
+    over = lambda c, a, b: c[names[a]] / max(c[names[b]], 1)
+    def features(text):
+        c = counts(text)
+        pairs = [("n_symbols", "word_chars"), ("n_upper", "n_letters"), ("n_marks", "word_chars"), ("n_digits", "word_chars"), ("n_letters", "word_chars"), ("word_chars", "n_words"),
+                 ("n_distinct_words", "n_words"), ("n_repeat_words", "n_words"), ("n_dup_lines", "n_lines"), ("n_short_lines", "n_lines"), ("n_stops", "n_words")]
+        return [over(c, a, b) for a, b in pairs] + [float(c[names["n_words"]]), float(c[names["longest_word"]])]
+
+    x = np.array([features(t) for _, t, _, _ in docs])
+    train = [n for n, d in enumerate(docs) if d[0] in known]
+    y = np.array([known[docs[n][0]] for n in train])
+    mean, scale = x[train].mean(axis=0), x[train].std(axis=0)
+    scale[scale < 1e-9] = 1
+    z = np.clip((x - mean) / scale, -6, 6)
+    z = np.hstack([z, z * z])
+    model = quality.fit_classifier(x[train], y)
+    w = model[2]
+    p = 1 / (1 + np.exp(-(z[train] @ w[:-1] + w[-1])))
+    assert np.abs(z[train].T @ (p - y) + w[:-1]).max() < 1e-3 and abs((p - y).sum()) < 1e-3  # ridge 1: no slope is left
+    prior = np.log(y.mean() / (1 - y.mean()))
+    evidence = np.clip(z @ w[:-1] + w[-1] - prior, -30, 30)
+    folds = [r.f for r in spark.createDataFrame([(n, d[0]) for n, d in enumerate(docs)], "n int, doc_id long").select("n", F.pmod(F.xxhash64("doc_id"), F.lit(quality.FOLDS)).alias("f")).orderBy("n").collect()]
+    tally = [(d[2], d[3] or "", f, 1.0 if d[0] in known else quality.SOFT_WEIGHT, float(known[d[0]]) if d[0] in known else 1 / (1 + math.exp(-(e + prior)))) for d, f, e in zip(docs, folds, evidence)]
+
+    def sums(rows):
+        rows = list(rows)
+        return sum(t[3] for t in rows), sum(t[3] * t[4] for t in rows)
+
+    def rate(pair):
+        return min(max(pair[1] / pair[0], 1e-4), 1 - 1e-4)
+
+    share = rate(sums(tally))
+    hosts = {h: sums(t for t in tally if t[0] == h) for h in {t[0] for t in tally}}
+    k_host = brute_strength([(g / n, n, share) for n, g in hosts.values()])
+    host_all = {h: (g + k_host * share) / (n + k_host) for h, (n, g) in hosts.items()}
+    sections = {s: sums(t for t in tally if t[:2] == s) for s in {t[:2] for t in tally}}
+    k_path = brute_strength([(g / n, n, host_all[h]) for (h, _), (n, g) in sections.items()])
+    for (doc, *_), (h, path, f, _, _), e in zip(docs, tally, evidence):
+        others = [t for t in tally if t[2] != f]
+        n, g = sums(t for t in others if t[0] == h)
+        of_host = (g + k_host * rate(sums(others))) / (n + k_host)
+        n, g = sums(t for t in others if t[:2] == (h, path))
+        of_path = (g + k_path * of_host) / (n + k_path)
+        score = 1 / (1 + math.exp(-(e + math.log(of_path / (1 - of_path)))))
+        want = (e, of_host, of_path, score)
+        r = got[doc]
+        assert (r.evidence, r.host_posterior, r.path_posterior, r.score) == pytest.approx(want, rel=1e-6, abs=1e-9)
+        assert r.kept == (score >= 0.5)
+
+
+def test_a_hot_id_stays_within_the_bound(spark):
+    rows = [(i % 10, f"alpha {i} beta") for i in range(1500)] + [(None, "gamma")] * 50
+    stats = text_stats(spark.createDataFrame(rows, "doc_id long, text string").repartition(3), ["doc_id"])
+    labels = spark.createDataFrame([(i, i % 2) for i in range(10)] + [(None, 1), (3, None)], "doc_id long, quality int")
+    for most in (100, 5000):
+        x, y = labelled_sample(stats, labels, most)
+        assert x.shape == (min(most, 1500), len(FEATURES)) and len(y) == len(x)
+    again = labelled_sample(stats.repartition(5), labels, 100)
+    assert (again[0] == labelled_sample(stats, labels, 100)[0]).all()
+
+
 def test_classifier_without_two_kinds_says_nothing():
     k = len(FEATURES)
     for y in (np.zeros(0), np.ones(5)):
