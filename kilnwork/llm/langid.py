@@ -10,10 +10,10 @@ from pyspark.sql import DataFrame, functions as F
 
 #: Hash bins, and lengths of n-grams in code points.
 BINS, LENGTHS = 1 << 16, (1, 2, 3)
-#: Labelled rows that counts are learned from at most, and languages.
-TRAIN_ROWS, MAX_LANGUAGES = 20_000, 100
-#: Code points that are worked on at a time.
-BLOCK = 1 << 20
+#: Cells of the log-probability matrix at most (4 bytes each): beyond 100 languages it has fewer bins.
+MATRIX_CELLS = 100 * BINS
+#: Code points that are worked on at a time, and distinct bins of texts that are scored together.
+BLOCK, BATCH_BINS = 1 << 20, 1 << 18
 UNKNOWN = "und"
 
 
@@ -59,18 +59,30 @@ def grams(text: str | None, bins: int = BINS) -> Iterator[np.ndarray]:
             yield (h & np.uint64(bins - 1)).astype(np.int64)
 
 
-def train(labelled: DataFrame, bins: int = BINS, max_rows: int = TRAIN_ROWS) -> tuple[list[str], np.ndarray]:
+def bag(text: str | None, bins: int = BINS) -> tuple[np.ndarray, np.ndarray]:
+    """The distinct bins of a whole text and how often each occurs: a sparse row."""
+    counts = np.zeros(bins, dtype=np.int64)
+    for g in grams(text, bins):
+        counts += np.bincount(g, minlength=bins)
+    used = np.flatnonzero(counts)
+    return used, counts[used]
+
+
+def bins_for(languages: int) -> int:
+    """Bins of the matrix: BINS for up to 100 languages, else as many (a power of two) as keep it
+    within MATRIX_CELLS."""
+    return min(BINS, 1 << max(1, MATRIX_CELLS // max(1, languages)).bit_length() - 1)
+
+
+def train(labelled: DataFrame, bins: int | None = None) -> tuple[list[str], np.ndarray]:
     """Languages and their log-probabilities (bins x languages, float32).
 
-    ``labelled``: text, lang. If there are more than ``max_rows`` rows (about), a share is taken by
-    a hash of the text; each task sums its rows' counts, and only the sums reach the driver.
+    ``labelled``: text, lang; rows without either are left out. Every row counts: each task sums
+    the counts of its rows, and only the sums reach the driver, MATRIX_CELLS at most. An empty table
+    gives no language.
     """
-    labelled = labelled.filter("lang is not null and text is not null").select("text", "lang")
-    n, kinds = labelled.agg(F.count("*"), F.count_distinct("lang")).first()
-    if kinds > MAX_LANGUAGES:
-        raise ValueError(f"{kinds} languages; the matrix is made for {MAX_LANGUAGES} at most")
-    if n > max_rows:
-        labelled = labelled.filter(F.pmod(F.xxhash64("text"), F.lit(1 << 20)) < int((1 << 20) * max_rows / n))
+    labelled = labelled.filter("lang is not null and text is not null").select(F.col("text").cast("string").alias("text"), F.col("lang").cast("string").alias("lang"))
+    bins = bins or bins_for(labelled.agg(F.count_distinct("lang")).first()[0])
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sums: dict[str, np.ndarray] = {}
@@ -78,7 +90,10 @@ def train(labelled: DataFrame, bins: int = BINS, max_rows: int = TRAIN_ROWS) ->
             for text, lang in zip(*(c.to_pylist() for c in batch.columns)):
                 own = sums.setdefault(lang, np.zeros(bins, dtype=np.int64))
                 for g in grams(text, bins):
-                    own += np.bincount(g, minlength=bins)
+                    if len(g) < 4096:
+                        np.add.at(own, g, 1)
+                    else:
+                        own += np.bincount(g, minlength=bins)
         for lang, own in sums.items():
             used = np.flatnonzero(own)
             yield pa.RecordBatch.from_arrays([pa.array([lang] * len(used)), pa.array(used), pa.array(own[used])], ["lang", "bin", "n"])
@@ -92,40 +107,61 @@ def train(labelled: DataFrame, bins: int = BINS, max_rows: int = TRAIN_ROWS) ->
     return langs, np.log(counts / counts.sum(axis=0)).astype(np.float32)
 
 
+def log_likelihoods(rows: list[tuple[np.ndarray, np.ndarray]], table: np.ndarray) -> np.ndarray:
+    """Sparse rows times the matrix: for each text and language, the summed log-probabilities."""
+    out = np.zeros((len(rows), table.shape[1]))
+    full = [i for i, (used, _) in enumerate(rows) if len(used)]
+    if full:
+        bins, counts = (np.concatenate([rows[i][k] for i in full]) for k in (0, 1))
+        starts = np.concatenate([[0], np.cumsum([len(rows[i][0]) for i in full])[:-1]])
+        out[full] = np.add.reduceat(table[bins] * counts[:, None].astype(np.float64), starts, axis=0)
+    return out
+
+
 def predict(docs: DataFrame, model: tuple[list[str], np.ndarray], text_col: str = "text", margin_grams: float = 200.0) -> DataFrame:
     """``docs`` with lang_pred and score (0 to 1), from the whole text only.
 
     ``und`` with score 0 for a null text, a text without a letter, or an untrained model. The
     score is the posterior of the best language; as neighbouring n-grams overlap, the evidence of
     a longer text counts as that of ``margin_grams`` grams. Ties go to the first language by name.
-    Columns lang_pred and score of ``docs`` are replaced, others pass.
+    Texts are scored in batches of sparse rows; one of any length is one row. Columns lang_pred and
+    score of ``docs`` are replaced, others pass; repeated rows and those without doc_id stay.
     """
     langs, logs = model
-    shared = docs.sparkSession.sparkContext.broadcast(logs)  # bins x languages: bounded
+    shared = docs.sparkSession.sparkContext.broadcast(logs)  # at most MATRIX_CELLS numbers
 
     @F.arrow_udf("struct<lang_pred string, score double>")
     def guess(texts: pa.Array) -> pa.Array:
         table, found, scores = shared.value, [], []
-        for text in texts.to_pylist():
-            total, n = np.zeros(len(langs)), 0
-            if text and langs:
-                for g in grams(text):
-                    counts = np.bincount(g, minlength=len(table)) if len(g) > len(table) else None
-                    total += counts @ table if counts is not None else table[g].sum(axis=0, dtype=np.float64)
-                    n += len(g)
-            if not n or not any(map(str.isalpha, text)):
-                found.append(UNKNOWN)
-                scores.append(0.0)
-                continue
-            total *= min(1.0, margin_grams / n)
-            best = int(np.argmax(total))
-            found.append(langs[best])
-            scores.append(float(1 / np.exp(total - total[best]).sum()))
+        rows: list[tuple[np.ndarray, np.ndarray]] = []
+
+        def score_rows() -> None:
+            for total, (_, counts) in zip(log_likelihoods(rows, table), rows):
+                if not len(counts):
+                    found.append(UNKNOWN)
+                    scores.append(0.0)
+                    continue
+                total *= min(1.0, margin_grams / counts.sum())
+                best = int(np.argmax(total))
+                found.append(langs[best])
+                scores.append(float(1 / np.exp(total - total[best]).sum()))
+            rows.clear()
+
+        held = 0
+        for x in texts:
+            text = x.as_py()
+            scored = langs and text and any(map(str.isalpha, text))
+            rows.append(bag(text, len(table)) if scored else (np.zeros(0, np.int64), np.zeros(0, np.int64)))
+            held += len(rows[-1][0])
+            if held >= BATCH_BINS:
+                score_rows()
+                held = 0
+        score_rows()
         return pa.StructArray.from_arrays([pa.array(found, pa.string()), pa.array(scores, pa.float64())], ["lang_pred", "score"])
 
     rest = [c for c in docs.columns if c not in ("lang_pred", "score")]
-    out = docs.select(*rest, guess(F.col(text_col).cast("string")).alias("_kilnwork_guess"))
-    return out.select(*rest, "_kilnwork_guess.lang_pred", "_kilnwork_guess.score")
+    out = docs.select(*(F.col(f"`{c}`") for c in rest), guess(F.col(text_col).cast("string")).alias("_kilnwork_guess"))
+    return out.select(*(F.col(f"`{c}`") for c in rest), "_kilnwork_guess.lang_pred", "_kilnwork_guess.score")
 
 
 def held_out(doc_id):

@@ -5,8 +5,9 @@ shorter template. For each template length n, windows of n words at a stride of
 banded: BANDS bands of ROWS rows. A region that contains 0.8 of a template has a window of Jaccard
 similarity of about 0.5 or more, which collides in some band with a probability of at least
 1 - (1 - 0.5 ** ROWS) ** BANDS > 0.9998. Each retrieved template is then held exactly against the
-window and a stride beside it. Windows without any shingle of a template can't match and are never
-built.
+window and a stride beside it. Windows without any shingle of a template have similarity zero to
+all, share no band and are not built; nor are those of a text without a template's anchor words,
+chosen so that 0.8 of a template can't do without them.
 """
 
 from __future__ import annotations
@@ -17,17 +18,31 @@ from .store import saved
 
 SHINGLE, BANDS, ROWS = 5, 32, 2
 
-#: Notices as they are commonly worded.
+#: Notices and short licence texts as they are commonly worded.
 TEMPLATES = {
+    "0BSD": "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted. THE SOFTWARE IS PROVIDED \"AS IS\" AND THE AUTHOR DISCLAIMS ALL WARRANTIES WITH REGARD TO THIS SOFTWARE INCLUDING ALL IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS.",
+    "AGPL-3.0-header": "This program is free software: you can redistribute it and/or modify it under the terms of the GNU Affero General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version.",
+    "All-rights-reserved": "All rights reserved.",
     "Apache-2.0": "Licensed under the Apache License, Version 2.0.",
     "Apache-2.0-header": "Licensed under the Apache License, Version 2.0 (the \"License\"); you may not use this file except in compliance with the License. You may obtain a copy of the License at http://www.apache.org/licenses/LICENSE-2.0",
+    "BSD-clauses": "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met:",
+    "BSD-disclaimer": "THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS \"AS IS\" AND ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING, BUT NOT LIMITED TO, THE IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE DISCLAIMED.",
+    "BSL-1.0": "Distributed under the Boost Software License, Version 1.0.",
+    "CC-BY-4.0": "This work is licensed under a Creative Commons Attribution 4.0 International License.",
     "CC-BY-NC-4.0": "Licensed under CC BY-NC 4.0.",
+    "CC-BY-SA-4.0": "This work is licensed under a Creative Commons Attribution-ShareAlike 4.0 International License.",
+    "CC0-1.0": "To the extent possible under law, the author has waived all copyright and related or neighboring rights to this work.",
+    "EPL-2.0": "This program and the accompanying materials are made available under the terms of the Eclipse Public License 2.0 which is available at https://www.eclipse.org/legal/epl-2.0/",
+    "GPL-2.0-header": "This program is free software; you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation; either version 2 of the License, or (at your option) any later version.",
     "GPL-3.0": "This work is licensed under the GNU General Public License, version 3.",
     "GPL-3.0-header": "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version.",
+    "LGPL-2.1-header": "This library is free software; you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation; either version 2.1 of the License, or (at your option) any later version.",
     "MIT": "Released under the MIT License.",
     "MIT-permission": "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the \"Software\"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions:",
-    "BSD-clauses": "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met:",
-    "All-rights-reserved": "All rights reserved.",
+    "MIT-warranty": "THE SOFTWARE IS PROVIDED \"AS IS\", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT.",
+    "MPL-2.0": "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of the MPL was not distributed with this file, You can obtain one at http://mozilla.org/MPL/2.0/.",
+    "Unlicense": "This is free and unencumbered software released into the public domain. Anyone is free to copy, modify, publish, use, compile, sell, or distribute this software, either in source code form or as a compiled binary, for any purpose, commercial or non-commercial, and by any means.",
+    "zlib": "This software is provided 'as-is', without any express or implied warranty. In no event will the authors be held liable for any damages arising from the use of this software.",
 }
 
 
@@ -52,14 +67,15 @@ def _bands(shingles):
     return F.transform(F.sequence(F.lit(0), F.lit(BANDS - 1)), lambda b: F.xxhash64(b, *(smallest(b, r) for r in range(ROWS))))
 
 
-def _anchor_words(words: list[str], size: int, common: dict[str, int]) -> set[str]:
-    """Words such that each shingle has one of them; rare and long words first."""
-    open_runs = [set(words[i : i + size]) for i in range(len(words) - size + 1)]
-    chosen: set[str] = set()
-    while open_runs:
-        best = max({w for r in open_runs for w in r}, key=lambda w: (len(w) > 4, sum(w in r for r in open_runs), -common.get(w, 0), len(w), w))
+def _anchor_words(words: list[str], size: int, least: float) -> set[str]:
+    """Words such that any share of ``least`` of the distinct shingles has one of them in it; those
+    of more runs and longer ones first. The share without any stays below ``least``."""
+    open_runs = {tuple(words[i : i + size]) for i in range(len(words) - size + 1)}
+    total, chosen = len(open_runs), set()
+    while len(open_runs) >= least * total:
+        best = max({w for r in open_runs for w in r}, key=lambda w: (min(len(w), 8), sum(w in r for r in open_runs), len(w), w))
         chosen.add(best)
-        open_runs = [r for r in open_runs if best not in r]
+        open_runs = {r for r in open_runs if best not in r}
     return chosen
 
 
@@ -68,8 +84,11 @@ def license_scan(docs: DataFrame, templates: dict[str, str] | None = None, least
 
     containment: share of the template's distinct shingles in the matched stretch, at least
     ``least``; of several places the best one, then the first, counts, and first_word is where its
-    window begins (in words from 0). Null and empty texts match nothing. Rows with one doc_id, null
-    too, are taken together. Extra columns are left out. ``templates``: a small fixed set.
+    window begins (in words from 0). A template whose best place overlaps that of one of higher
+    containment is left out, as versions of a licence share most of their words. Null and empty texts match nothing; texts of any length are
+    read whole. Rows with one doc_id, null too, are taken together. Extra columns are left out. An
+    empty table, or one of no templates, gives an empty result. ``templates``: a small fixed set;
+    with several of one wording each is reported.
     """
     spark = docs.sparkSession
     templates = TEMPLATES if templates is None else templates
@@ -80,11 +99,7 @@ def license_scan(docs: DataFrame, templates: dict[str, str] | None = None, least
     none = spark.createDataFrame([], f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, license string, containment double, first_word int")
     if not spelled:
         return none
-    common: dict[str, int] = {}
-    for w in spelled.values():
-        for x in set(w):
-            common[x] = common.get(x, 0) + 1
-    anchors = sorted(set().union(*(_anchor_words(w, sizes[name], common) for name, w in spelled.items())))
+    anchors = sorted(set().union(*(_anchor_words(w, sizes[name], least) for name, w in spelled.items())))
 
     # the templates' shingles and bands, by the same expressions as the texts'
     table = {}
@@ -130,6 +145,12 @@ def license_scan(docs: DataFrame, templates: dict[str, str] | None = None, least
     keyed = windows.select("doc_id", "n", "start", "region", F.posexplode(_bands(F.col("window"))).alias("band", "hash"))
     found = keyed.join(F.broadcast(banded), ["n", "band", "hash"])  # the templates' bands: fixed
     share = F.size(F.array_intersect("region", "template")) / F.size("template")
-    matched = found.select("doc_id", "license", "start", share.alias("containment")).filter(F.col("containment") >= least)
-    best = matched.groupBy("doc_id", "license").agg(F.max(F.struct("containment", (-F.col("start")).alias("at"))).alias("best"))
-    return best.select("doc_id", "license", "best.containment", (-F.col("best.at")).cast("int").alias("first_word"))
+    matched = found.select("doc_id", "license", "n", "start", share.alias("containment")).filter(F.col("containment") >= least)
+    best = matched.groupBy("doc_id", "license", "n").agg(F.max(F.struct("containment", (-F.col("start")).alias("at"))).alias("best"))
+    placed = best.select("doc_id", F.struct("license", "best.containment", (-F.col("best.at")).cast("int").alias("first_word"), "n").alias("x"))
+    listed = placed.groupBy("doc_id").agg(F.collect_list("x").alias("all"))  # at most one a template
+
+    def beaten(x):
+        return F.exists("all", lambda y: (y["containment"] > x["containment"]) & (y["first_word"] < x["first_word"] + x["n"]) & (x["first_word"] < y["first_word"] + y["n"]))
+
+    return listed.select("doc_id", F.explode(F.filter("all", lambda x: ~beaten(x))).alias("x")).select("doc_id", "x.license", "x.containment", "x.first_word")
