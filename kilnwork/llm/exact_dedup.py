@@ -18,7 +18,7 @@ from .skew import salted_lookup
 from .store import saved
 
 #: Bits of the key that the directory may use, and a bucket's capacity in entries at least.
-DIRECTORY_BITS, BUCKET_ROWS = 16, 1024
+DIRECTORY_BITS, BUCKET_ROWS = 16, 256
 SPACE = r"[\x20\x09-\x0D]+"
 
 

@@ -26,8 +26,8 @@ from .store import saved
 
 #: Salts over which pieces of one length are ranked.
 RANK_SALTS = 1024
-#: Words kept in a worker's cache of token ids.
-CACHE_WORDS = 600_000
+#: Words kept in a worker's cache of token ids, and the longest of them in characters.
+CACHE_WORDS, CACHED_CHARS = 600_000, 64
 
 #: Characters of a text that are worked on at a time.
 BLOCK_CHARS = 2_000_000
@@ -217,11 +217,14 @@ class _Words(dict):
         elif word.isalpha() and word.islower() and not HIGH.search(word):
             found = [t.id for t in self.model.tokenize(word.translate(self.spelled))]
         elif parts := LETTERS_MARKS.fullmatch(word):  # no unit has letters and marks, but for 's and the like
-            self[word] = ids = self[parts[1]] + self[parts[2]]
-            return ids
+            return self._kept(word, self[parts[1]] + self[parts[2]])
         else:
             found = self.tokenizer.encode(word, add_special_tokens=False).ids
-        self[word] = ids = struct.pack(f"<{len(found)}I", *found)
+        return self._kept(word, struct.pack(f"<{len(found)}I", *found))
+
+    def _kept(self, word: str, ids: bytes) -> bytes:
+        if len(word) <= CACHED_CHARS:
+            self[word] = ids
         return ids
 
 
@@ -278,7 +281,9 @@ def word_ids(path: str, texts: list[str | None]) -> Iterator[bytes]:
 
 def pieces(docs: DataFrame, vocabulary: str, capacity: int = 2048, end_id: int = 0, with_ids: bool = False) -> DataFrame:
     """Each document's ids and the end id, cut after every ``capacity``: doc_id, piece, start,
-    length, ids_crc32, and with ``with_ids`` the ids themselves. A null text is an empty one."""
+    length, ids_crc32, and with ``with_ids`` the ids themselves. A null text is an empty one: one
+    piece that is the end id. Texts of any length are read whole; repeated rows and those without
+    doc_id give their pieces; extra columns are left out."""
     schema = "doc_id long, piece int, start long, length long, ids_crc32 long" + ", ids binary" * with_ids
     names = [x.split()[0] for x in schema.split(", ")]
 
