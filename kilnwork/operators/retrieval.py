@@ -2,23 +2,59 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+import re
+from collections import Counter
+from collections.abc import Iterator, Sequence
+from functools import reduce
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from ..functions.text import identifier_tokens, query_terms, terms_within
+from ..functions.text import identifier_tokens, query_terms
+from ..sources.store import saved
 
 # Weights of the scores.
 FIELD_WEIGHTS = {"issue_summary": 0.40, "failure_signal": 0.25, "patch_summary": 0.20, "changed_files": 0.10, "strategy": 0.05}
 HYBRID_WEIGHTS = {"lexical": 0.50, "structural": 0.15, "path": 0.15, "imports": 0.10, "tests": 0.10}
 K1 = 1.2
+#: Words of a query set that a task may look for; a larger set is met by a join alone.
+MOST_TERMS = 100_000
+#: Queries that are scored together, and records at a time.
+QUERY_BLOCK, RECORD_BLOCK = 256, 1000
+_IDENTIFIER = re.compile("[a-zA-Z_][a-zA-Z0-9_]*")
 
 
-def term_frequencies(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
-    """doc_id, term, tf: a term's count over the count of the document's most frequent term."""
-    counted = docs.select(doc_id, F.explode(identifier_tokens(F.col(text))).alias("term")).groupBy(doc_id, "term").agg(F.count("*").alias("n"))
-    most = F.max("n").over(Window.partitionBy(doc_id))
-    return counted.select(doc_id, "term", (F.col("n") / most).alias("tf"))
+def _tokens(low: str) -> list[str]:
+    """``identifier_tokens`` of a text in lower case."""
+    out = []
+    for t in _IDENTIFIER.findall(low):
+        if "_" in t and len(t) > 3:
+            out += [p for p in t.split("_") if len(p) >= 2]
+        if len(t) >= 2:
+            out.append(t)
+    return out
+
+
+def term_frequencies(docs: DataFrame, doc_id: str, text: str, terms: Sequence[str] | None = None) -> DataFrame:
+    """doc_id, term, tf: a term's count over the count of the document's most frequent term; only
+    ``terms`` if given. A document is counted as a whole where it is, so nothing is shuffled."""
+    wanted = None if terms is None else frozenset(terms)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            ids, found, tf = [], [], []
+            for key, low in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                counts = Counter(_tokens(low or ""))
+                most = max(counts.values(), default=1)
+                own = counts if wanted is None else wanted & counts.keys()
+                ids += [key] * len(own)
+                found += own
+                tf += [counts[t] / most for t in own]
+            yield pa.RecordBatch.from_arrays([pa.array(ids, batch.schema.field(0).type), pa.array(found, pa.string()), pa.array(tf, pa.float64())], [doc_id, "term", "tf"])
+
+    kind = docs.schema[doc_id].dataType.simpleString()
+    return docs.select(doc_id, F.lower(text)).mapInArrow(run, f"{doc_id} {kind}, term string, tf double")
 
 
 def inverse_frequencies(tf: DataFrame, n_docs: DataFrame) -> DataFrame:
@@ -27,14 +63,38 @@ def inverse_frequencies(tf: DataFrame, n_docs: DataFrame) -> DataFrame:
     return df.join(n_docs).select("term", "df", (F.log((F.col("n") + 1) / (F.col("df") + 1)) + 1).alias("idf"))  # one row
 
 
-def lexical_scores(queries: DataFrame, query_id: str, text: str, tf: DataFrame, idf: DataFrame, doc_id: str) -> DataFrame:
+def lexical_scores(queries: DataFrame, query_id: str, text: str, docs: DataFrame, doc_id: str, doc_text: str, only: Column | None = None) -> DataFrame:
     """query_id, doc_id, lexical: summed over the query's terms (repeated ones count) by an
-    equi-join on terms, over the number of terms. Documents without a term of it are not there."""
+    equi-join on terms, over the number of terms. Documents without a term of it are not there, nor
+    those that ``only`` leaves out; these still count for a term's frequency. Documents are
+    tokenized once, and only terms that some query has go on."""
     asked = queries.select(query_id, identifier_tokens(F.col(text)).alias("_t")).select(query_id, F.size("_t").alias("_n"), F.explode("_t").alias("term"))
     asked = asked.groupBy(query_id, "_n", "term").agg(F.count("*").alias("_times"))
+    words = [r.term for r in asked.select("term").distinct().limit(MOST_TERMS + 1).collect()]
+    tf = saved(term_frequencies(docs, doc_id, doc_text, words if len(words) <= MOST_TERMS else None), "tf")
+    idf = inverse_frequencies(tf, docs.agg(F.count("*").alias("n")))
+    if only is not None:
+        tf = tf.join(docs.filter(only).select(doc_id), doc_id, "left_semi")
     part = F.col("_times") * F.col("idf") * F.col("tf") * (K1 + 1) / (F.col("tf") + K1)
-    scored = asked.join(idf, "term").join(tf, "term").groupBy(query_id, doc_id).agg((F.sum(part) / F.greatest(F.lit(1), F.max("_n"))).alias("lexical"))
-    return scored
+    return asked.join(idf, "term").join(tf, "term").groupBy(query_id, doc_id).agg((F.sum(part) / F.greatest(F.lit(1), F.max("_n"))).alias("lexical"))
+
+
+def hybrid_search(lexical: DataFrame, queries: DataFrame, query_id: str, chunks: DataFrame, doc_id: str, static: Column, k: int = 5) -> DataFrame:
+    """Per query the k best chunks by the lexical score at its weight and a ``static`` part that no
+    query changes. A chunk without a term of the query can only be among the k best overall by its
+    static part, so those k are tried for every query, and no chunk meets every query."""
+    scored = chunks.select(doc_id, static.alias("_static"))
+    with_terms = lexical.join(scored, doc_id).select(query_id, doc_id, F.bround(HYBRID_WEIGHTS["lexical"] * F.col("lexical") + F.col("_static"), 6).alias("score"))
+    best = scored.select(doc_id, F.bround("_static", 6).alias("score")).orderBy(F.desc("score"), doc_id).limit(k)
+    tried = queries.select(query_id).join(F.broadcast(best))  # k rows for each query
+    rest = tried.join(lexical.select(query_id, doc_id), [query_id, doc_id], "left_anti").select(query_id, doc_id, "score")
+    return top_k(with_terms.union(rest), query_id, "score", doc_id, k)
+
+
+def centrality(links: DataFrame, file: str, other: str, enough: int) -> DataFrame:
+    """file, share: its distinct links over ``enough``, at most 1."""
+    counted = links.groupBy(file).agg(F.count_distinct(other).alias("_n"))
+    return counted.select(file, F.least(F.lit(1.0), F.col("_n") / float(enough)).alias("share"))
 
 
 def top_k(scored: DataFrame, query_id: str, score: str, doc_id: str, k: int) -> DataFrame:
@@ -43,37 +103,136 @@ def top_k(scored: DataFrame, query_id: str, score: str, doc_id: str, k: int) ->
     return scored.withColumn("rank", rank).filter(F.col("rank") <= k)
 
 
-def _few(queries: DataFrame, most: int = 10_000) -> bool:
-    """Whether queries are few enough to be sent to every task; else the planner chooses."""
-    return queries.limit(most + 1).count() <= most
+class _QueryBlock:
+    """Queries as a matrix: which distinct words each has, and how often."""
+
+    def __init__(self, rows: list):
+        rows = sorted(rows, key=lambda r: r.query_id)
+        self.ids = [r.query_id for r in rows]
+        self.words = {w: i for i, w in enumerate(sorted({w for r in rows for w in r["_terms"] or ()}))}
+        self.times = np.zeros((len(self.words), len(rows)))
+        for q, r in enumerate(rows):
+            for w in r["_terms"] or ():
+                self.times[self.words[w], q] += 1
+        self.n = np.maximum(1, self.times.sum(axis=0))
+        self.values = {c: [r[c] for r in rows] for c in rows[0].asDict() if c.startswith("_x_")}
+
+    def matcher(self):
+        """A function low text -> share of each query's words that it holds anywhere: one pass over
+        the text for all words."""
+        import ahocorasick
+
+        tree = ahocorasick.Automaton()
+        for w, i in self.words.items():
+            tree.add_word(w, i)
+        tree.make_automaton()
+        short: dict[str, np.ndarray] = {}
+
+        def share(low: str | None) -> np.ndarray:
+            if low in short:
+                return short[low]
+            found = sorted({i for _, i in tree.iter(low)}) if low and self.words else []
+            out = self.times[found].sum(axis=0) / self.n
+            if low is not None and len(low) < 100 and len(short) < 10_000:
+                short[low] = out
+            return out
+
+        return share
 
 
-def field_score(terms: Column, low_fields: dict[str, Column]) -> Column:
-    """Weighted shares of the terms that the fields (in lower case) hold."""
-    total = F.lit(0.0)
-    for name, weight in FIELD_WEIGHTS.items():
-        total = total + weight * terms_within(terms, low_fields[name])
-    return total
+def _query_blocks(queries: DataFrame) -> Iterator[_QueryBlock]:
+    """The stated queries (query_id, _terms, _x_*) in blocks that fit a task."""
+    blocks = -(-queries.count() // QUERY_BLOCK)
+    for b in range(blocks):
+        if rows := queries.filter(F.pmod(F.xxhash64("query_id"), F.lit(blocks)) == b).collect():  # about QUERY_BLOCK queries
+            yield _QueryBlock(rows)
+
+
+def _best(scores: np.ndarray, ids: list, k: int) -> tuple[np.ndarray, list]:
+    """The k best by score, then id, and those so close behind that rounding may tie them; of one
+    score no more than k."""
+    order = sorted(range(len(ids)), key=lambda i: (-scores[i], ids[i]))
+    least = scores[order[min(k, len(order)) - 1]] - 2e-6
+    out, same, last = [], 0, None
+    for i in order:
+        if scores[i] < least:
+            break
+        same = same + 1 if scores[i] == last else 1
+        last = scores[i]
+        if same <= k:
+            out.append(i)
+    return scores[out], [ids[i] for i in out]
+
+
+def _top_records(block: _QueryBlock, record_id: str, fields: list[str], exclude: list[str], k: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        share, kind = block.matcher(), None
+        codes = {c: {v: i for i, v in enumerate(dict.fromkeys(block.values[f"_x_{c}"]))} for c in exclude}
+        own = {c: np.array([codes[c][v] for v in block.values[f"_x_{c}"]]) for c in exclude}
+        best = [(np.zeros(0), []) for _ in block.ids]
+        for batch in batches:
+            kind = batch.schema.field(0).type
+            for at in range(0, batch.num_rows, RECORD_BLOCK):
+                part = batch.slice(at, RECORD_BLOCK)
+                rows = {n: c.to_pylist() for n, c in zip(part.schema.names, part.columns)}
+                ids = rows[record_id]
+                scores = np.zeros((len(ids), len(block.ids)))
+                for name in fields:
+                    scores = scores + FIELD_WEIGHTS[name] * np.array([share(x) for x in rows[f"_f_{name}"]])
+                for c in exclude:
+                    scores[np.array([codes[c].get(v, -1) for v in rows[c]])[:, None] == own[c]] = -1.0
+                for q, (kept, names) in enumerate(best):
+                    least = kept[k - 1] - 2e-6 if len(kept) >= k else 0.0
+                    new = np.flatnonzero(scores[:, q] >= least)
+                    if len(new):
+                        best[q] = _best(np.concatenate([kept, scores[new, q]]), names + [ids[i] for i in new], k)
+        for q, (kept, names) in enumerate(best):
+            if names:
+                yield pa.RecordBatch.from_arrays([pa.array([block.ids[q]] * len(names)), pa.array(names, kind), pa.array(kept)], ["query_id", record_id, "score"])
+
+    return run
 
 
 def retrieve(queries: DataFrame, query_id: str, text: str, records: DataFrame, record_id: str, fields: dict[str, Column], k: int = 5, exclude: Sequence[str] = ()) -> DataFrame:
     """Per query the k best records by weighted term overlap, then id.
 
-    Scores are substring overlaps, so every query meets every record; queries are a stated set and
-    small. ``exclude``: columns that queries and records share; a record equal to the query in any
-    of them is left out. Records need only their fields, so no text is carried through the sort.
+    A query's words count where they stand anywhere in a field, so every record is scored for every
+    query of a stated, small set: by one pass over its text for the words of a block of queries,
+    and a matrix. A task keeps the best of its records for each query, so only these are shuffled
+    and no pairs are made. ``exclude``: columns that queries and records share; a record equal to
+    the query in any of them is left out.
     """
     asked = queries.select(F.col(query_id).alias("query_id"), query_terms(F.col(text)).alias("_terms"), *(F.col(c).alias(f"_x_{c}") for c in exclude))
     low = records.select(record_id, *exclude, *(F.lower(c).alias(f"_f_{n}") for n, c in fields.items()))
-    # the work is in the pairs, so records are dealt by number, not by bytes
-    spark = records.sparkSession
-    low = low.repartition(max(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions"))), record_id)
-    allowed = F.lit(True)
-    for c in exclude:
-        allowed &= ~F.col(c).eqNullSafe(F.col(f"_x_{c}"))
-    pairs = low.join(F.broadcast(asked) if _few(asked) else asked, allowed)
-    scored = pairs.select("query_id", record_id, F.bround(field_score(F.col("_terms"), {n: F.col(f"_f_{n}") for n in fields}), 6).alias("score"))
-    return top_k(scored, "query_id", "score", record_id, k)
+    kinds = f"query_id {queries.schema[query_id].dataType.simpleString()}, {record_id} {records.schema[record_id].dataType.simpleString()}, score double"
+    found = [low.mapInArrow(_top_records(block, record_id, list(fields), list(exclude), k), kinds) for block in _query_blocks(asked)]
+    every = reduce(DataFrame.union, found, records.sparkSession.createDataFrame([], kinds))
+    return top_k(every.withColumn("score", F.bround("score", 6)), "query_id", "score", record_id, k)
+
+
+def best_overlap(queries: DataFrame, query_id: str, text: str, records: DataFrame, record_id: str, record_text: str) -> DataFrame:
+    """record_id, query_id, overlap: for each record the query of which it holds the largest share of
+    words, of all of a stated set in blocks; ties go to the smallest query_id. ``record_id`` is
+    unique; without queries there are no rows."""
+    asked = queries.select(F.col(query_id).alias("query_id"), query_terms(F.col(text)).alias("_terms"))
+    kinds = f"{record_id} {records.schema[record_id].dataType.simpleString()}, {query_id} {queries.schema[query_id].dataType.simpleString()}, overlap double"
+
+    def scored(block: _QueryBlock):
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            share = block.matcher()
+            for batch in batches:
+                shares = np.array([share(x) for x in batch.column(1).to_pylist()]).reshape(batch.num_rows, -1)
+                first = shares.argmax(axis=1)
+                yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([block.ids[i] for i in first]), pa.array(shares[np.arange(len(first)), first])], [record_id, query_id, "overlap"])
+
+        return records.select(record_id, F.lower(record_text)).mapInArrow(run, kinds)
+
+    found = [scored(b) for b in _query_blocks(asked)]
+    if len(found) == 1:
+        return found[0]
+    every = reduce(DataFrame.union, found, records.sparkSession.createDataFrame([], kinds))
+    best = every.groupBy(record_id).agg(F.min(F.struct((-F.col("overlap")).alias("o"), F.col(query_id))).alias("b"))
+    return best.select(record_id, f"b.{query_id}", (-F.col("b.o")).alias("overlap"))
 
 
 def hit_rates(ranked: DataFrame, queries: DataFrame, query_id: str, match: Column, ks: Sequence[int] = (1, 3, 5)) -> DataFrame:
@@ -85,6 +244,22 @@ def hit_rates(ranked: DataFrame, queries: DataFrame, query_id: str, match: Colum
     return all_of.agg(*(share(F.col(f"_h{k}")).alias(f"hit_at_{k}") for k in ks), share(F.col("_n")).alias("mean_returned"), share(F.col("_n").isNull().cast("int")).alias("empty_share"))
 
 
+def remaining(queries: DataFrame, query_id: str, records: DataFrame, record_id: str, groups: tuple[str, str], keys: Sequence[str]) -> DataFrame:
+    """query_id, n: records left when those equal to the query in any of the two ``groups`` or of
+    the ``keys`` are left out. By inclusion and exclusion over counts of the groups, less the
+    records that only a key leaves out: equi-joins throughout."""
+    a, b = groups
+    own = queries.select(query_id, *groups, *keys)
+    both = records.groupBy(a, b).agg(F.count("*").alias("_ab"))
+    counted = own.join(both.groupBy(a).agg(F.sum("_ab").alias("_a")), a, "left").join(both.groupBy(b).agg(F.sum("_ab").alias("_b")), b, "left").join(both, [a, b], "left")
+    counted = counted.join(F.broadcast(records.agg(F.count("*").alias("_all"))))  # one row
+    n = F.col("_all") - sum(F.coalesce(c, F.lit(0)) for c in ("_a", "_b")) + F.coalesce("_ab", F.lit(0))
+    rows = records.select(record_id, F.col(a).alias("_ra"), F.col(b).alias("_rb"), *keys)
+    by_key = [own.select(query_id, a, b, k).join(rows.select(record_id, "_ra", "_rb", k), k).filter((F.col(a) != F.col("_ra")) & (F.col(b) != F.col("_rb"))).select(query_id, record_id) for k in keys]
+    off = reduce(DataFrame.union, by_key).distinct().groupBy(query_id).agg(F.count("*").alias("_off"))
+    return counted.join(off, query_id, "left").select(query_id, (n - F.coalesce("_off", F.lit(0))).alias("n"))
+
+
 def seeded_sample(df: DataFrame, row_id: str, n: int, seed: int) -> DataFrame:
     """The n rows whose hashed id comes first: the same rows for a seed at any partitioning."""
     return df.withColumn("_h", F.xxhash64(row_id, F.lit(seed))).orderBy("_h", row_id).limit(n).drop("_h")

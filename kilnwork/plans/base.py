@@ -11,14 +11,21 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from ..sources.files import spread
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
 
 Tables = Callable[[str], DataFrame]
 
 
+#: Tables of texts, on which a row is much work.
+TEXTS = ("documents", "pages", "conversations")
+
+
 def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    df = spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    return spread(df) if name in TEXTS else df
 
 
 def entity(spark: SparkSession, sf_dir: str, text: str) -> DataFrame:
@@ -60,7 +67,7 @@ def query(sql: str | None = None, **named: str):
 
 
 _DIFF = """'diff --git a/src/' || d.source || '.py b/src/' || d.source || '.py' || chr(10) || '--- a/src/' || d.source || '.py' || chr(10)
-    || '+++ b/src/' || d.source || '.py' || chr(10) || '-old line' || chr(10) || '+' || substr(d.text, 1, 40)
+    || '+++ b/src/' || d.source || '.py' || chr(10) || '-old line' || chr(10) || '+' || replace(d.text, chr(10), chr(10) || '+')
     || CASE WHEN d.doc_id % 4 = 0 THEN chr(10) || 'diff --git a/tests/test_x.py b/tests/test_x.py' || chr(10) || '+    assert value == 42' ELSE '' END
     || CASE WHEN d.doc_id % 6 = 0 THEN chr(10) || '+    if name == test_case:' || chr(10) || '+        x = 1' ELSE '' END
     || CASE WHEN d.doc_id % 7 = 0 THEN chr(10) || '+    return "expected"' ELSE '' END

@@ -18,9 +18,9 @@ def render_chat(t):
 
 
 @query("""
-    SELECT conv_id, turn * 2 + 0 AS ord, 'assistant' AS role, role AS content FROM conversations UNION ALL SELECT conv_id, turn * 2 + 1, 'tool', substr(text, 1, 20) FROM conversations""")
+    SELECT conv_id, turn * 2 + 0 AS ord, 'assistant' AS role, role AS content FROM conversations UNION ALL SELECT conv_id, turn * 2 + 1, 'tool', text FROM conversations""")
 def chat_flatten(t):
-    two = F.array(F.struct(F.lit(0).alias("o"), P.message("assistant", F.col("role")).alias("m")), F.struct(F.lit(1).alias("o"), P.message("tool", F.substring("text", 1, 20)).alias("m")))
+    two = F.array(F.struct(F.lit(0).alias("o"), P.message("assistant", F.col("role")).alias("m")), F.struct(F.lit(1).alias("o"), P.message("tool", F.col("text")).alias("m")))
     return t("conversations").select("conv_id", "turn", F.explode(two).alias("x")).select("conv_id", (F.col("turn") * 2 + F.col("x.o")).alias("ord"), "x.m.*")
 
 
@@ -67,13 +67,13 @@ def proj_key_subset(t):
 
 @query("""
     SELECT trajectory_id, step_id, CASE action_name WHEN 'read_file' THEN 'file=' || file_path || ' chars=' || length(content)::VARCHAR WHEN 'edit_file' THEN 'file=' || file_path
-        WHEN 'search_repo' THEN 'query=' || substr(content, 1, 10) WHEN 'run_test' THEN 'status=ok' ELSE '' END AS observation FROM run_steps""")
+        WHEN 'search_repo' THEN 'query=' || content WHEN 'run_test' THEN 'status=ok' ELSE '' END AS observation FROM run_steps""")
 def proj_observation_dispatch(t):
     a = F.col("action_name")
     seen = (
         F.when(a == "read_file", F.concat(F.lit("file="), "file_path", F.lit(" chars="), F.length("content").cast("string")))
         .when(a == "edit_file", F.concat(F.lit("file="), "file_path"))
-        .when(a == "search_repo", F.concat(F.lit("query="), F.substring("content", 1, 10)))
+        .when(a == "search_repo", F.concat(F.lit("query="), "content"))
         .when(a == "run_test", "status=ok")
         .otherwise("")
     )
@@ -160,9 +160,8 @@ def idf_table(t):
     return _idf(t, _tf(t)).select("term", "df", F.bround("idf", 6).alias("idf"))
 
 
-def _lexical(t):
-    tf = _tf(t)
-    return T.lexical_scores(t("benchmark"), "item_id", "text", tf, _idf(t, tf), "doc_id")
+def _lexical(t, only=None):
+    return T.lexical_scores(t("benchmark"), "item_id", "text", t("documents"), "doc_id", "text", only)
 
 
 @query(f"""
@@ -176,39 +175,83 @@ def bm25_topk(t):
 _STRUCT = "CASE WHEN len(string_split(text, chr(10))) BETWEEN 3 AND 30 THEN least(1.0, CASE lang WHEN 'en' THEN 1.0 WHEN 'de' THEN 0.9 WHEN 'fr' THEN 0.8 ELSE 0.5 END + 0.1) ELSE CASE lang WHEN 'en' THEN 1.0 WHEN 'de' THEN 0.9 WHEN 'fr' THEN 0.8 ELSE 0.5 END END"
 
 
-@query(f"""
-    WITH {_LEX}, s AS (SELECT doc_id, ({_STRUCT})::DOUBLE AS structural FROM documents),
-         a AS (SELECT b.item_id, s.doc_id, round_even(0.5 * coalesce(lexical, 0) + 0.15 * structural + 0.35, 6) AS score FROM s CROSS JOIN benchmark b LEFT JOIN lex ON lex.item_id = b.item_id AND lex.doc_id = s.doc_id),
+# a chunk's file, the modules it imports, and the test files that mention it
+_GRAPH = """i AS (SELECT file, count(DISTINCT module) AS n FROM (SELECT 'src/' || source || '.py' AS file, 'm' || (n_chars % 23)::VARCHAR AS module FROM documents) GROUP BY file),
+    m AS (SELECT 'src/' || stem || '.py' AS file, count(DISTINCT doc_id) AS n FROM (SELECT DISTINCT doc_id, unnest(regexp_extract_all(lower(text), '[a-z]+[0-9]+')) AS stem FROM documents WHERE doc_id % 4 = 0) GROUP BY ALL)"""
+_BIAS = "src/src1.py"
+
+
+def _searched(where: str) -> str:
+    return f"""
+    WITH {_LEX}, {_GRAPH}, s AS (SELECT doc_id, 0.15 * ({_STRUCT})::DOUBLE + 0.15 * CASE WHEN 'src/' || source || '.py' = '{_BIAS}' THEN 1.0 ELSE 0.5 END::DOUBLE + 0.1 * least(1.0, coalesce(i.n, 0) / 10.0)::DOUBLE + 0.1 * least(1.0, coalesce(m.n, 0) / 5.0)::DOUBLE AS static
+                FROM documents LEFT JOIN i ON i.file = 'src/' || source || '.py' LEFT JOIN m ON m.file = 'src/' || source || '.py' WHERE {where}),
+         a AS (SELECT b.item_id, s.doc_id, round_even(0.5 * coalesce(lexical, 0) + static, 6) AS score FROM s CROSS JOIN benchmark b LEFT JOIN lex ON lex.item_id = b.item_id AND lex.doc_id = s.doc_id),
          r AS (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS rank FROM a)
-    SELECT item_id, doc_id, score, rank FROM r WHERE rank <= 5""")
-def code_search(t):
-    """A stated query set against every chunk: those without a term of the query still have their
-    structural score and the constant ones."""
+    SELECT item_id, doc_id, score, rank FROM r WHERE rank <= 5"""
+
+
+def _search(t, file_filter: str = ""):
+    """Hybrid search of every chunk: lexical, structural, path, import and test signals; a
+    ``file_filter`` leaves files out before anything is scored."""
+    file = F.concat(F.lit("src/"), "source", F.lit(".py"))
     kind = F.when(F.col("lang") == "en", "function").when(F.col("lang") == "de", "method").when(F.col("lang") == "fr", "class").otherwise("file_level")
-    chunks = t("documents").select("doc_id", X.structural_score(kind, F.lit(""), F.col("text")).alias("structural"))
-    every = chunks.join(t("benchmark").select("item_id"), F.lit(True)).join(_lexical(t), ["item_id", "doc_id"], "left")
+    imported = T.centrality(t("documents").select(file.alias("file"), F.concat(F.lit("m"), (F.col("n_chars") % 23).cast("string")).alias("module")), "file", "module", 10).withColumnRenamed("share", "imports")
+    tests = t("documents").filter("doc_id % 4 = 0").select("doc_id", F.explode(F.array_distinct(F.regexp_extract_all(F.lower("text"), F.lit("[a-z]+[0-9]+"), F.lit(0)))).alias("stem"))
+    tested = T.centrality(tests.select(F.concat(F.lit("src/"), "stem", F.lit(".py")).alias("file"), "doc_id"), "file", "doc_id", 5).withColumnRenamed("share", "tests")
+    only = F.contains(file, F.lit(file_filter)) if file_filter else None
+    chunks = t("documents").filter(F.lit(True) if only is None else only).withColumn("file", file).join(imported, "file", "left").join(tested, "file", "left")
     w = T.HYBRID_WEIGHTS
-    total = w["lexical"] * F.coalesce("lexical", F.lit(0.0)) + w["structural"] * F.col("structural") + (w["path"] + w["imports"] + w["tests"])
-    return T.top_k(every.select("item_id", "doc_id", F.bround(total, 6).alias("score")), "item_id", "score", "doc_id", 5)
+    static = (
+        w["structural"] * X.structural_score(kind, F.lit(""), F.col("text")) + w["path"] * X.path_proximity(F.col("file"), F.lit(_BIAS))
+        + w["imports"] * F.coalesce("imports", F.lit(0.0)) + w["tests"] * F.coalesce("tests", F.lit(0.0))
+    )
+    return T.hybrid_search(_lexical(t, only), t("benchmark"), "item_id", chunks, "doc_id", static, 5)
+
+
+@query(_searched("true"))
+def code_search(t):
+    return _search(t)
+
+
+@query(_searched("contains('src/' || source || '.py', 'src/src1')"))
+def code_search_in_files(t):
+    return _search(t, "src/src1")
 
 
 _OVER = "len([x for x in regexp_split_to_array(lower(q), '\\s+') if x <> '' AND contains(lower({0}), x)]) / greatest(1, len([x for x in regexp_split_to_array(lower(q), '\\s+') if x <> '']))::DOUBLE"
 _FIELD = " + ".join(f"{w} * ({_OVER.format(f)})" for w, f in ((0.40, "issue"), (0.25, "failure_signal"), (0.20, "'Changed 1 file(s): src/' || family || '.py. +1/-1 lines.'"), (0.10, "'src/' || family || '.py'"), (0.05, "'sft: ' || family")))
 
 
+_STRICT = "task_id <> qtask AND family <> qfamily AND split <> qsplit AND patch_hash <> qpatch AND issue_hash <> qissue"
+
+
 def _retrieved(where: str) -> str:
     return f"""
-    asked AS (SELECT item_id AS query_id, text AS q, 'src' || (item_id % 20)::VARCHAR AS qfamily, CASE WHEN item_id % 2 = 0 THEN 'eval' ELSE 'train' END AS qsplit FROM benchmark),
-    scored AS (SELECT query_id, experience_id, family, qfamily, round_even({_FIELD}, 6) AS score FROM history, asked WHERE {where}),
+    asked AS (SELECT item_id AS query_id, text AS q, item_id AS qtask, 'src' || (item_id % 20)::VARCHAR AS qfamily, CASE WHEN item_id % 2 = 0 THEN 'eval' ELSE 'train' END AS qsplit, {_PATCH_HASH.format('text')} AS qpatch, {_ISSUE_HASH.format('text')} AS qissue FROM benchmark),
+    hist AS (SELECT *, {_PATCH_HASH.format('issue')} AS patch_hash, {_ISSUE_HASH.format('issue')} AS issue_hash FROM history),
+    scored AS (SELECT query_id, experience_id, family, qfamily, round_even({_FIELD}, 6) AS score FROM hist AS history, asked WHERE {where}),
     ranked AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, experience_id) AS rank FROM scored)"""
 
 
+_PATCH_HASH = "CASE WHEN {0} = '' THEN '' ELSE substr(sha256({0}), 1, 16) END"
+_ISSUE_HASH = "CASE WHEN {0} = '' THEN '' ELSE substr(sha256(encode({0})[1:200]), 1, 16) END"
+#: What strict retrieval leaves out: records equal to the query in any of these.
+_DIMENSIONS = ("task_id", "family", "split", "patch_hash", "issue_hash")
+
+
 def _asked(t):
-    return t("benchmark").select(F.col("item_id").alias("query_id"), F.col("text").alias("q"), F.concat(F.lit("src"), (F.col("item_id") % 20).cast("string")).alias("family"), F.when(F.col("item_id") % 2 == 0, "eval").otherwise("train").alias("split"))
+    return t("benchmark").select(
+        F.col("item_id").alias("query_id"), F.col("text").alias("q"), F.col("item_id").alias("task_id"), F.concat(F.lit("src"), (F.col("item_id") % 20).cast("string")).alias("family"),
+        F.when(F.col("item_id") % 2 == 0, "eval").otherwise("train").alias("split"), X.content_hash(F.col("text")).alias("patch_hash"), X.pattern_hash(F.col("text")).alias("issue_hash"),
+    )
+
+
+def _records(t):
+    return t("history").withColumns({"patch_hash": X.content_hash(F.col("issue")), "issue_hash": X.pattern_hash(F.col("issue"))})
 
 
 def _retrieve(t, exclude=()):
-    return T.retrieve(_asked(t), "query_id", "q", t("history"), "experience_id", _history_fields(), 5, exclude)
+    return T.retrieve(_asked(t), "query_id", "q", _records(t), "experience_id", _history_fields(), 5, exclude)
 
 
 @query(f"WITH {_retrieved('true')} SELECT query_id, experience_id, score, rank FROM ranked WHERE rank <= 5")
@@ -216,20 +259,15 @@ def retrieve_quality(t):
     return _retrieve(t)
 
 
-@query(f"WITH {_retrieved('family <> qfamily AND split <> qsplit')} SELECT query_id, experience_id, score, rank FROM ranked WHERE rank <= 5")
+@query(f"WITH {_retrieved(_STRICT)} SELECT query_id, experience_id, score, rank FROM ranked WHERE rank <= 5")
 def retrieve_strict(t):
-    return _retrieve(t, ("family", "split"))
+    return _retrieve(t, _DIMENSIONS)
 
 
-@query("""
-    WITH q AS (SELECT item_id, 'src' || (item_id % 20)::VARCHAR AS f, CASE WHEN item_id % 2 = 0 THEN 'eval' ELSE 'train' END AS s FROM benchmark)
-    SELECT item_id AS query_id, count(h.task_id) AS n FROM q LEFT JOIN history h ON h.family <> q.f AND h.split <> q.s GROUP BY item_id""")
+@query(f"WITH {_retrieved(_STRICT)} SELECT query_id, (SELECT count(*) FROM scored WHERE scored.query_id = asked.query_id) AS n FROM asked")
 def coverage_count(t):
-    """Records left by the exclusions, from counts of their groups alone."""
-    groups = t("history").groupBy("family", "split").agg(F.count("*").alias("c"))
-    q = _asked(t).select("query_id", F.col("family").alias("f"), F.col("split").alias("s"))
-    left = q.join(groups, (F.col("family") != F.col("f")) & (F.col("split") != F.col("s")), "left")
-    return left.groupBy("query_id").agg(F.coalesce(F.sum("c"), F.lit(0)).alias("n"))
+    """Records left by all five exclusions."""
+    return T.remaining(_asked(t), "query_id", _records(t), "experience_id", ("family", "split"), ("task_id", "patch_hash", "issue_hash"))
 
 
 def _rates(where: str) -> str:
@@ -249,9 +287,9 @@ def hit_at_k(t):
     return _hits(t)
 
 
-@query(f"SELECT 'quality' AS mode, * FROM ({_rates('true')}) UNION ALL SELECT 'strict', * FROM ({_rates('family <> qfamily AND split <> qsplit')})".replace("history", "history"))
+@query(f"SELECT 'quality' AS mode, * FROM ({_rates('true')}) UNION ALL SELECT 'strict', * FROM ({_rates(_STRICT)})")
 def ablation_modes(t):
-    modes = [_hits(t, x).select(F.lit(m).alias("mode"), "*") for m, x in (("quality", ()), ("strict", ("family", "split")))]
+    modes = [_hits(t, x).select(F.lit(m).alias("mode"), "*") for m, x in (("quality", ()), ("strict", _DIMENSIONS))]
     return modes[0].union(modes[1])
 
 

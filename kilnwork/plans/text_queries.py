@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import diff as D, reward as R, text as X
+from ..operators import retrieval as T
 from .base import query
 
 _LINES = "string_split(text, chr(10))"
@@ -12,7 +13,10 @@ _FILES = "[regexp_replace(string_split(x, ' ')[4], '^b/', '') for x in string_sp
 _ADDED = "[x[2:] for x in string_split(patch, chr(10)) if starts_with(x, '+') AND NOT starts_with(x, '+++')]"
 _CHANGED = "len([x for x in string_split(patch, chr(10)) if (starts_with(x, '+') AND NOT starts_with(x, '+++')) OR (starts_with(x, '-') AND NOT starts_with(x, '---'))])"
 _TESTS = r"len([f for f in " + _FILES + r" if regexp_matches(f, '(^|/)(tests|tests_hidden)/|(^|/)test_[^/]+\.py$')]) > 0"
-_HARD = r"(regexp_matches(array_to_string({a}, chr(10)), 'return\s+[''\"](expected|fixed|success|pass)[''\"]') OR len([x for x in {a} if regexp_matches(x, '^\s*(if|elif|while)\s+(.+):') AND contains(regexp_extract(x, '^\s*(if|elif|while)\s+(.+):', 2), 'test_')]) > 0)".replace("{a}", _ADDED).replace('\\"', '"')
+_TEXT = f"array_to_string({_ADDED}, chr(10))"
+_BRANCH = rf"len([x for x in {_ADDED} if regexp_matches(x, '^\s*(if|elif|while)\s+(.+):') AND contains(regexp_extract(x, '^\s*(if|elif|while)\s+(.+):', 2), 'test_')]) > 0"
+_PATTERNS = (r"if\s+.*(task_00\d|pytest|tests_hidden)", r"return\s+[''\x22](expected|fixed|success|pass)[''\x22]", r"==\s*[''\x22][^''\x22]{20,}[''\x22]")
+_HARD = f"({' OR '.join(f"regexp_matches({_TEXT}, '{p}')" for p in _PATTERNS)} OR {_BRANCH})"
 
 
 @query(r"""
@@ -49,11 +53,14 @@ def issue_query(t):
 
 
 @query("""
-    SELECT doc_id, item_id, round_even(len([x for x in regexp_split_to_array(lower(b.text), '\\s+') if x <> '' AND contains(lower(d.text), x)]) / greatest(1, len([x for x in regexp_split_to_array(lower(b.text), '\\s+') if x <> '']))::DOUBLE, 6) AS overlap
-    FROM documents d JOIN benchmark b ON b.item_id = d.doc_id % 40""")
+    WITH b AS (SELECT item_id, [x for x in regexp_split_to_array(lower(text), '\\s+') if x <> ''] AS q FROM benchmark),
+         s AS (SELECT doc_id, item_id, len([x for x in q if contains(lower(d.text), x)]) / greatest(1, len(q))::DOUBLE AS overlap FROM documents d CROSS JOIN b),
+         r AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY overlap DESC, item_id) AS n FROM s)
+    SELECT doc_id, item_id, round_even(overlap, 6) AS overlap FROM r WHERE n = 1""")
 def term_overlap(t):
-    asked = t("benchmark").select("item_id", F.col("text").alias("q"))
-    return t("documents").join(asked, F.col("item_id") == F.col("doc_id") % 40).select("doc_id", "item_id", F.bround(X.term_overlap(F.col("q"), F.col("text")), 6).alias("overlap"))
+    """For each document the item of the whole benchmark, of which it holds the largest share of words."""
+    best = T.best_overlap(t("benchmark"), "item_id", "text", t("documents"), "doc_id", "text")
+    return best.withColumn("overlap", F.bround("overlap", 6))
 
 
 @query("""
@@ -193,11 +200,26 @@ def structural_score(t):
 
 @query("""
     WITH l AS (SELECT page_id, unnest(string_split(html, chr(10))) AS line, generate_subscripts(string_split(html, chr(10)), 1) AS n FROM pages)
-    SELECT page_id, n, substr(line, 1, 50) AS head FROM l WHERE contains(line, 'href')""")
+    SELECT page_id, n, line FROM l WHERE contains(line, 'href')""")
 def grep_lines(t):
     from ..sources.files import grep
 
-    return grep(t("pages"), "page_id", "html", "href").select("page_id", "n", F.substring("line", 1, 50).alias("head"))
+    return grep(t("pages"), "page_id", "html", "href").select("page_id", "n", "line")
+
+
+@query("""
+    WITH f AS (SELECT page_id, 'site' || (page_id % 3)::VARCHAR || CASE WHEN page_id % 7 = 0 THEN '/.git' ELSE '' END || '/p' || page_id::VARCHAR || CASE WHEN page_id % 2 = 0 THEN '.html' ELSE '.txt' END AS path, html FROM pages),
+         l AS (SELECT path, unnest(string_split(html, chr(10))) AS line, generate_subscripts(string_split(html, chr(10)), 1) AS n FROM f WHERE starts_with(path, 'site1/') AND path LIKE '%.html' AND NOT contains(path, '/.git/')),
+         r AS (SELECT path, n, line FROM l WHERE contains(line, 'href') ORDER BY path, n LIMIT 20)
+    SELECT path, n, sha256(line) AS line FROM r""")
+def grep_files(t):
+    """The first 20 matches in order of path and line: the limit is the feature."""
+    from ..sources.files import grep
+
+    k = F.col("page_id")
+    path = F.concat(F.lit("site"), (k % 3).cast("string"), F.when(k % 7 == 0, "/.git").otherwise(""), F.lit("/p"), k.cast("string"), F.when(k % 2 == 0, ".html").otherwise(".txt"))
+    found = grep(t("pages").select(path.alias("path"), "html"), "path", "html", "href", prefix="site1/", glob="*.html", max_matches=20)
+    return found.select("path", "n", F.sha2("line", 256).alias("line"))
 
 
 @query("SELECT page_id, sha256(array_to_string((string_split(html, chr(10)))[2:5], chr(10))) AS part FROM pages")
@@ -223,8 +245,8 @@ def diff_modifies_tests(t):
 @query(rf"""
     SELECT task_id, array_to_string(list_sort([r for r in [
         CASE WHEN regexp_matches(array_to_string({_ADDED}, chr(10)), '(^|[^\w.])42([^\w.]|$)') THEN 'number: 42' END,
-        CASE WHEN task_id % 6 = 0 AND task_id % 10 <> 7 THEN 'test branch' END,
-        CASE WHEN task_id % 7 = 0 AND task_id % 10 <> 7 THEN 'pattern 2' END,
+        CASE WHEN {_BRANCH} THEN 'test branch' END,
+        {', '.join(f"CASE WHEN regexp_matches({_TEXT}, '{p}') THEN 'pattern {i}' END" for i, p in enumerate(_PATTERNS, 1))},
         CASE WHEN contains(array_to_string({_ADDED}, chr(10)), 'done') THEN 'literal: done' END] if r IS NOT NULL]), ',') AS reasons
     FROM run_rewards""")
 def hardcode_flags(t):

@@ -2,15 +2,23 @@
 
 from __future__ import annotations
 
+import fnmatch
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, SparkSession, Window, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 from pyspark.sql.types import StructType
 
 # Folders that scans leave out.
 IGNORED = (".git", ".venv", "__pycache__", ".pytest_cache", "node_modules")
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """``df`` in at least as many partitions as there are cores: a small file of one row group is
+    one task else. A table of more splits stays as it is, so nothing is shuffled at scale."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df if df.rdd.getNumPartitions() >= cores else df.repartition(cores)
+
+
 def read_json_lines(spark: SparkSession, path: str, schema: StructType | str, strict: bool = True) -> DataFrame:
     """Records of a JSON-lines path. ``strict``: a malformed line fails the job, else it is left
     out. A path without files gives no rows."""
@@ -35,20 +43,37 @@ def read_text_files(spark: SparkSession, path: str, glob: str = "*", ignored: Se
     """path and content of all files below ``path`` that fit ``glob`` and lie in no ignored folder."""
     files = spark.read.option("recursiveFileLookup", "true").option("pathGlobFilter", glob).text(path, wholetext=True)
     named = files.select(F.col("_metadata.file_path").alias("path"), F.col("value").alias("content"))
-    return named.filter(~F.arrays_overlap(F.split("path", "/"), F.array(*map(F.lit, ignored))))
+    return named.filter(~in_ignored(F.col("path"), ignored))
 
 
 def merge_manifests(primary: DataFrame, found: DataFrame, key: str) -> DataFrame:
-    """Rows of both by ``key``; where both have one, the primary one stays."""
+    """Rows of both by ``key``; where both have one, the primary one stays, and of several from one
+    side the first by its values."""
     both = primary.withColumn("_from", F.lit(0)).unionByName(found.withColumn("_from", F.lit(1)), allowMissingColumns=True)
-    first = F.row_number().over(Window.partitionBy(key).orderBy("_from"))
+    first = F.row_number().over(Window.partitionBy(key).orderBy("_from", *(c for c in both.columns if c not in (key, "_from"))))
     return both.withColumn("_n", first).filter("_n = 1").drop("_n", "_from")
 
 
-def grep(files: DataFrame, key: str, text: str, term: str, regex: bool = False) -> DataFrame:
-    """key, n (line number from 1) and line of every line with the term."""
+def in_ignored(path: Column, ignored: Sequence[str] = IGNORED) -> Column:
+    """Whether a part of the path is an ignored folder."""
+    return F.arrays_overlap(F.split(path, "/"), F.array(*map(F.lit, ignored)))
+
+
+def fits_glob(path: Column, glob: str) -> Column:
+    """Whether the whole path fits a pattern of ``*``, ``?`` and ``[...]``."""
+    return path.rlike("^" + fnmatch.translate(glob).removeprefix("(?s:").removesuffix(r")\Z").removesuffix(r")\z") + "$")
+
+
+def grep(files: DataFrame, key: str, text: str, term: str, regex: bool = False, prefix: str = "", glob: str = "", max_matches: int | None = None) -> DataFrame:
+    """key, n (line number from 1) and line of every line with the term. With a ``prefix`` or
+    ``glob`` the key is a path, and only files that fit and lie in no ignored folder are read;
+    ``max_matches`` are the first ones in order of key and line."""
+    if prefix or glob:
+        files = files.filter(F.col(key).startswith(prefix) & ~in_ignored(F.col(key)))
+        files = files.filter(fits_glob(F.col(key), glob)) if glob else files
     rows = files.select(key, F.posexplode(F.split(text, "\n", -1)).alias("n", "line"))
-    return rows.filter(F.col("line").rlike(term) if regex else F.contains("line", F.lit(term))).withColumn("n", F.col("n") + 1)
+    found = rows.filter(F.col("line").rlike(term) if regex else F.contains("line", F.lit(term))).withColumn("n", F.col("n") + 1)
+    return found if max_matches is None else found.orderBy(key, "n").limit(max_matches)
 
 
 def write_json_lines(df: DataFrame, path: str, sort_keys: bool = True, files: int | None = None) -> None:
