@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import Column, functions as F
 from pyspark.sql.types import StringType
 
-from .text import EXPORT_TERMS
+from .text import EXPORT_TERMS, redact
 
 # The actions an agent may take and what they need.
 ACTIONS = ("repo_tree", "search_repo", "read_file", "edit_file", "run_test", "git_diff", "finish", "semantic_search_repo")
@@ -87,3 +87,38 @@ def safe_snippet(issue: Column, failure: Column, patch: Column, strategy: Column
     part = lambda label, text, n: F.when(F.length(text) > 0, F.concat(F.lit(f"{label}: "), F.substring(text, 1, n) if n else text))
     whole = F.concat_ws(" | ", part("Issue", issue, 200), part("Failure", failure, 150), part("Fix", patch, 150), part("Strategy", strategy, 100), part("Files", F.array_join(F.slice(files, 1, 5), ", "), 0))
     return F.when(F.length(whole) > most, F.concat(F.substring(whole, 1, most - 3), F.lit("..."))).otherwise(whole)
+
+
+def is_public_test(command: Column, phase: Column) -> Column:
+    """Whether a test run is a public one: nothing hidden in it, and a test or the public phase."""
+    low = [F.lower(F.coalesce(c.cast("string"), F.lit(""))) for c in (command, phase)]
+    hidden = F.contains(low[0], F.lit("tests_hidden")) | F.contains(low[1], F.lit("hidden"))
+    return ~hidden & (F.contains(low[0], F.lit("test")) | F.contains(low[1], F.lit("public")))
+
+
+def is_forbidden(payload: Column, command: Column, terms: Sequence[str] = EXPORT_TERMS) -> Column:
+    """Whether an action's arguments name evaluator files or its command runs hidden tests."""
+    low = F.lower(F.coalesce(payload, F.lit("")))
+    out = F.contains(F.lower(F.coalesce(command, F.lit(""))), F.lit("hidden"))
+    for t in terms:
+        out |= F.contains(low, F.lit(t))
+    return out
+
+
+def failure_signal(kind: Column, reason: Column, labels: Column, failure: Column) -> Column:
+    """Of a preference record its reason, else its labels; of others the class of failure, if any."""
+    told = F.coalesce(F.nullif(reason, F.lit("")), F.array_join(labels, ", "), F.lit(""))
+    other = F.when(F.coalesce(failure, F.lit("")).isin("", "none"), "public_passes").otherwise(failure)
+    return F.when(kind == "preference", told).otherwise(other)
+
+
+def gold_side(task_id: Column, patch: Column) -> Column:
+    """The chosen side made of a task's reference patch: a success by definition."""
+    reward = F.struct(F.lit(True).alias("public_pass"), F.lit(True).alias("hidden_pass"), F.lit(False).alias("leakage_detected"), F.lit(False).alias("syntax_error"), F.lit(1.0).alias("total_reward"))
+    return F.struct(F.concat(task_id.cast("string"), F.lit("_gold_reference")).alias("trajectory_id"), redact(patch).alias("final_patch"), reward.alias("reward"))
+
+
+def rejected_reward(reason: Column) -> Column:
+    """The reward of a rejected side that has none of its own."""
+    failure = F.when(reason == "no_patch", "public_fail").otherwise("hidden_unknown")
+    return F.struct(F.lit(False).alias("public_pass"), F.lit(False).alias("hidden_pass"), failure.alias("failure"), F.coalesce(reason == "syntax_error", F.lit(False)).alias("syntax_error"), F.lit(0.0).alias("total_reward"))

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
+
+from .sequence import ranked
 
 
 def or_unknown(key: Column) -> Column:
@@ -54,14 +56,8 @@ def group_advantage(df: DataFrame, key: str, reward: str, eps: float = 1e-6) ->
 
 def every_nth_split(df: DataFrame, key: str, n: int = 5) -> DataFrame:
     """Adds split: every n-th distinct key in order is eval, and all its rows with it; with more
-    than one key but none to eval, the last one is. Only distinct keys are ranked; a key's place
-    is its rank among the keys of its first character, after those of earlier ones."""
-    keys = df.select(key).distinct().withColumn("_c", F.coalesce(F.substring(F.col(key).cast("string"), 1, 4), F.lit("")))
-    if dict(df.dtypes)[key] != "string":
-        keys = keys.withColumn("_c", F.floor(F.col(key) / 65_536))
-    blocks = keys.groupBy("_c").agg(F.count("*").alias("_k"))
-    w = Window.orderBy("_c")
-    blocks = blocks.withColumn("_before", F.sum("_k").over(w) - F.col("_k")).withColumn("_n", F.sum("_k").over(Window.partitionBy()))
-    ranked = keys.withColumn("_r", F.row_number().over(Window.partitionBy("_c").orderBy(key)) - 1).join(blocks, "_c").withColumn("_i", F.col("_r") + F.col("_before"))
-    split = F.when(F.col("_i") % n == n - 1, "eval").when((F.col("_n") < n) & (F.col("_n") > 1) & (F.col("_i") == F.col("_n") - 1), "eval").otherwise("train")
-    return df.join(ranked.select(key, split.alias("split")), key)
+    than one key but none to eval, the last one is. Only distinct keys are ranked, by ranges."""
+    keys = ranked(df.select(key).distinct(), [F.col(key)], "_place")
+    count = keys.agg(F.count("*").alias("_n"))
+    split = F.when(F.col("_place") % n == n - 1, "eval").when((F.col("_n") < n) & (F.col("_n") > 1) & (F.col("_place") == F.col("_n") - 1), "eval").otherwise("train")
+    return df.join(keys.join(F.broadcast(count)).select(key, split.alias("split")), key)  # one row

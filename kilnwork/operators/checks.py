@@ -52,3 +52,23 @@ def not_shrunk(before: DataFrame, now: DataFrame, key: str, count: str) -> DataF
     """Keys whose count is smaller now than in the snapshot."""
     both = before.select(key, F.col(count).alias("before")).join(now.select(key, F.col(count).alias("now")), key, "left")
     return both.filter(F.col("before") > F.coalesce("now", F.lit(0)))
+
+
+def presence_counts(df: DataFrame, columns: list[str]) -> DataFrame:
+    """field, present: rows that have a value in each column, from one pass."""
+    counts = df.agg(*(F.count_if(~is_missing(F.col(c))).alias(c) for c in columns))
+    return counts.unpivot([], columns, "field", "present")
+
+
+def resolve_summary(results: DataFrame, resolved: Column, failed: Column) -> DataFrame:
+    """One row: total, resolved, unresolved, error_count and the share resolved (0 without rows)."""
+    yes = lambda c: F.count_if(F.coalesce(c, F.lit(False)))
+    n = results.agg(F.count("*").alias("total"), yes(resolved).alias("resolved"), yes(failed).alias("error_count"))
+    rate = F.bround(F.col("resolved") / F.greatest(F.col("total"), F.lit(1)), 4)
+    return n.select("total", "resolved", (F.col("total") - F.col("resolved")).alias("unresolved"), "error_count", rate.alias("resolve_rate"))
+
+
+def check_report(checks: Mapping[str, DataFrame]) -> DataFrame:
+    """name, passed of each check (a table of one column passed and one row), and ``overall``."""
+    each = reduce(DataFrame.union, (df.select(F.lit(name).alias("name"), "passed") for name, df in checks.items()))
+    return each.union(each.agg(F.bool_and("passed").alias("passed")).select(F.lit("overall"), "passed"))

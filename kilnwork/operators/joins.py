@@ -2,29 +2,59 @@
 
 from __future__ import annotations
 
+from collections import defaultdict
+from collections.abc import Iterator
+from functools import reduce
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
-WORD = r"[\p{L}\p{N}]+"
+#: Bytes of needles that a task looks for at once.
+NEEDLE_BYTES = 1_000_000
 
 
 def contains_pairs(texts: DataFrame, text_id: str, text: str, needles: DataFrame, needle_id: str, needle: str) -> DataFrame:
-    """text_id, needle_id of every text that contains a needle, without a nested loop.
+    """text_id, needle_id of every text that contains a needle.
 
-    A text that contains a needle has each inner word of the needle as a word of its own. So texts
-    are looked up by the needle's longest inner word, and only these candidates are checked. A
-    needle without an inner word is checked against every text.
+    Needles are a stated set, taken in blocks of about NEEDLE_BYTES; each text is read once a block
+    for all its needles together, so no pairs are made and no text is moved. An empty needle is in
+    every text, a null one in none.
     """
-    spelled = needles.select(needle_id, F.col(needle).alias("_needle")).withColumn("_words", F.regexp_extract_all(F.col("_needle"), F.lit(WORD), F.lit(0)))
-    inner = F.when(F.size("_words") > 2, F.slice("_words", 2, F.size("_words") - 2))
-    longest = F.array_max(F.transform(inner, lambda w: F.struct(F.length(w).alias("n"), w.alias("w"))))["w"]
-    spelled = spelled.withColumn("_word", longest).drop("_words")
-    words = texts.select(text_id, F.explode(F.array_distinct(F.regexp_extract_all(F.col(text), F.lit(WORD), F.lit(0)))).alias("_word"))
-    found = words.join(spelled.filter("_word is not null").select(needle_id, "_word"), "_word").select(text_id, needle_id)
-    short = spelled.filter("_word is null").select(needle_id)
-    # the planner broadcasts the few short needles if they are few
-    candidates = found.union(texts.select(text_id).join(short, F.lit(True)))
-    checked = candidates.join(texts.select(text_id, F.col(text).alias("_text")), text_id).join(spelled.select(needle_id, "_needle"), needle_id)
-    return checked.filter(F.contains("_text", F.col("_needle"))).select(text_id, needle_id)
+    spelled = needles.select(F.col(needle_id).alias("id"), F.col(needle).cast("string").alias("needle")).filter("needle is not null")
+    blocks = max(1, -(-(spelled.agg(F.sum(F.octet_length("needle"))).first()[0] or 0) // NEEDLE_BYTES))
+    kinds = f"{text_id} {texts.schema[text_id].dataType.simpleString()}, {needle_id} {needles.schema[needle_id].dataType.simpleString()}"
+
+    def block(words: dict[str, list]):
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            import ahocorasick
+
+            tree = ahocorasick.Automaton()
+            for w, ids in words.items():
+                if w:
+                    tree.add_word(w, ids)
+            tree.make_automaton()
+            for batch in batches:
+                keys, found = [], []
+                for key, whole in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                    if whole is None:
+                        continue
+                    own = {i for _, ids in tree.iter(whole) for i in ids} if len(tree) else set()
+                    own.update(words.get("", ()))
+                    keys += [key] * len(own)
+                    found += own
+                yield pa.RecordBatch.from_arrays([pa.array(keys, batch.schema.field(0).type), pa.array(found, kind)], [text_id, needle_id])
+
+        return texts.select(text_id, F.col(text).cast("string")).mapInArrow(run, kinds)
+
+    kind = to_arrow_type(needles.schema[needle_id].dataType)
+    parts = []
+    for b in range(blocks):
+        words: dict[str, list] = defaultdict(list)
+        for r in spelled.filter(F.pmod(F.xxhash64("needle"), F.lit(blocks)) == b).collect():  # about NEEDLE_BYTES
+            words[r.needle].append(r.id)
+        parts.append(block(dict(words)))
+    return reduce(DataFrame.union, parts)
 
 
 def group_stars(df: DataFrame, key: list[str], row_id: str) -> DataFrame:
@@ -33,15 +63,24 @@ def group_stars(df: DataFrame, key: list[str], row_id: str) -> DataFrame:
     return df.join(firsts, key).filter(F.col(row_id) > F.col("first")).select("first", row_id)
 
 
-def as_of(left: DataFrame, right: DataFrame, key: str, time: str, value: str) -> DataFrame:
-    """Each left row with the last right ``value`` of its key at or before its time: one shuffle
-    and one window over both sides together, no row pairs."""
+def as_of(left: DataFrame, right: DataFrame, key: str, time: str, value: str, bucket: Column) -> DataFrame:
+    """Each left row with the last right ``value`` of its key at or before its time: no row pairs.
+
+    Rows of a key are dealt over ``bucket``, a number that grows with the time, and each bucket is
+    ordered by itself; what was last before it is carried over from the buckets before, so a key
+    with many rows is no single task.
+    """
     names = left.columns
     both = left.withColumn("_side", F.lit(1)).withColumn(value, F.lit(None).cast(right.schema[value].dataType)).unionByName(
         right.select(key, time, value).withColumn("_side", F.lit(0)), allowMissingColumns=True
-    )
-    w = Window.partitionBy(key).orderBy(time, "_side").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    return both.withColumn(value, F.last(value, ignorenulls=True).over(w)).filter("_side = 1").select(*names, value)
+    ).withColumn("_b", bucket)
+    tails = both.groupBy(key, "_b").agg(F.max_by(value, F.when(F.col(value).isNotNull(), F.col(time))).alias("_tail"))
+    before = Window.partitionBy(key).orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
+    carried = tails.select(key, "_b", F.last("_tail", ignorenulls=True).over(before).alias("_carried"))
+    w = Window.partitionBy(key, "_b").orderBy(time, "_side").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    found = both.withColumn("_key", F.col(key)).join(carried.withColumnRenamed(key, "_k"), F.col("_key").eqNullSafe(F.col("_k")) & (both["_b"] == carried["_b"])).drop(carried["_b"])
+    last = F.coalesce(F.last(value, ignorenulls=True).over(w), F.col("_carried"))
+    return found.withColumn(value, last).filter("_side = 1").select(*names, value)
 
 
 def range_join(points: DataFrame, point: Column, ranges: DataFrame, low: str, high: str, width: float) -> DataFrame:

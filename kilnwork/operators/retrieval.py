@@ -10,6 +10,7 @@ from functools import reduce
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
 from ..functions.text import identifier_tokens, query_terms
 from ..sources.store import saved
@@ -106,9 +107,9 @@ def top_k(scored: DataFrame, query_id: str, score: str, doc_id: str, k: int) ->
 class _QueryBlock:
     """Queries as a matrix: which distinct words each has, and how often."""
 
-    def __init__(self, rows: list):
+    def __init__(self, rows: list, kind: pa.DataType):
         rows = sorted(rows, key=lambda r: r.query_id)
-        self.ids = [r.query_id for r in rows]
+        self.ids = pa.array([r.query_id for r in rows], kind)
         self.words = {w: i for i, w in enumerate(sorted({w for r in rows for w in r["_terms"] or ()}))}
         self.times = np.zeros((len(self.words), len(rows)))
         for q, r in enumerate(rows):
@@ -145,7 +146,7 @@ def _query_blocks(queries: DataFrame) -> Iterator[_QueryBlock]:
     blocks = -(-queries.count() // QUERY_BLOCK)
     for b in range(blocks):
         if rows := queries.filter(F.pmod(F.xxhash64("query_id"), F.lit(blocks)) == b).collect():  # about QUERY_BLOCK queries
-            yield _QueryBlock(rows)
+            yield _QueryBlock(rows, to_arrow_type(queries.schema["query_id"].dataType))
 
 
 def _best(scores: np.ndarray, ids: list, k: int) -> tuple[np.ndarray, list]:
@@ -188,7 +189,7 @@ def _top_records(block: _QueryBlock, record_id: str, fields: list[str], exclude:
                         best[q] = _best(np.concatenate([kept, scores[new, q]]), names + [ids[i] for i in new], k)
         for q, (kept, names) in enumerate(best):
             if names:
-                yield pa.RecordBatch.from_arrays([pa.array([block.ids[q]] * len(names)), pa.array(names, kind), pa.array(kept)], ["query_id", record_id, "score"])
+                yield pa.RecordBatch.from_arrays([pa.array([block.ids[q].as_py()] * len(names), block.ids.type), pa.array(names, kind), pa.array(kept)], ["query_id", record_id, "score"])
 
     return run
 
@@ -223,7 +224,7 @@ def best_overlap(queries: DataFrame, query_id: str, text: str, records: DataFram
             for batch in batches:
                 shares = np.array([share(x) for x in batch.column(1).to_pylist()]).reshape(batch.num_rows, -1)
                 first = shares.argmax(axis=1)
-                yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([block.ids[i] for i in first]), pa.array(shares[np.arange(len(first)), first])], [record_id, query_id, "overlap"])
+                yield pa.RecordBatch.from_arrays([batch.column(0), block.ids.take(pa.array(first)), pa.array(shares[np.arange(len(first)), first])], [record_id, query_id, "overlap"])
 
         return records.select(record_id, F.lower(record_text)).mapInArrow(run, kinds)
 

@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from ..sources.store import saved
+
 # What a context keeps first, and its size.
 PRIORITY = {"issue": 10, "system": 9, "test_summary": 8, "repo_map": 7, "retrieved_file": 5, "history_rag": 4, "tool_trace": 3}
 AVAILABLE_TOKENS = 8000 - 400 - 1200
@@ -27,12 +29,25 @@ def keep_first(df: DataFrame, key: list[Column], order: list[str], columns: list
     return df.groupBy(*named).agg(row.alias("_f"), F.count("*").alias("copies")).select(*[F.col(f"_f.{c}") for c in columns], "copies")
 
 
-def islands(df: DataFrame, key: str, order: str, gap: int) -> DataFrame:
-    """key, island, first, last, n: runs of rows whose steps are at most ``gap`` apart."""
-    w = Window.partitionBy(key).orderBy(order)
-    new = F.coalesce((F.col(order) - F.lag(order).over(w) > gap).cast("int"), F.lit(0))
-    numbered = df.withColumn("_new", new).withColumn("island", F.sum("_new").over(w.rowsBetween(Window.unboundedPreceding, 0)))
-    return numbered.groupBy(key, "island").agg(F.min(order).alias("first"), F.max(order).alias("last"), F.count("*").alias("n"))
+def islands(df: DataFrame, key: str, order: str, gap: int, width: int | None = None) -> DataFrame:
+    """key, first, last, n: runs of rows whose steps are at most ``gap`` apart.
+
+    Rows of a key are dealt over ranges of ``width`` and runs are found in each; only the first and
+    last run of a range can go on in another one, and only these are then ordered by key, so a key
+    with many rows is no single task.
+    """
+    def runs(rows: DataFrame, parts: list[str], first: str, last: str, n) -> DataFrame:
+        w = Window.partitionBy(*parts).orderBy(first)
+        new = F.coalesce((F.col(first) - F.lag(last).over(w) > gap).cast("int"), F.lit(0))
+        numbered = rows.withColumn("_new", new).withColumn("_run", F.sum("_new").over(w.rowsBetween(Window.unboundedPreceding, 0)))
+        return numbered.groupBy(*parts, "_run").agg(F.min(first).alias("first"), F.max(last).alias("last"), n.alias("n"))
+
+    dealt = df.select(key, order, F.floor(F.col(order) / (width or 1000 * gap)).alias("_b"))
+    inside = runs(dealt, [key, "_b"], order, order, F.count("*"))
+    last_run = F.max("_run").over(Window.partitionBy(key, "_b"))
+    inside = inside.withColumn("_edge", (F.col("_run") == 0) | (F.col("_run") == last_run)).drop("_run")
+    joined = runs(inside.filter("_edge"), [key], "first", "last", F.sum("n"))
+    return inside.filter("not _edge").select(key, "first", "last", "n").union(joined.select(key, "first", "last", "n"))
 
 
 def pack_budget(items: DataFrame, pack: str, item: str, role: Column, tokens: str, available: int = AVAILABLE_TOKENS) -> DataFrame:
@@ -99,3 +114,32 @@ def explored(steps: DataFrame, key: str, order: str, path: str) -> DataFrame:
     firsts = steps.groupBy(key, path).agg(F.min(order).alias("_o"))
     listed = F.transform(F.array_sort(F.collect_list(F.struct("_o", path))), lambda x: x[path])
     return firsts.groupBy(key).agg(listed.alias("files"))
+
+
+# What a prompt shows of a run.
+SHOWN = ("repo_tree", "search_repo", "read_file", "run_test", "git_diff", "invalid_action")
+
+
+def recent_context(steps: DataFrame, key: str, order: str, action: str, path: str, content: str, observations: int = 8, names: int = 5) -> DataFrame:
+    """key and what a prompt shows of its run: the last ``names`` files read and queries asked, and
+    those of the last ``observations`` steps that may be shown. A run's steps are bounded."""
+    listed = F.array_sort(F.collect_list(F.struct(F.col(order).alias("o"), F.col(action).alias("a"), F.col(path).alias("p"), F.col(content).alias("c"))))
+    last = lambda a, n: F.slice(a, F.greatest(F.size(a) - n, F.lit(0)) + 1, n)
+    of = lambda name, field: F.transform(F.filter("_l", lambda x: x["a"] == name), lambda x: x[field])
+    seen = F.filter(last(F.col("_l"), observations), lambda x: x["a"].isin(*SHOWN))
+    grouped = steps.groupBy(key).agg(listed.alias("_l"))
+    return grouped.select(key, last(of("read_file", "p"), names).alias("files"), last(of("search_repo", "c"), names).alias("queries"), F.transform(seen, lambda x: F.concat_ws(": ", x["a"], x["c"])).alias("observations"))
+
+
+def ranked(df: DataFrame, order: list[Column], name: str = "rank") -> DataFrame:
+    """Adds the row's number from 0 in the order of several keys: rows are dealt by ranges, numbered
+    within their partition and shifted by the sizes of those before, so no task holds them all."""
+    placed = df.orderBy(*order).select("*", F.spark_partition_id().alias("_p"), F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1)).alias("_i"))
+    placed = saved(placed, "ranked")
+    sizes = {r["_p"]: r["count"] for r in placed.groupBy("_p").count().collect()}  # one a partition
+    before, total = [], 0
+    for p in sorted(sizes):
+        before.append((p, total))
+        total += sizes[p]
+    table = df.sparkSession.createDataFrame(before or [(0, 0)], "_p int, _before long")
+    return placed.join(F.broadcast(table), "_p").withColumn(name, F.col("_i") + F.col("_before")).drop("_p", "_i", "_before")

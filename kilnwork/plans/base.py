@@ -82,7 +82,7 @@ ENTITIES = {
                coalesce(l.toxic = 1, false) AS leaked, d.doc_id % 17 = 0 AS syntax_error,
                CASE WHEN d.doc_id % 5 = 0 THEN 1 ELSE 0 END AS invalid, d.doc_id % 13 = 0 AS incomplete,
                CASE WHEN d.doc_id % 3 <> 0 THEN 0 WHEN d.doc_id % 11 = 0 THEN 124 ELSE 1 END AS hidden_exit,
-               CASE d.doc_id % 4 WHEN 0 THEN 'AssertionError: x' WHEN 1 THEN 'ImportError: y' WHEN 2 THEN 'Traceback z' ELSE 'lost' END AS hidden_text,
+               CASE d.doc_id % 4 WHEN 0 THEN 'AssertionError: ' WHEN 1 THEN 'ImportError: ' WHEN 2 THEN 'Traceback ' ELSE 'lost ' END || d.text AS hidden_text,
                CASE WHEN d.doc_id % 10 = 7 THEN '' ELSE {_DIFF} END AS patch
         FROM {{documents}} d LEFT JOIN {{labels}} l ON d.doc_id = l.doc_id""",
     "run_steps": """

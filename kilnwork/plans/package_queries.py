@@ -49,10 +49,12 @@ def rollout_rows(t):
     return rewards(t).filter("has_run").select("task_id", "policy", "public_pass", "hidden_pass", "failure", status.alias("status"))
 
 
-@query("SELECT event_id, (event_id % 9)::VARCHAR || ',t' || user_id::VARCHAR AS ids FROM events")
+@query("SELECT conv_id, turn, sha256(conv_id::VARCHAR || ',' || text || ',' || role) AS ids FROM conversations")
 def nested_ids(t):
-    raw = F.concat(F.lit('{"id": '), (F.col("event_id") % 9).cast("string"), F.lit(', "x": [{"y": {"id": "t'), F.col("user_id").cast("string"), F.lit('"}}]}'))
-    return t("events").select("event_id", F.array_join(N.values_of("id")(raw), ",").alias("ids"))
+    """Ids at any depth of a payload, whole texts among them."""
+    own = lambda c: F.to_json(F.struct(F.col(c).alias("id")))
+    raw = F.concat(F.lit('{"idx": true, "id": '), F.col("conv_id").cast("string"), F.lit(', "x": [{"y": '), own("text"), F.lit("}, "), own("role"), F.lit("]}"))
+    return t("conversations").select("conv_id", "turn", F.sha2(F.array_join(N.values_of("id")(raw), ","), 256).alias("ids"))
 
 
 @query("""
@@ -65,7 +67,9 @@ def report_metrics(t):
 
 
 @query("""
-    SELECT sha256(string_agg('p' || page_id::VARCHAR || '=' || sha256(html), chr(10) ORDER BY 'p' || page_id::VARCHAR)) AS checksum FROM pages""")
+    WITH f AS (SELECT 'p' || page_id::VARCHAR AS path, sha256(html) AS d FROM pages),
+         g AS (SELECT substr(sha256(path), 1, 4) AS g, sha256(string_agg(path || '=' || d, chr(10) ORDER BY path)) AS d FROM f GROUP BY ALL)
+    SELECT sha256(string_agg(g || '=' || d, chr(10) ORDER BY g)) AS checksum FROM g""")
 def tree_checksum(t):
     return P.tree_checksum(t("pages").select(F.concat(F.lit("p"), F.col("page_id").cast("string")).alias("path"), F.col("html").alias("content")))
 

@@ -88,14 +88,20 @@ def sanitize_payload(t):
 
 
 @query("""
-    SELECT event_id, CASE event_id % 7 WHEN 0 THEN 'invalid_json' WHEN 1 THEN 'missing_args' WHEN 2 THEN 'unknown_tool' WHEN 3 THEN 'missing_args' WHEN 4 THEN '' WHEN 5 THEN 'invalid_json' ELSE '' END AS error FROM events""")
+    SELECT conv_id, turn, CASE (conv_id + turn) % 7 WHEN 0 THEN 'invalid_json' WHEN 1 THEN 'missing_args' WHEN 2 THEN 'unknown_tool' WHEN 3 THEN 'missing_args' WHEN 4 THEN '' WHEN 5 THEN 'invalid_json' ELSE '' END AS error FROM conversations""")
 def parse_action(t):
-    k = F.col("event_id") % 7
+    """Actions whose arguments are whole texts, some of them broken."""
+    k = (F.col("conv_id") + F.col("turn")) % 7
+
+    def action(name, **args):
+        given = F.struct(*(F.col(v).alias(a) for a, v in args.items()))
+        return F.to_json(F.struct(F.lit(name).alias("action_name"), given.alias("action_input")))
+
     raw = (
-        F.when(k == 0, "{broken").when(k == 1, '{"thought": "x"}').when(k == 2, '{"action_name": "fly"}').when(k == 3, '{"action_name": "read_file", "action_input": {"query": 1}}')
-        .when(k == 4, '{"action_name": "read_file", "action_input": {"file_path": "a"}}').when(k == 5, "[1, 2]").otherwise('{"action_name": "git_diff"}')
+        F.when(k == 0, F.concat(F.lit('{"action_name": "'), "text")).when(k == 1, F.to_json(F.struct(F.col("text").alias("thought")))).when(k == 2, action("fly", to="text"))
+        .when(k == 3, action("read_file", query="text")).when(k == 4, action("read_file", file_path="text")).when(k == 5, F.to_json(F.array("text"))).otherwise(action("git_diff", note="text"))
     )
-    return t("events").select("event_id", P.action_error(raw).alias("error"))
+    return t("conversations").select("conv_id", "turn", P.action_error(raw).alias("error"))
 
 
 _SNIP = """'Issue: ' || substr(issue, 1, 200) || ' | Failure: ' || failure_signal || ' | Fix: Changed 1 file(s): src/' || family || '.py. +1/-1 lines. | Strategy: sft: ' || family || ' | Files: src/' || family || '.py'"""
@@ -324,16 +330,22 @@ def seeded_sample(t):
     return T.seeded_sample(t("documents").select("doc_id", "source"), "doc_id", 20, 42)
 
 
-_CODE = "import os\nfrom src.lib import tool\n\ndef f{0}(x):\n    '''Doc.'''\n    return x\n\nclass K:\n    def m(self):\n        return os.path\n\nA = 1\nB = 2\n"
+def _sources(t):
+    """A module for each document: its whole text as comment lines between imports and code."""
+    head = F.concat(F.lit("import os\nfrom src.lib import tool\nimport m"), (F.col("n_chars") % 23).cast("string"), F.lit("\n# "), F.replace("text", F.lit("\n"), F.lit("\n# ")))
+    body = F.concat(F.lit("\n\ndef f"), (F.col("doc_id") % 7).cast("string"), F.lit("(x):\n    \'\'\'Doc.\'\'\'\n    return x\n\nclass K:\n    def m(self):\n        return os.path\n\nA = 1\nB = 2\n"))
+    return t("documents").select("doc_id", F.concat(head, body).alias("code"))
 
 
-def _sources(t):
-    return t("documents").select("doc_id", F.replace(F.lit(_CODE), F.lit("{0}"), (F.col("doc_id") % 7).cast("string")).alias("code"))
+_N = "len(string_split(text, chr(10)))"
 
 
-@query("SELECT doc_id, unnest(['function', 'class', 'method', 'file_level', 'file_level']) AS kind, unnest([4, 8, 9, 1, 12]) AS first, unnest([6, 10, 10, 2, 13]) AS last FROM documents")
+@query(f"""
+    WITH d AS (SELECT doc_id, {_N} AS n FROM documents)
+    SELECT doc_id, unnest(['function', 'class', 'method', 'file_level', 'file_level']) AS kind, unnest([5 + n, 9 + n, 10 + n, 1, 13 + n]) AS first, unnest([7 + n, 11 + n, 11 + n, 3 + n, 14 + n]) AS last,
+           unnest(['f' || (doc_id % 7)::VARCHAR, 'K', 'm', '', '']) AS name FROM d""")
 def ast_chunks(t):
-    return C.parsed(_sources(t), "doc_id", "code", C.chunks).select("doc_id", "kind", "first", "last")
+    return C.parsed(_sources(t), "doc_id", "code", C.chunks).select("doc_id", "kind", "first", "last", "name")
 
 
 @query("SELECT doc_id, unnest(['f' || (doc_id % 7)::VARCHAR, 'K', 'm']) AS name, unnest(['function', 'class', 'function']) AS kind FROM documents")
@@ -341,6 +353,6 @@ def ast_symbols(t):
     return C.parsed(_sources(t), "doc_id", "code", C.symbols)
 
 
-@query("SELECT doc_id, unnest(['os', 'src.lib']) AS module, unnest(['os.py', 'src/lib.py']) AS path FROM documents")
+@query("SELECT doc_id, unnest(['os', 'src.lib', 'm' || (n_chars % 23)::VARCHAR]) AS module, unnest(['os.py', 'src/lib.py', 'm' || (n_chars % 23)::VARCHAR || '.py']) AS path FROM documents")
 def ast_imports(t):
     return C.parsed(_sources(t), "doc_id", "code", C.imports)

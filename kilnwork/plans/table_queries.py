@@ -295,7 +295,7 @@ def split_by_group(t):
          g AS (SELECT *, sum(new) OVER (PARTITION BY user_id ORDER BY event_id) AS island FROM w)
     SELECT user_id, min(event_id) AS first, max(event_id) AS last, count(*) AS n FROM g GROUP BY user_id, island HAVING count(*) > 1""")
 def gaps_islands(t):
-    return S.islands(t("events"), "user_id", "event_id", 150).filter("n > 1").drop("island")
+    return S.islands(t("events"), "user_id", "event_id", 150).filter("n > 1")
 
 
 @query("SELECT user_id, count(*) - count(DISTINCT event_type || props) AS repeats FROM events GROUP BY user_id")
@@ -375,8 +375,9 @@ def rel_range_join(t):
     SELECT e.event_id, p.price FROM (SELECT * FROM events WHERE event_type <> 'purchase') e ASOF LEFT JOIN p ON e.user_id = p.user_id AND e.ts >= p.ts""")
 def rel_asof(t):
     events = t("events")
+    day = F.datediff("ts", F.lit("2000-01-01"))
     prices = events.filter("event_type = 'purchase'").groupBy("user_id", "ts").agg(F.max("value").alias("price"))
-    return J.as_of(events.filter("event_type <> 'purchase'").select("event_id", "user_id", "ts"), prices, "user_id", "ts", "price").select("event_id", "price")
+    return J.as_of(events.filter("event_type <> 'purchase'").select("event_id", "user_id", "ts"), prices, "user_id", "ts", "price", day).select("event_id", "price")
 
 
 @query("SELECT l_returnflag, l_linestatus, count(*) AS n, round_even(sum(l_quantity), 2) AS quantity FROM lineitem GROUP BY ROLLUP (l_returnflag, l_linestatus)")

@@ -180,10 +180,14 @@ def path_proximity(t):
     return t("pages").select("page_id", F.bround(X.path_proximity(F.lit("src/lib/parser.py"), bias), 6).alias("proximity"))
 
 
-@query("SELECT page_id, CASE page_id % 3 WHEN 0 THEN 'src/a.py' WHEN 1 THEN 'a.py' END AS path FROM pages")
+@query(r"""
+    WITH u AS (SELECT page_id, rtrim(regexp_extract(url, '://[^/]*/([^?#]*)', 1), '/') AS p FROM pages)
+    SELECT page_id, CASE page_id % 4 WHEN 0 THEN 'src/' || p WHEN 1 THEN p WHEN 2 THEN regexp_replace(p, '/?[^/]*$', '') || '/a.py' END AS path FROM u""")
 def normalise_path(t):
-    k = F.col("page_id") % 3
-    return t("pages").select("page_id", X.normalise_path(F.when(k == 0, "./src//x/../a.py").when(k == 1, "src/../a.py").otherwise("../../a.py")).alias("path"))
+    """Paths of urls with detours; those that lead out of the tree are null."""
+    k, p = F.col("page_id") % 4, F.regexp_extract("url", r"://[^/]*/([^?#]*)", 1)
+    raw = F.when(k == 0, F.concat(F.lit("./src//x/../"), p)).when(k == 1, F.concat(F.lit("src/../"), p)).when(k == 2, F.concat(p, F.lit("/../a.py"))).otherwise(F.concat(F.lit("a/../../"), p))
+    return t("pages").select("page_id", X.normalise_path(raw).alias("path"))
 
 
 @query(f"""
@@ -290,9 +294,10 @@ def rewards(t):
 
 
 _OFF = "len([f for f in files if f <> 'src/' || policy || '.py']) > 0"
-_FAILURE = """CASE WHEN NOT public_pass THEN 'public_fail' WHEN hidden_exit = 0 THEN 'none' WHEN hidden_exit = 124 THEN 'hidden_timeout'
-    WHEN contains(hidden_text, 'ImportError') THEN 'hidden_import_or_syntax' WHEN contains(hidden_text, 'AssertionError') THEN 'hidden_assertion_fail'
-    WHEN contains(hidden_text, 'Traceback') THEN 'hidden_exception' ELSE 'hidden_unknown' END"""
+_FAILURE = """CASE WHEN NOT public_pass THEN 'public_fail' WHEN hidden_exit = 0 THEN 'none' WHEN hidden_exit = 124 OR contains(lower(hidden_text), 'timeout') OR contains(lower(hidden_text), 'timed out') THEN 'hidden_timeout'
+    WHEN contains(hidden_text, 'SyntaxError') OR contains(hidden_text, 'IndentationError') OR contains(hidden_text, 'ImportError') OR contains(hidden_text, 'ModuleNotFoundError') THEN 'hidden_import_or_syntax'
+    WHEN contains(hidden_text, 'AssertionError') OR contains(hidden_text, 'assert ') OR contains(lower(hidden_text), 'failed') THEN 'hidden_assertion_fail'
+    WHEN contains(hidden_text, 'Traceback') OR contains(hidden_text, 'Exception') OR contains(hidden_text, 'Error:') THEN 'hidden_exception' ELSE 'hidden_unknown' END"""
 _RISK = "CASE WHEN hardcoded OR test_modified THEN 'high' WHEN pass_then_fail THEN 'medium' ELSE 'low' END"
 
 
@@ -335,14 +340,20 @@ def rejection_reason(t):
     return reason(rewards(t)).select("task_id", "reason")
 
 
+_LABELS = f"""list_sort(list_distinct([l for l in [CASE WHEN pass_then_fail THEN 'public_pass_hidden_fail' END, CASE WHEN {_FAILURE} <> 'none' THEN {_FAILURE} END,
+        CASE WHEN {_RISK} <> 'low' THEN {_RISK} || '_generalization_risk' END, CASE WHEN invalid > 0 THEN 'invalid_action' END, CASE WHEN syntax_error THEN 'syntax_error' END, CASE WHEN leaked THEN 'leakage_detected' END] if l IS NOT NULL]))"""
+
+
+def labels():
+    c = F.col
+    return R.reason_labels(c("pass_then_fail"), c("failure"), c("risk"), c("invalid"), c("syntax_error"), c("leaked"))
+
+
 @query(f"""
     WITH x AS ({_RUN})
-    SELECT task_id, array_to_string(list_sort(list_distinct([l for l in [CASE WHEN pass_then_fail THEN 'public_pass_hidden_fail' END, CASE WHEN {_FAILURE} <> 'none' THEN {_FAILURE} END,
-        CASE WHEN {_RISK} <> 'low' THEN {_RISK} || '_generalization_risk' END, CASE WHEN invalid > 0 THEN 'invalid_action' END, CASE WHEN syntax_error THEN 'syntax_error' END, CASE WHEN leaked THEN 'leakage_detected' END] if l IS NOT NULL])), ',') AS labels
-    FROM x""")
+    SELECT task_id, array_to_string({_LABELS}, ',') AS labels FROM x""")
 def reason_labels(t):
-    c = F.col
-    return rewards(t).select("task_id", F.array_join(R.reason_labels(c("pass_then_fail"), c("failure"), c("risk"), c("invalid"), c("syntax_error"), c("leaked")), ",").alias("labels"))
+    return rewards(t).select("task_id", F.array_join(labels(), ",").alias("labels"))
 
 
 @query(f"""

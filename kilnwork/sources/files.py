@@ -83,6 +83,13 @@ def write_json_lines(df: DataFrame, path: str, sort_keys: bool = True, files: in
     (out.coalesce(files) if files else out).write.mode("overwrite").option("ignoreNullFields", "false").json(path)
 
 
+def write_json_document(row: DataFrame, path: str, column: str | None = None) -> None:
+    """A one-row table as a JSON document over several lines, or only its ``column``. It is one
+    value in one task: for manifests and small lists."""
+    value = F.col(column) if column else F.struct(*sorted(row.columns))
+    row.select(F.to_json(value, {"pretty": "true", "ignoreNullFields": "false"})).coalesce(1).write.mode("overwrite").text(path)
+
+
 def table_digest(df: DataFrame) -> DataFrame:
     """One row: number of rows and an order-free digest of their values."""
     h = F.xxhash64(*sorted(df.columns))

@@ -28,9 +28,14 @@ def markdown(title: str, table: DataFrame) -> str:
     return "\n".join(out) + "\n"
 
 
-def tree_checksum(files: DataFrame, path: str = "path", content: str = "content") -> DataFrame:
-    """One row: SHA-256 over the ordered digests of files; digests meet in one task, contents
-    don't."""
-    each = files.select(path, F.sha2(content, 256).alias("_d"))
-    listed = F.array_sort(F.collect_list(F.struct(path, "_d")))
-    return each.agg(F.sha2(F.array_join(F.transform(listed, lambda x: F.concat_ws("=", x[path], x["_d"])), "\n"), 256).alias("checksum"))
+def tree_checksum(files: DataFrame, path: str = "path", content: str = "content", digits: int = 4) -> DataFrame:
+    """One row: SHA-256 over a tree of digests. Files are dealt by the first hex ``digits`` of their
+    path's SHA-256; each group has the digest of its ordered ``path=digest`` lines, and the checksum
+    is that of the ordered ``group=digest`` lines, at most 16 ** digits of them."""
+    def over(name, digest):
+        listed = F.array_sort(F.collect_list(F.struct(F.col(name).alias("n"), F.col(digest).alias("d"))))
+        return F.sha2(F.array_join(F.transform(listed, lambda x: F.concat_ws("=", x["n"], x["d"])), "\n"), 256)
+
+    each = files.select(path, F.sha2(content, 256).alias("_d"), F.substring(F.sha2(F.col(path), 256), 1, digits).alias("_g"))
+    groups = each.groupBy("_g").agg(over(path, "_d").alias("_d"))
+    return groups.agg(over("_g", "_d").alias("checksum"))

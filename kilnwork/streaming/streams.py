@@ -6,8 +6,6 @@ executors share, with its checkpoint beside it, and the sink is returned as a ta
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from collections.abc import Iterator
 
 import pandas as pd
@@ -15,18 +13,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 from pyspark.sql.types import LongType, StructField, StructType
 
-_local: list[str] = []
-
-
-def shared_folder(spark: SparkSession, name: str) -> str:
-    """A fresh folder below ``spark.checkpoint.dir``; below a local one only where that is unset."""
-    root = spark.conf.get("spark.checkpoint.dir", None)
-    if not root:
-        if not _local:
-            _local.append("file://" + tempfile.mkdtemp(prefix="kilnwork-stream-"))
-        root = _local[0]
-    return f"{root.rstrip('/')}/kilnwork-{name}-{uuid.uuid4().hex}"
-
+from ..sources.store import scratch_path
 
 def event_stream(spark: SparkSession, path: str, time: str = "ts") -> DataFrame:
     """The Parquet events of ``path`` as a stream, with a timestamp that watermarks accept."""
@@ -36,21 +23,23 @@ def event_stream(spark: SparkSession, path: str, time: str = "ts") -> DataFrame:
     return spark.readStream.schema(schema).parquet(f"{head}[{last}]").withColumn(time, F.col(time).cast("timestamp"))
 
 
-def finished(stream: DataFrame, name: str, mode: str = "append") -> DataFrame:
-    """Run the stream to the end of its input; the rows it emitted."""
+def finished(stream: DataFrame, name: str, mode: str = "append", folder: str | None = None) -> DataFrame:
+    """Run the stream to the end of its input; the rows it emitted. With a ``folder`` of its own a
+    stream goes on from where its last run there ended; else it is a fresh one."""
     spark = stream.sparkSession
-    folder = shared_folder(spark, name)
+    folder = folder or scratch_path(spark, name)
     q = stream.writeStream.outputMode(mode).format("parquet").option("path", f"{folder}/out").option("checkpointLocation", f"{folder}/state").trigger(availableNow=True).start()
     q.awaitTermination()
     return spark.read.schema(stream.schema).parquet(f"{folder}/out")
 
 
-def upserted(stream: DataFrame, name: str, mode: str = "append") -> DataFrame:
+def upserted(stream: DataFrame, name: str, mode: str = "append", folder: str | None = None) -> DataFrame:
     """Run the stream to the end of its input, each micro-batch into a folder of its epoch; all
     rows with their epoch. A batch that runs again after a failure has the same epoch and
-    overwrites its folder, so no row is there twice."""
+    overwrites its folder, so no row is there twice. With a ``folder`` of its own a stream goes on
+    from where its last run there ended, and the rows of all its runs are given."""
     spark = stream.sparkSession
-    folder = shared_folder(spark, name)
+    folder = folder or scratch_path(spark, name)
 
     def write(batch: DataFrame, epoch: int) -> None:
         batch.withColumn("epoch", F.lit(epoch).cast("long")).write.mode("overwrite").parquet(f"{folder}/out/batch-{epoch}")
