@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, functions as F
 
 from .skew import salted_lookup
-from .store import release, saved
+from ..sources.store import release, saved
 
 
 def components(edges: DataFrame) -> DataFrame:

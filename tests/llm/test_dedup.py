@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from kilnwork.llm import exact_dedup as exact_dedup_module
 from kilnwork.llm.exact_dedup import _placed, exact_dedup, split_directory
 from kilnwork.llm.line_dedup import line_dedup
-from kilnwork.llm.store import saved
+from kilnwork.sources.store import saved
 
 
 def test_directory_doubles_until_buckets_fit():

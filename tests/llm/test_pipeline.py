@@ -6,7 +6,8 @@ import numpy as np
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from kilnwork.llm import langid, quality, store
+from kilnwork.llm import langid, quality
+from kilnwork.sources import store
 
 from .test_dedup import brute_lines
 from .test_langid_urls_licenses import brute_bin, brute_grams
