@@ -11,8 +11,7 @@ import atexit
 import functools
 import tempfile
 import uuid
-from collections.abc import Callable, Iterator
-from contextlib import contextmanager
+from collections.abc import Iterable
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -73,18 +72,12 @@ def release(*tables: DataFrame) -> None:
             _forget(path)
 
 
-@contextmanager
-def scratch() -> Iterator[Callable[[DataFrame], DataFrame]]:
-    """Remove all tables that are saved inside, once it ends, but for those given to the function
-    that it yields."""
-    before, kept = set(_made), set()
+def made() -> set[str]:
+    """The paths of all scratch tables there are."""
+    return set(_made)
 
-    def keep(df: DataFrame) -> DataFrame:
-        kept.add(df._kilnwork_path)
-        return df
 
-    try:
-        yield keep
-    finally:
-        for path in set(_made) - before - kept:
-            _forget(path)
+def forget(paths: Iterable[str]) -> None:
+    """Remove these scratch tables, as nothing reads them any more."""
+    for path in set(paths) & set(_made):
+        _forget(path)
