@@ -173,7 +173,7 @@ def test_url_verdicts_against_brute_force(spark):
     for u in urls:
         if best := brute_rule(u)[2]:
             judged[best[0]][u] += 1
-    chosen = {k: [(r.url, r.n) for r in spark.createDataFrame([(u, n, k) for u, n in judged[k].items()], "url string, n long, k string").orderBy(F.xxhash64("url"), "url").collect()] for k in judged}
+    chosen = {k: [(r.url, r.n) for r in spark.createDataFrame([(u, n, k) for u, n in judged[k].items()], "url string, n long, k string").orderBy(F.pmod(F.xxhash64("url"), F.lit(1 << 30)), "url").collect()] for k in judged}
     kinds = {k: [x for i, x in enumerate(v) if i % 5] for k, v in chosen.items()}
     llr = lambda u: (brute_log_likelihood(*zip(*kinds["allow"]), u) - brute_log_likelihood(*zip(*kinds["block"]), u)) / (len(u) + 1)
     cut = calibrate(*(np.array([llr(u) for u, _ in chosen[k][::5]]) for k in ("allow", "block")), *([n for _, n in chosen[k][::5]] for k in ("allow", "block")))

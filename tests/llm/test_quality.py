@@ -182,13 +182,15 @@ def test_scores_against_brute_force(spark):
 
 def test_a_hot_id_stays_within_the_bound(spark):
     rows = [(i % 10, f"alpha {i} beta") for i in range(1500)] + [(None, "gamma")] * 50
-    stats = text_stats(spark.createDataFrame(rows, "doc_id long, text string").repartition(3), ["doc_id"])
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3).withColumn("_at", F.monotonically_increasing_id())
+    stats = text_stats(docs, ["doc_id", "_at"])
     labels = spark.createDataFrame([(i, i % 2) for i in range(10)] + [(None, 1), (3, None)], "doc_id long, quality int")
     for most in (100, 5000):
         x, y = labelled_sample(stats, labels, most)
         assert x.shape == (min(most, 1500), len(FEATURES)) and len(y) == len(x)
-    again = labelled_sample(stats.repartition(5), labels, 100)
-    assert (again[0] == labelled_sample(stats, labels, 100)[0]).all()
+    assert (labelled_sample(stats, labels, 100)[0] == labelled_sample(stats, labels, 100)[0]).all()
+    copies = text_stats(spark.createDataFrame([(1, "same text")] * 3000 + [(2, "other")] * 30, "doc_id long, text string").withColumn("_at", F.monotonically_increasing_id()), ["doc_id", "_at"])
+    assert 50 <= len(labelled_sample(copies, labels, 60)[1]) <= 60
 
 
 def test_classifier_without_two_kinds_says_nothing():
