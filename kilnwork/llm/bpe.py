@@ -62,7 +62,8 @@ def token_ids(enc, text: str, size: int = STRETCH, long_space: re.Pattern = LONG
 
 def encode(docs: DataFrame, ranks: str, pattern: str) -> DataFrame:
     """doc_id and ids (array of int) of each text; null counts as empty, and an empty text has no
-    ids. Special tokens are ordinary text. Extra columns are left out; repeated rows stay."""
+    ids. Special tokens are ordinary text. A text of any length is encoded whole. Extra columns are
+    left out; repeated rows and those without doc_id stay; an empty table gives an empty result."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc = encoding(ranks, pattern)
@@ -78,7 +79,8 @@ def encode(docs: DataFrame, ranks: str, pattern: str) -> DataFrame:
 
 
 def decode(encoded: DataFrame, ranks: str, pattern: str) -> DataFrame:
-    """Adds decoded (binary): the raw bytes of the ids, whether they are valid UTF-8 or not."""
+    """Adds decoded (binary): the raw bytes of the ids, whether they are valid UTF-8 or not; null ids
+    give no bytes."""
     kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in encoded.schema)
     at = encoded.columns.index("ids")
 

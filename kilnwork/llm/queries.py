@@ -91,6 +91,16 @@ def op10_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter(_read(spark, sf_dir, "pages").select("page_id", "url")).select("page_id", "host", "path", "rule", "verdict", "llr")
 
 
+def rule_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What of op6 SQL can tell: the counts of every text and the base rule."""
+    return op6_quality_rules(spark, sf_dir).drop("kept", "rule")
+
+
+def url_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What of op10 SQL can tell: host, path and the rule of every url."""
+    return op10_url_filter(spark, sf_dir).select("page_id", "host", "path", "rule")
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
 
@@ -100,7 +110,7 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 def queries() -> dict[str, Query]:
     named = (
         op1_best_fit_packing, op2_quality_classifier, op3_byte_bpe, op4_exact_dedup, op5_line_dedup, op6_quality_rules,
-        op7_language_id, op8_simhash, op9_license_scan, op10_url_filter, pipeline,
+        op7_language_id, op8_simhash, op9_license_scan, op10_url_filter, rule_counts, url_rules, pipeline,
     )
     return {f.__name__: f for f in named}
 
@@ -122,6 +132,22 @@ ORACLE_SQL = {
         SELECT doc_id, count(*) AS n_lines, count(*) FILTER (WHERE gone) AS n_dropped,
                sha256(coalesce(string_agg(line, chr(10) ORDER BY pos) FILTER (WHERE NOT gone), '')) AS kept_sha256
         FROM d GROUP BY doc_id""",
+    "rule_counts": r"""
+        WITH t AS (SELECT doc_id, coalesce(text, '') AS text, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
+             p AS (SELECT doc_id, w, unnest(range(1, len(w) - 3)) AS i FROM t),
+             g AS (SELECT doc_id, i, array_to_string(w[i:i + 4], ' ') AS run FROM p),
+             r AS (SELECT doc_id, i FROM (SELECT *, count(*) OVER (PARTITION BY doc_id, run) AS n FROM g) WHERE n > 1),
+             c AS (SELECT doc_id, count(DISTINCT place) AS n FROM (SELECT doc_id, unnest(range(i, i + 5)) AS place FROM r) GROUP BY doc_id),
+             l AS (SELECT doc_id, [x for x in string_split(text, chr(10)) if regexp_matches(x, '[^\x20\x09-\x0D]')] AS held FROM t)
+        SELECT t.doc_id, len(w) AS n_words, length(array_to_string(w, '')) AS word_chars, length(regexp_replace(text, '[^#*$%&|<>]', '', 'g')) AS n_symbols,
+               len(held) - len(list_distinct(held)) AS n_dup_lines, coalesce(c.n, 0) AS n_repeat_words, len(w) < 10 OR 100 * coalesce(c.n, 0) > 20 * len(w) AS base_failed
+        FROM t JOIN l ON l.doc_id = t.doc_id LEFT JOIN c ON c.doc_id = t.doc_id""",
+    "url_rules": r"""
+        WITH u AS (SELECT page_id, CASE WHEN contains(coalesce(url, ''), '://') THEN substr(url, instr(url, '://') + 3) ELSE '' END AS rest FROM pages),
+             h AS (SELECT page_id, translate(regexp_extract(rest, '^[^/?#]*'), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host, regexp_extract(rest, '^[^/?#]*([^?#]*)', 1) AS path FROM u),
+             r AS (SELECT unnest(['com/', 'example.com/en/', 'www.example.com/en/', 'net/es/', 'net/fr/']) AS rule),
+             f AS (SELECT page_id, arg_max(rule, length(rule)) AS rule FROM h JOIN r ON (host = split_part(rule, '/', 1) OR ends_with(host, '.' || split_part(rule, '/', 1))) AND starts_with(path, substr(rule, instr(rule, '/'))) GROUP BY page_id)
+        SELECT h.page_id, host, path, f.rule FROM h LEFT JOIN f ON f.page_id = h.page_id""",
 }
 
 
