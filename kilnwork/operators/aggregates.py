@@ -25,7 +25,8 @@ def counts_by(df: DataFrame, key: str) -> DataFrame:
 
 
 def histogram(df: DataFrame, key: str, value: str) -> DataFrame:
-    """key, and its values with counts as ``value=n`` in order of the values."""
+    """key, and its values with counts as ``value=n`` in order of the values. ``value`` is a class
+    of few values (a kind of failure, a reason), as a key's counts become one text."""
     counted = df.groupBy(key, value).agg(F.count("*").alias("n"))
     told = F.concat_ws("=", value, F.col("n").cast("string"))
     return counted.groupBy(key).agg(F.array_join(F.array_sort(F.collect_list(told)), ",").alias("histogram"))
