@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, functions as F
 
 from .skew import salted_lookup
@@ -11,9 +13,15 @@ from ..sources.store import saved
 BLANK = " \t\n\x0b\x0c\r"
 
 
-def line_key(line: Column) -> Column:
-    """The line without blanks at its ends and with A-Z in lower case."""
-    return F.translate(F.btrim(line, F.lit(BLANK)), "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+def with_key(rows: DataFrame, min_chars: int) -> DataFrame:
+    """Rows with a column key: their ``line`` without blanks at its ends and with A-Z in lower case;
+    lines whose key has fewer than ``min_chars`` code points go. Most lines are ASCII without blanks
+    at their ends, which needs no search for single characters."""
+    ends = reduce(Column.__or__, (F.col("line").startswith(x) | F.col("line").endswith(x) for x in BLANK))
+    bare = rows.filter(F.length("line") >= min_chars).withColumn("line", F.when(ends, F.btrim("line", F.lit(BLANK))).otherwise(F.col("line")))
+    ascii_only = F.octet_length("line") == F.length("line")
+    low = F.when(ascii_only, F.lower("line")).otherwise(F.translate("line", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"))
+    return bare.filter(F.length("line") >= min_chars).withColumn("key", low)
 
 
 def lines_of(text: Column) -> Column:
@@ -45,8 +53,7 @@ def line_dedup(docs: DataFrame, min_chars: int = 20, min_docs: int = 3) -> DataF
     """
     text = F.col("text").cast("string")
     exploded = docs.filter("doc_id is not null").select("doc_id", F.xxhash64(text).alias("_h"), F.posexplode(lines_of(text)).alias("pos", "line"))
-    keyed = exploded.select("doc_id", "_h", "pos", line_key(F.col("line")).alias("key")).filter(F.length("key") >= min_chars)
-    held = saved(keyed.select("doc_id", "_h", "pos", F.xxhash64("key").alias("k1"), F.xxhash64(F.lit(1), "key").alias("k2"), F.monotonically_increasing_id().alias("at")), "lines")
+    held = saved(with_key(exploded, min_chars).select("doc_id", "_h", "pos", F.xxhash64("key").alias("k1"), F.xxhash64(F.lit(1), "key").alias("k2"), F.monotonically_increasing_id().alias("at")), "lines")
     shared = held.groupBy("k1", "k2").agg(F.count_distinct("doc_id").alias("n"), F.max("doc_id").alias("keeper"), F.count("*").alias("held")).filter(F.col("n") >= min_docs)
     shared = saved(shared, "shared")
     drops = salted_lookup(held, shared, ["k1", "k2"], "held", "at").filter("doc_id != keeper")
