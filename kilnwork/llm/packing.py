@@ -27,7 +27,7 @@ from ..sources.store import saved
 #: Salts over which pieces of one length are ranked.
 RANK_SALTS = 1024
 #: Words kept in a worker's cache of token ids, and the longest of them in characters.
-CACHE_WORDS, CACHED_CHARS = 600_000, 64
+CACHE_WORDS, CACHED_CHARS = 250_000, 64
 
 #: Characters of a text that are worked on at a time.
 BLOCK_CHARS = 2_000_000
