@@ -204,11 +204,11 @@ class _Words(dict):
         from tokenizers import Tokenizer, pre_tokenizers
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
         self.model = self.tokenizer.model
         # The vocabulary spells a byte as one character; that spelling comes from the library.
         spell = pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)
         self.spelled = {c: "".join(x for x, _ in spell.pre_tokenize_str(chr(c))) for c in range(0x300)}
+        self.markers = [t.content.lower() for t in self.tokenizer.get_added_tokens_decoder().values()]
         self[""] = b""
 
     def __missing__(self, word: str) -> bytes:
@@ -216,7 +216,7 @@ class _Words(dict):
             found = [t.id for t in self.model.tokenize(word)]
         elif word.isalpha() and word.islower() and not HIGH.search(word):
             found = [t.id for t in self.model.tokenize(word.translate(self.spelled))]
-        elif parts := LETTERS_MARKS.fullmatch(word):  # no unit has letters and marks, but for 's and the like
+        elif not HIGH.search(word) and (parts := LETTERS_MARKS.fullmatch(word)):  # no unit has letters and marks, but for 's and the like
             return self._kept(word, self[parts[1]] + self[parts[2]])
         else:
             found = self.tokenizer.encode(word, add_special_tokens=False).ids
@@ -231,18 +231,22 @@ class _Words(dict):
 _words = functools.cache(_Words)
 
 
-def _blocks(texts: list[str | None]) -> Iterator[list[str]]:
+def _blocks(texts: list[str | None], markers: list[str]) -> Iterator[list[str]]:
     """Runs of texts of about BLOCK_CHARS, each made fit for a split at white space: lower-cased
     where that equals the tokenizer's own step, and with marks that are tokens of their own set
-    apart."""
+    apart. A letter that the tokenizer's steps spell with a combining mark draws a mark behind it
+    to that one, so such texts stay as they are; so do those with a string of a special token, which
+    the tokenizer finds before it lower-cases."""
     block, size = [], 0
     for text in texts:
         text = text or ""
         if text.isascii() or not HIGH.search(text):
-            text = text.lower()
-        if not AFTER_MARK.search(text):
-            for mark in (". ", ", ", ".\n", ",\n"):
-                text = text.replace(mark, f" {mark}")
+            low = text.lower()
+            if "<" not in low or not any(m in low for m in markers):
+                text = low
+                if not AFTER_MARK.search(text):
+                    for mark in (". ", ", ", ".\n", ",\n"):
+                        text = text.replace(mark, f" {mark}")
         block.append(text)
         size += len(text)
         if size >= BLOCK_CHARS:
@@ -253,13 +257,14 @@ def _blocks(texts: list[str | None]) -> Iterator[list[str]]:
 
 
 def word_ids(path: str, texts: list[str | None]) -> Iterator[bytes]:
-    """Token ids of each text as little-endian unsigned 32-bit numbers.
+    """Token ids of each text as little-endian unsigned 32-bit numbers, as the library's encode gives
+    them with add_special_tokens=False (the string of a special token in a text is that token).
 
     No token crosses white space, so a text's ids are its words' ids in order; each distinct word
     goes through the tokenizers library once per worker, and numpy puts the ids together.
     """
     known = _words(path)
-    for block in _blocks(texts):
+    for block in _blocks(texts, known.markers):
         split = pc.ascii_split_whitespace(pa.array(block, pa.large_string()))
         ends = split.offsets.to_numpy()
         coded = split.flatten().dictionary_encode()
@@ -313,7 +318,7 @@ def pack(parts: DataFrame, capacity: int = 2048) -> DataFrame:
     empty result; repeated rows are packed like any others.
     """
     columns = parts.columns
-    salt = F.pmod(F.xxhash64("doc_id", "piece"), F.lit(RANK_SALTS)).cast("int")
+    salt = F.pmod(F.xxhash64(F.monotonically_increasing_id()), F.lit(RANK_SALTS)).cast("int")  # by row: ids may repeat
     parts = saved(parts.withColumn("_salt", salt), "pieces")
     counts = saved(parts.groupBy("length", "_salt").agg(F.count("*").alias("_n")), "lengths")  # at most capacity * RANK_SALTS rows
     histogram = {r[0]: r[1] for r in counts.groupBy("length").agg(F.sum("_n")).collect()}  # at most capacity rows

@@ -18,7 +18,6 @@ ODD = [
 
 def brute_ids(text):
     t = Tokenizer.from_file(VOCABULARY)
-    t.encode_special_tokens = True
     return t.encode(text or "", add_special_tokens=False).ids
 
 
@@ -27,6 +26,26 @@ def test_word_ids_are_the_tokenizers():
         assert np.frombuffer(got, dtype="<u4").tolist() == brute_ids(text)
 
 
+def test_word_ids_of_random_strings():
+    rng = random.Random(11)
+    units = ["İ", "i̇", "क़", "é", "É", "ß", "Σ", "a", "Bc", "word", "it's", ".", ",", "!", ")", "'", "'s", "_", " ", "  ", "\n", "\x1c", "\u0307", "\u0301", "中", "9", "<|endoftext|>", "<|startoftext|>", "<|ENDOFTEXT|>", "<|", "|>", "＃", "½", "²"]
+    texts = ["".join(rng.choice(units) for _ in range(rng.randint(1, 14))) for _ in range(5000)]
+    library = Tokenizer.from_file(VOCABULARY)
+    for text, got in zip(texts, word_ids(VOCABULARY, texts), strict=True):
+        assert np.frombuffer(got, dtype="<u4").tolist() == library.encode(text, add_special_tokens=False).ids, text
+
+
+def test_rows_without_an_id_are_dealt_over_salts(spark, monkeypatch):
+    from kilnwork.llm import packing
+
+    seen, keep = [], packing.saved
+    monkeypatch.setattr(packing, "saved", lambda df, name: seen.append(keep(df, name)) or seen[-1])
+    rows = spark.range(4000).selectExpr("cast(null as long) as doc_id", "0 as piece", "0L as start", "10L as length", "1L as ids_crc32")
+    out = pack(rows, 2048)
+    assert out.select("sequence_id", "offset").distinct().count() == 4000
+    assert seen[0].select("_salt").distinct().count() > 500
+
+
 def fewest_bins(items, capacity):
     """Exact by trying to place each item, largest first, in every bin it fits."""
     items, best = sorted(items, reverse=True), [len(items)]
