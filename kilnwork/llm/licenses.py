@@ -36,6 +36,7 @@ TEMPLATES = {
     "GPL-2.0-header": "This program is free software; you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation; either version 2 of the License, or (at your option) any later version.",
     "GPL-3.0": "This work is licensed under the GNU General Public License, version 3.",
     "GPL-3.0-header": "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version.",
+    "ISC": "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies. THE SOFTWARE IS PROVIDED \"AS IS\" AND THE AUTHOR DISCLAIMS ALL WARRANTIES WITH REGARD TO THIS SOFTWARE INCLUDING ALL IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS. IN NO EVENT SHALL THE AUTHOR BE LIABLE FOR ANY SPECIAL, DIRECT, INDIRECT, OR CONSEQUENTIAL DAMAGES OR ANY DAMAGES WHATSOEVER RESULTING FROM LOSS OF USE, DATA OR PROFITS, WHETHER IN AN ACTION OF CONTRACT, NEGLIGENCE OR OTHER TORTIOUS ACTION, ARISING OUT OF OR IN CONNECTION WITH THE USE OR PERFORMANCE OF THIS SOFTWARE.",
     "LGPL-2.1-header": "This library is free software; you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation; either version 2.1 of the License, or (at your option) any later version.",
     "MIT": "Released under the MIT License.",
     "MIT-permission": "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the \"Software\"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions:",
@@ -45,6 +46,14 @@ TEMPLATES = {
     "zlib": "This software is provided 'as-is', without any express or implied warranty. In no event will the authors be held liable for any damages arising from the use of this software.",
 }
 
+#: Whole bodies, of the notices above and what stands between and after them.
+TEMPLATES |= {
+    "BSD-2-Clause": f"{TEMPLATES['BSD-clauses']} 1. Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer. 2. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution. {TEMPLATES['BSD-disclaimer']} IN NO EVENT SHALL THE COPYRIGHT HOLDER OR CONTRIBUTORS BE LIABLE FOR ANY DIRECT, INDIRECT, INCIDENTAL, SPECIAL, EXEMPLARY, OR CONSEQUENTIAL DAMAGES (INCLUDING, BUT NOT LIMITED TO, PROCUREMENT OF SUBSTITUTE GOODS OR SERVICES; LOSS OF USE, DATA, OR PROFITS; OR BUSINESS INTERRUPTION) HOWEVER CAUSED AND ON ANY THEORY OF LIABILITY, WHETHER IN CONTRACT, STRICT LIABILITY, OR TORT (INCLUDING NEGLIGENCE OR OTHERWISE) ARISING IN ANY WAY OUT OF THE USE OF THIS SOFTWARE, EVEN IF ADVISED OF THE POSSIBILITY OF SUCH DAMAGE.",
+    "MIT-body": f"{TEMPLATES['MIT-permission']} The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software. {TEMPLATES['MIT-warranty']} IN NO EVENT SHALL THE AUTHORS OR COPYRIGHT HOLDERS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE.",
+}
+_DISCLAIMER = TEMPLATES["BSD-disclaimer"]
+TEMPLATES["BSD-3-Clause"] = TEMPLATES["BSD-2-Clause"].replace(_DISCLAIMER, f"3. Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission. {_DISCLAIMER}")
+
 
 def _words(text):
     return F.regexp_extract_all(F.lower(text), F.lit(r"[\p{L}\p{N}]+"), F.lit(0))
@@ -80,15 +89,16 @@ def _anchor_words(words: list[str], size: int, least: float) -> set[str]:
 
 
 def license_scan(docs: DataFrame, templates: dict[str, str] | None = None, least: float = 0.8) -> DataFrame:
-    """One row per doc_id and template found: doc_id, license, containment, first_word.
+    """For each row of ``docs`` a row per template found: doc_id, license, containment, first_word.
 
     containment: share of the template's distinct shingles in the matched stretch, at least
     ``least``; of several places the best one, then the first, counts, and first_word is where its
     window begins (in words from 0). A template whose best place overlaps that of one of higher
-    containment is left out, as versions of a licence share most of their words. Null and empty texts match nothing; texts of any length are
-    read whole. Rows with one doc_id, null too, are taken together. Extra columns are left out. An
-    empty table, or one of no templates, gives an empty result. ``templates``: a small fixed set;
-    with several of one wording each is reported.
+    containment is left out, as versions of a licence share most of their words. Null and empty texts
+    match nothing; texts of any length are read whole. Each row is judged by its own text, whether
+    its doc_id is null, repeated or neither. Extra columns are left out. An empty table, or one of
+    no templates, gives an empty result. ``templates``: a small fixed set; with several of one
+    wording each is reported.
     """
     spark = docs.sparkSession
     templates = TEMPLATES if templates is None else templates
@@ -118,7 +128,7 @@ def license_scan(docs: DataFrame, templates: dict[str, str] | None = None, least
     maybe = F.exists(F.array(F.lower(F.col("text").cast("string"))), has_anchor)
     lengths = sorted({len(w) for w in spelled.values()})
     shingle_sizes = sorted(set(sizes.values()))
-    hashed = docs.filter(maybe).select("doc_id", *(_shingles(_words(F.col("text").cast("string")), k).alias(f"h{k}") for k in shingle_sizes))
+    hashed = docs.filter(maybe).select("doc_id", F.monotonically_increasing_id().alias("_row"), *(_shingles(_words(F.col("text").cast("string")), k).alias(f"h{k}") for k in shingle_sizes))
     own = {k: sorted({x for name, (sh, _) in table.items() if sizes[name] == k for x in sh}) for k in shingle_sizes}
     touched = F.lit(False)
     for k in shingle_sizes:
@@ -136,19 +146,20 @@ def license_scan(docs: DataFrame, templates: dict[str, str] | None = None, least
         starts = F.array_distinct(F.flatten(F.transform(spots, lambda p: F.transform(F.sequence((F.greatest(p - span + 1, F.lit(0)) / stride).cast("int"), (p / stride).cast("int")), lambda g: g * stride))))
         rows = hashed.filter((F.size(h) > 0) & F.exists(h, lambda x: x.isin(mine))).select(
             "doc_id",
+            "_row",
             F.lit(n).alias("n"),
             F.explode(
                 F.transform(starts, lambda s: F.struct(s.alias("start"), F.array_distinct(F.slice(h, s + 1, span)).alias("window"), F.slice(h, F.greatest(s - stride, F.lit(0)) + 1, span + 2 * stride).alias("region")))
             ).alias("w"),
-        ).select("doc_id", "n", "w.*")
+        ).select("doc_id", "_row", "n", "w.*")
         windows = rows if windows is None else windows.union(rows)
-    keyed = windows.select("doc_id", "n", "start", "region", F.posexplode(_bands(F.col("window"))).alias("band", "hash"))
+    keyed = windows.select("doc_id", "_row", "n", "start", "region", F.posexplode(_bands(F.col("window"))).alias("band", "hash"))
     found = keyed.join(F.broadcast(banded), ["n", "band", "hash"])  # the templates' bands: fixed
     share = F.size(F.array_intersect("region", "template")) / F.size("template")
-    matched = found.select("doc_id", "license", "n", "start", share.alias("containment")).filter(F.col("containment") >= least)
-    best = matched.groupBy("doc_id", "license", "n").agg(F.max(F.struct("containment", (-F.col("start")).alias("at"))).alias("best"))
-    placed = best.select("doc_id", F.struct("license", "best.containment", (-F.col("best.at")).cast("int").alias("first_word"), "n").alias("x"))
-    listed = placed.groupBy("doc_id").agg(F.collect_list("x").alias("all"))  # at most one a template
+    matched = found.select("doc_id", "_row", "license", "n", "start", share.alias("containment")).filter(F.col("containment") >= least)
+    best = matched.groupBy("_row", "license", "n").agg(F.first("doc_id").alias("doc_id"), F.max(F.struct("containment", (-F.col("start")).alias("at"))).alias("best"))
+    placed = best.select("_row", "doc_id", F.struct("license", "best.containment", (-F.col("best.at")).cast("int").alias("first_word"), "n").alias("x"))
+    listed = placed.groupBy("_row").agg(F.first("doc_id").alias("doc_id"), F.collect_list("x").alias("all"))  # at most one a template
 
     def beaten(x):
         return F.exists("all", lambda y: (y["containment"] > x["containment"]) & (y["first_word"] < x["first_word"] + x["n"]) & (x["first_word"] < y["first_word"] + y["n"]))

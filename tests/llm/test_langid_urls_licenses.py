@@ -246,6 +246,15 @@ def test_licenses_found_are_those_of_brute_force(spark):
     assert license_scan(docs.limit(0), APART).count() == 0 and license_scan(docs, {}).count() == 0
 
 
+def test_rows_of_one_id_are_judged_by_themselves(spark):
+    cut = TEMPLATES["MIT-warranty"].split()
+    texts = [TEMPLATES["BSD-disclaimer"], " ".join(cut[:10] + cut[12:]), "no license here", TEMPLATES["MIT-warranty"]]
+    own = lambda ids: sorted((r.license, round(r.containment, 9), r.first_word) for r in license_scan(spark.createDataFrame(list(zip(ids, texts)), "doc_id long, text string")).collect())
+    want = own([1, 2, 3, 4])
+    assert {"BSD-disclaimer", "MIT-warranty"} <= {x[0] for x in want} and len(want) > 3
+    assert own([7, 7, 7, 7]) == own([None] * 4) == own([None, 7, 7, None]) == want
+
+
 def test_each_license_is_told_from_its_kin(spark):
     names = sorted(TEMPLATES)
     docs = spark.createDataFrame([(i, f"some words before {TEMPLATES[n]} and some after it") for i, n in enumerate(names)], "doc_id long, text string")
