@@ -15,7 +15,8 @@ TRAIN_ROWS = 20_000
 SOFT_WEIGHT = 0.05
 #: The prior strength (in documents) stays in these bounds.
 LEAST_STRENGTH, MOST_STRENGTH = 2.0, 1e5
-#: A document is judged by the tallies of all folds but its own, so its label never feeds its score.
+#: A document is judged by the classifier, tallies and strengths of all folds but its own (by its
+#: doc_id), so its label never feeds its score.
 FOLDS = 4
 #: Sections, and bytes of their names, that may be broadcast; more are joined over salts.
 BROADCAST_SECTIONS, BROADCAST_BYTES = 100_000, 8_000_000
@@ -68,73 +69,81 @@ def _logit(p):
     return F.log(p / (1 - p))
 
 
-def prior_strength(groups: DataFrame, rate: str, tried: str, expected) -> float:
-    """Strength of a beta prior by moments: what the groups' rates vary beyond chance.
-
-    ``groups``: one row per group with its mean ``rate`` of ``tried`` documents; ``expected``: the
-    mean it is shrunk to. Only three sums reach the driver.
-    """
-    e = expected
-    r = groups.filter(F.col(tried) > 0).agg(
-        F.sum(F.col(tried) * (F.col(rate) - e) ** 2).alias("spread"), F.sum(e * (1 - e)).alias("chance"), F.sum(F.col(tried) * e * (1 - e)).alias("most")
-    ).first()
-    if not r or r.most is None or r.most <= 0:
-        return MOST_STRENGTH
-    between = max(0.0, r.spread - r.chance) / r.most  # = variance of true rates / (e (1 - e))
-    return float(np.clip(1 / between - 1 if between > 0 else MOST_STRENGTH, LEAST_STRENGTH, MOST_STRENGTH))
+def prior_strengths(groups: DataFrame, rates: list, tried: list, expected: list) -> list[float]:
+    """For each fold the strength of a beta prior by moments: what the groups' rates vary beyond
+    chance. ``groups``: one row per group with its mean rate of so many tried documents; expected:
+    the mean it is shrunk to. Only three sums a fold reach the driver."""
+    sums = []
+    for i, (r, n, e) in enumerate(zip(rates, tried, expected)):
+        any_of = n > 0
+        sums += [F.sum(F.when(any_of, v)).alias(f"{name}{i}") for name, v in (("spread", n * (r - e) ** 2), ("chance", e * (1 - e)), ("most", n * e * (1 - e)))]
+    found = groups.agg(*sums).first()
+    out = []
+    for i in range(len(rates)):
+        spread, chance, most = (found[f"{x}{i}"] or 0.0 for x in ("spread", "chance", "most"))
+        between = max(0.0, spread - chance) / most if most > 0 else 0.0  # = variance of true rates / (e (1 - e))
+        out.append(float(np.clip(1 / between - 1 if between > 0 else MOST_STRENGTH, LEAST_STRENGTH, MOST_STRENGTH)))
+    return out
 
 
 def _posteriors(rows: DataFrame) -> DataFrame:
     """One row per section (_host, _path) with n, and host_posterior and path_posterior: arrays by
-    fold, each from the documents of all other folds. ``rows``: _host, _path, _fold, _w, _y."""
+    fold, each from the documents of all other folds. ``rows``: _host, _path, _fold, _w, and _y: an
+    array with what the document counts as for each fold."""
     folds = range(FOLDS)
-
-    def sums(value, name):
-        return [F.sum(F.when(F.col("_fold") == i, value).otherwise(0.0)).alias(f"{name}{i}") for i in folds]
-
-    sections = rows.groupBy("_host", "_path").agg(*sums(F.col("_w"), "tried"), *sums(F.col("_w") * F.col("_y"), "good"), F.count("*").alias("n"))
+    without = lambda i, v: F.sum(F.when(F.col("_fold") != i, v).otherwise(0.0))
+    sections = rows.groupBy("_host", "_path").agg(
+        *(without(i, F.col("_w")).alias(f"tried{i}") for i in folds), *(without(i, F.col("_w") * F.get("_y", F.lit(i))).alias(f"good{i}") for i in folds), F.count("*").alias("n")
+    )
     sections = saved(sections, "sections")
     hosts = sections.groupBy("_host").agg(*(F.sum(f"{c}{i}").alias(f"h_{c}{i}") for c in ("tried", "good") for i in folds), F.count("*").alias("h_sections"))
     hosts = saved(hosts, "hosts")
-    all_of = hosts.agg(*(F.sum(c).alias(c) for c in hosts.columns if c[:3] in ("h_t", "h_g"))).first()
-
-    def total(name):
-        return sum((F.col(f"{name}{i}") for i in folds), F.lit(0.0))
+    all_of = hosts.agg(*(F.sum(f"h_{c}{i}").alias(f"{c}{i}") for c in ("tried", "good") for i in folds)).first()
+    shares = [min(max(all_of[f"good{i}"] / all_of[f"tried{i}"], 1e-4), 1 - 1e-4) if all_of[f"tried{i}"] else 0.5 for i in folds]
 
-    tried, good = ([all_of[f"h_{c}{i}"] or 0.0 for i in folds] for c in ("tried", "good"))
+    def columns(name):
+        return [F.col(f"{name}{i}") for i in folds]
 
-    def share(without=None):
-        t, g = (sum(x) - (x[without] if without is not None else 0) for x in (tried, good))
-        return min(max(g / t, 1e-4), 1 - 1e-4) if t > 0 else 0.5
+    def rates(good, tried):
+        return [F.when(t > 0, g / t).otherwise(0.0) for g, t in zip(columns(good), columns(tried))]
 
-    k_host = prior_strength(hosts.withColumn("rate", total("h_good") / total("h_tried")).withColumn("tried", total("h_tried")), "rate", "tried", F.lit(share()))
-    hosts = hosts.withColumn("_host_all", (total("h_good") + k_host * share()) / (total("h_tried") + k_host))
-    by_fold = [(total("h_good") - F.col(f"h_good{i}") + k_host * share(i)) / (total("h_tried") - F.col(f"h_tried{i}") + k_host) for i in folds]
-    hosts = hosts.select("_host", "h_sections", "_host_all", F.array(*by_fold).alias("host_posterior"))
+    k = prior_strengths(hosts, rates("h_good", "h_tried"), columns("h_tried"), [F.lit(x) for x in shares])
+    by_fold = [(g + k[i] * shares[i]) / (t + k[i]) for i, (g, t) in enumerate(zip(columns("h_good"), columns("h_tried")))]
+    hosts = hosts.select("_host", "h_sections", F.array(*by_fold).alias("host_posterior"))
     sections = saved(salted_lookup(sections, hosts, ["_host"], "h_sections", "_path"), "by-host")
-    k_path = prior_strength(sections.withColumn("rate", total("good") / total("tried")).withColumn("tried", total("tried")), "rate", "tried", F.col("_host_all"))
-    by_fold = [(total("good") - F.col(f"good{i}") + k_path * F.get("host_posterior", F.lit(i))) / (total("tried") - F.col(f"tried{i}") + k_path) for i in folds]
+    of_host = [F.get("host_posterior", F.lit(i)) for i in folds]
+    k = prior_strengths(sections, rates("good", "tried"), columns("tried"), of_host)
+    by_fold = [(g + k[i] * of_host[i]) / (t + k[i]) for i, (g, t) in enumerate(zip(columns("good"), columns("tried")))]
     return saved(sections.select("_host", "_path", "n", "host_posterior", F.array(*by_fold).alias("path_posterior")), "posteriors")
 
 
 def _scored(docs: DataFrame, carried: dict, labels: DataFrame, host: str, path: str, max_rows: int, threshold: float) -> DataFrame:
     """The columns ``carried`` of each row, its evidence, posteriors, score and verdict."""
     site = [F.coalesce(F.col(c).cast("string"), F.lit("")).alias(n) for c, n in ((host, "_host"), (path, "_path"))]
-    named = docs.select(*(c.alias(n) for n, c in carried.items()), *site, F.pmod(F.xxhash64("doc_id"), F.lit(FOLDS)).alias("_fold"), F.monotonically_increasing_id().alias("_at"), "text")
+    fold = F.pmod(F.xxhash64("doc_id"), F.lit(FOLDS)).cast("int")
+    named = docs.select(*(c.alias(n) for n, c in carried.items()), *site, fold.alias("_fold"), F.monotonically_increasing_id().alias("_at"), F.xxhash64("text").alias("_text"), "text")
     stats = saved(text_stats(named, [c for c in named.columns if c != "text"]), "stats")
-    model = fit_classifier(*labelled_sample(stats, labels, max_rows))
+    x, y, ids = labelled_sample(stats, labels, max_rows)
+    spark = docs.sparkSession
+    own = spark.createDataFrame([(i, d) for i, d in enumerate(ids.tolist())], f"i int, doc_id {docs.schema['doc_id'].dataType.simpleString()}").select("i", fold.alias("_fold")).toPandas()
+    of_sample = own.sort_values("i")["_fold"].to_numpy()
+    models = [fit_classifier(x[of_sample != i], y[of_sample != i]) for i in range(FOLDS)]
+    evidences = [evidence_column(m) for m in models]
+    evidence = F.get(F.array(*evidences), F.col("_fold"))
     known = labels.filter("doc_id is not null").groupBy("doc_id").agg(F.avg((F.col("quality") > 0).cast("double")).alias("_label"))
-    evidence = evidence_column(model)
-    p = 1 / (1 + F.exp(-(F.col("evidence") + model[3])))
-    rows = with_features(stats).select("doc_id", "_host", "_path", "_fold", evidence.alias("evidence")).join(known, "doc_id", "left")
-    sections = _posteriors(rows.withColumn("_w", F.when(F.col("_label").isNull(), SOFT_WEIGHT).otherwise(1.0)).withColumn("_y", F.coalesce("_label", p)))
+    soft = F.array(*(1 / (1 + F.exp(-(e + m[3]))) for e, m in zip(evidences, models)))
+    rows = with_features(stats).select("doc_id", "_host", "_path", "_fold", soft.alias("_p"))
+    # rows without an id have no label and are kept out of the join, where they would be one key
+    rows = rows.filter("doc_id is not null").join(known, "doc_id", "left").unionByName(rows.filter("doc_id is null").withColumn("_label", F.lit(None).cast("double")))
+    rows = rows.withColumn("_w", F.when(F.col("_label").isNull(), SOFT_WEIGHT).otherwise(1.0)).withColumn("_y", F.transform("_p", lambda p: F.coalesce("_label", p)))
+    sections = _posteriors(rows)
     rows = with_features(stats).select(*carried, "_host", "_path", "_fold", "_at", evidence.alias("evidence"))
     size = sections.agg(F.count("*").alias("n"), F.coalesce(F.sum(F.octet_length("_host") + F.octet_length("_path")), F.lit(0)).alias("bytes")).first()
     if size.n <= BROADCAST_SECTIONS and size.bytes <= BROADCAST_BYTES:
         out = rows.join(F.broadcast(sections.drop("n")), ["_host", "_path"])
     else:
         out = salted_lookup(rows, sections, ["_host", "_path"], "n", "_at")
-    out = out.select(*carried, "evidence", *(F.get(c, F.col("_fold").cast("int")).alias(c) for c in ("host_posterior", "path_posterior")))
+    out = out.select(*carried, "evidence", *(F.get(c, F.col("_fold")).alias(c) for c in ("host_posterior", "path_posterior")))
     section = F.greatest(F.lit(1e-6), F.least(F.lit(1 - 1e-6), F.col("path_posterior")))
     score = 1 / (1 + F.exp(-(F.col("evidence") + _logit(section))))
     return out.withColumn("score", score).withColumn("kept", F.col("score") >= threshold - 1e-9)
@@ -146,8 +155,8 @@ def quality_scores(docs: DataFrame, labels: DataFrame, host: str = "source", pat
     Every document counts in the tally of its site section (``host``, ``path``): with its label if
     it has one, else with the classifier's probability at SOFT_WEIGHT. Hosts are shrunk toward the
     global share and sections toward their host, each by a strength estimated from how much such
-    groups vary; a document's posteriors leave out the documents of its own fold (by a hash of
-    doc_id). score = logistic(evidence + log-odds of the section); kept: score of at least
+    groups vary. A document's evidence and posteriors come from a classifier, tallies and strengths
+    without the documents of its own fold (by a hash of doc_id), its own label among them. score = logistic(evidence + log-odds of the section); kept: score of at least
     ``threshold``. Null host or path is a site of its own; a null text has the features of an
     empty one, and texts of any length are read whole; labels of one doc_id that differ are
     averaged. A row without doc_id has no label and is judged like any other. Empty labels give

@@ -125,8 +125,9 @@ def quality_rules(docs: DataFrame, labels: DataFrame, max_rows: int = TRAIN_ROWS
     no rule; an empty table gives an empty result; repeated rows stay, each judged by its own text;
     extra columns are left out.
     """
-    stats = saved(text_stats(docs.select("doc_id", "text", F.monotonically_increasing_id().alias("_at")), ["doc_id", "_at"]), "stats")
-    rules = learn(*labelled_sample(stats, labels, max_rows))
+    stats = saved(text_stats(docs.select("doc_id", "text", F.xxhash64("text").alias("_text")), ["doc_id", "_text"]), "stats")
+    x, good, _ = labelled_sample(stats, labels, max_rows)
+    rules = learn(x, good)
     out = with_features(stats).withColumn("base_failed", (F.col("n_words") < 10) | (100 * F.col("n_repeat_words") > 20 * F.col("n_words")))
     out = out.withColumn("rule", verdict(rules)).withColumn("kept", ~F.col("base_failed") & (F.col("rule") == 0))
-    return out.drop("_at", *FEATURES), rules
+    return out.drop("_text", *FEATURES), rules

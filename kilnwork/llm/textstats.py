@@ -105,15 +105,16 @@ def with_features(stats: DataFrame) -> DataFrame:
     return stats.select("*", *(make().alias(name) for name, make in FEATURES.items()))
 
 
-def labelled_sample(stats: DataFrame, labels: DataFrame, max_rows: int) -> tuple[np.ndarray, np.ndarray]:
-    """Features and 0/1 quality of ``max_rows`` labelled rows at most: the first ones by a hash of
-    the row's number (_at), so that neither a repeated doc_id nor a group of copies is taken whole.
-    Rows without doc_id or quality are left out; differing labels of one doc_id give a row each. A
-    filter on the hash lets about a tenth more than the bound pass, and the bound reaches the
-    driver."""
-    labels = labels.filter("doc_id is not null and quality is not null").select("doc_id", F.col("quality").cast("int").alias("quality"))
-    joined = stats.join(labels, "doc_id").withColumn("_h", F.pmod(F.xxhash64("_at", "quality"), F.lit(1 << 30)))
-    share = min(1.0, 1.1 * max_rows / max(1, joined.count()))
-    first = with_features(joined.filter(F.col("_h") <= int(share * (1 << 30)))).orderBy("_h", "_at").limit(max_rows)
-    rows = first.select(*FEATURES, "quality").toPandas()
-    return rows[list(FEATURES)].to_numpy(dtype=float), (rows["quality"] > 0).to_numpy(dtype=int)
+def labelled_sample(stats: DataFrame, labels: DataFrame, max_rows: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Features, 0/1 quality and ids of ``max_rows`` labelled texts at most: the first ones by a hash
+    of their doc_id and text (``_text``, a hash), whatever rows and partitions they come in. A text
+    that one doc_id repeats counts once; labels of one doc_id are averaged before, and half or more
+    is good, so no label is met twice. Rows without doc_id or quality are left out. A filter on the
+    hash lets a tenth and a hundred more than the bound pass, and the bound reaches the driver."""
+    known = labels.filter("doc_id is not null and quality is not null").groupBy("doc_id").agg((F.avg((F.col("quality") > 0).cast("double")) >= 0.5).cast("int").alias("quality"))
+    texts = stats.filter("doc_id is not null").groupBy("doc_id", "_text").agg(*(F.first(c).alias(c) for c in COLUMNS))
+    joined = texts.join(known, "doc_id").withColumn("_h", F.pmod(F.xxhash64("doc_id", "_text"), F.lit(1 << 30)))
+    share = min(1.0, (1.1 * max_rows + 100) / max(1, joined.count()))
+    first = with_features(joined.filter(F.col("_h") <= int(share * (1 << 30)))).orderBy("_h", "doc_id", "_text").limit(max_rows)
+    rows = first.select(*FEATURES, "quality", "doc_id").toPandas()
+    return rows[list(FEATURES)].to_numpy(dtype=float), rows["quality"].to_numpy(dtype=int), rows["doc_id"].to_numpy()

@@ -139,58 +139,73 @@ def test_scores_against_brute_force(spark):
         return [over(c, a, b) for a, b in pairs] + [float(c[names["n_words"]]), float(c[names["longest_word"]])]
 
     x = np.array([features(t) for _, t, _, _ in docs])
-    train = [n for n, d in enumerate(docs) if d[0] in known]
-    y = np.array([known[docs[n][0]] for n in train])
-    mean, scale = x[train].mean(axis=0), x[train].std(axis=0)
-    scale[scale < 1e-9] = 1
-    z = np.clip((x - mean) / scale, -6, 6)
-    z = np.hstack([z, z * z])
-    model = quality.fit_classifier(x[train], y)
-    w = model[2]
-    p = 1 / (1 + np.exp(-(z[train] @ w[:-1] + w[-1])))
-    assert np.abs(z[train].T @ (p - y) + w[:-1]).max() < 1e-3 and abs((p - y).sum()) < 1e-3  # ridge 1: no slope is left
-    prior = np.log(y.mean() / (1 - y.mean()))
-    evidence = np.clip(z @ w[:-1] + w[-1] - prior, -30, 30)
-    folds = [r.f for r in spark.createDataFrame([(n, d[0]) for n, d in enumerate(docs)], "n int, doc_id long").select("n", F.pmod(F.xxhash64("doc_id"), F.lit(quality.FOLDS)).alias("f")).orderBy("n").collect()]
-    tally = [(d[2], d[3] or "", f, 1.0 if d[0] in known else quality.SOFT_WEIGHT, float(known[d[0]]) if d[0] in known else 1 / (1 + math.exp(-(e + prior)))) for d, f, e in zip(docs, folds, evidence)]
+    folds = np.array([r.f for r in spark.createDataFrame([(n, d[0]) for n, d in enumerate(docs)], "n int, doc_id long").select("n", F.pmod(F.xxhash64("doc_id"), F.lit(quality.FOLDS)).alias("f")).orderBy("n").collect()])
+    labelled = np.array([d[0] in known for d in docs])
+    truth = np.array([known.get(d[0], -1) for d in docs])
+    evidence, tallies = np.zeros((quality.FOLDS, len(docs))), []
+    for fold in range(quality.FOLDS):
+        train = labelled & (folds != fold)
+        y = truth[train]
+        mean, scale = x[train].mean(axis=0), x[train].std(axis=0)
+        scale[scale < 1e-9] = 1
+        z = np.clip((x - mean) / scale, -6, 6)
+        z = np.hstack([z, z * z])
+        w = quality.fit_classifier(x[train], y)[2]
+        p = 1 / (1 + np.exp(-(z[train] @ w[:-1] + w[-1])))
+        assert np.abs(z[train].T @ (p - y) + w[:-1]).max() < 1e-3 and abs((p - y).sum()) < 1e-3  # ridge 1: no slope is left
+        prior = np.log(y.mean() / (1 - y.mean()))
+        evidence[fold] = np.clip(z @ w[:-1] + w[-1] - prior, -30, 30)
+        soft = 1 / (1 + np.exp(-(evidence[fold] + prior)))
+        others = np.flatnonzero(folds != fold)
+        tallies.append([(docs[n][2], docs[n][3] or "", 1.0 if labelled[n] else quality.SOFT_WEIGHT, float(truth[n]) if labelled[n] else soft[n]) for n in others])
 
     def sums(rows):
         rows = list(rows)
-        return sum(t[3] for t in rows), sum(t[3] * t[4] for t in rows)
-
-    def rate(pair):
-        return min(max(pair[1] / pair[0], 1e-4), 1 - 1e-4)
-
-    share = rate(sums(tally))
-    hosts = {h: sums(t for t in tally if t[0] == h) for h in {t[0] for t in tally}}
-    k_host = brute_strength([(g / n, n, share) for n, g in hosts.values()])
-    host_all = {h: (g + k_host * share) / (n + k_host) for h, (n, g) in hosts.items()}
-    sections = {s: sums(t for t in tally if t[:2] == s) for s in {t[:2] for t in tally}}
-    k_path = brute_strength([(g / n, n, host_all[h]) for (h, _), (n, g) in sections.items()])
-    for (doc, *_), (h, path, f, _, _), e in zip(docs, tally, evidence):
-        others = [t for t in tally if t[2] != f]
-        n, g = sums(t for t in others if t[0] == h)
-        of_host = (g + k_host * rate(sums(others))) / (n + k_host)
-        n, g = sums(t for t in others if t[:2] == (h, path))
-        of_path = (g + k_path * of_host) / (n + k_path)
-        score = 1 / (1 + math.exp(-(e + math.log(of_path / (1 - of_path)))))
-        want = (e, of_host, of_path, score)
-        r = got[doc]
-        assert (r.evidence, r.host_posterior, r.path_posterior, r.score) == pytest.approx(want, rel=1e-6, abs=1e-9)
-        assert r.kept == (score >= 0.5)
+        return sum(t[2] for t in rows), sum(t[2] * t[3] for t in rows)
+
+    for fold, tally in enumerate(tallies):
+        n, g = sums(tally)
+        share = min(max(g / n, 1e-4), 1 - 1e-4)
+        hosts = {h: sums(t for t in tally if t[0] == h) for h in {d[2] for d in docs}}
+        k_host = brute_strength([(g / n, n, share) for n, g in hosts.values() if n])
+        of_host = {h: (g + k_host * share) / (n + k_host) for h, (n, g) in hosts.items()}
+        sections = {s: sums(t for t in tally if t[:2] == s) for s in {(d[2], d[3] or "") for d in docs}}
+        k_path = brute_strength([(g / n, n, of_host[h]) for (h, _), (n, g) in sections.items() if n])
+        for n in np.flatnonzero(folds == fold):
+            doc, _, h, path = docs[n]
+            tried, good = sections[h, path or ""]
+            of_path = (good + k_path * of_host[h]) / (tried + k_path)
+            score = 1 / (1 + math.exp(-(evidence[fold][n] + math.log(of_path / (1 - of_path)))))
+            r = got[doc]
+            assert (r.evidence, r.host_posterior, r.path_posterior, r.score) == pytest.approx((evidence[fold][n], of_host[h], of_path, score), rel=1e-6, abs=1e-9)
+            assert r.kept == (score >= 0.5)
+
+
+def test_a_label_leaves_its_own_documents_score_and_layout_changes_nothing(spark):
+    docs, labels = fixture(spark, 600)
+    run = lambda d, y: {r.doc_id: (round(r.evidence, 9), round(r.score, 9), r.kept) for r in quality_scores(d, y, max_rows=100).collect()}
+    base = run(docs.repartition(2), labels)
+    assert base == run(docs.repartition(7, "text"), labels.repartition(5))
+    flipped = labels.withColumn("quality", F.when(F.col("doc_id").isin(7, 9, 11), 1 - F.col("quality")).otherwise(F.col("quality")))
+    changed = run(docs, labels.withColumn("quality", F.when(F.col("doc_id") == 9, 1 - F.col("quality")).otherwise(F.col("quality"))))
+    assert changed[9] == base[9] and changed != base
+    assert run(docs, flipped)[9] != base[9]  # others' labels do feed it
+    verdicts = [{r.doc_id: (r.rule, r.kept) for r in quality_rules(docs.repartition(n), labels, max_rows=100)[0].collect()} for n in (2, 7)]
+    assert verdicts[0] == verdicts[1]
 
 
 def test_a_hot_id_stays_within_the_bound(spark):
     rows = [(i % 10, f"alpha {i} beta") for i in range(1500)] + [(None, "gamma")] * 50
-    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3).withColumn("_at", F.monotonically_increasing_id())
-    stats = text_stats(docs, ["doc_id", "_at"])
+    stats = lambda rows: text_stats(spark.createDataFrame(rows, "doc_id long, text string").repartition(3).withColumn("_text", F.xxhash64("text")), ["doc_id", "_text"])
     labels = spark.createDataFrame([(i, i % 2) for i in range(10)] + [(None, 1), (3, None)], "doc_id long, quality int")
     for most in (100, 5000):
-        x, y = labelled_sample(stats, labels, most)
-        assert x.shape == (min(most, 1500), len(FEATURES)) and len(y) == len(x)
-    assert (labelled_sample(stats, labels, 100)[0] == labelled_sample(stats, labels, 100)[0]).all()
-    copies = text_stats(spark.createDataFrame([(1, "same text")] * 3000 + [(2, "other")] * 30, "doc_id long, text string").withColumn("_at", F.monotonically_increasing_id()), ["doc_id", "_at"])
-    assert 50 <= len(labelled_sample(copies, labels, 60)[1]) <= 60
+        x, y, ids = labelled_sample(stats(rows), labels, most)
+        assert x.shape == (min(most, 1500), len(FEATURES)) and len(y) == len(ids) == len(x)
+        assert (y == ids % 2).all()
+    # one text that an id repeats, with as many labels of it, counts once
+    many = spark.createDataFrame([(1, int(k % 3 > 0)) for k in range(3000)] + [(2, 0)] * 3000, "doc_id long, quality int")
+    x, y, ids = labelled_sample(stats([(1, "same text")] * 3000 + [(2, f"other {n % 3}") for n in range(30)]), many, 60)
+    assert sorted(zip(ids.tolist(), y.tolist())) == [(1, 1), (2, 0), (2, 0), (2, 0)]
 
 
 def test_classifier_without_two_kinds_says_nothing():
