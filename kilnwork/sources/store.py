@@ -8,14 +8,18 @@ is unset a temporary folder of this machine is used, but only if all of Spark ru
 from __future__ import annotations
 
 import atexit
+import contextlib
+import contextvars
 import functools
 import tempfile
 import uuid
-from collections.abc import Iterable
+from collections.abc import Iterable, Iterator
 
 from pyspark.sql import DataFrame, SparkSession
 
 _made: dict[str, SparkSession] = {}
+#: The set that takes the paths made in this thread's innermost ``scope``.
+_scope: contextvars.ContextVar[set[str] | None] = contextvars.ContextVar("scope", default=None)
 
 
 @functools.cache
@@ -26,7 +30,7 @@ def _local_root() -> str:
 def shared_root(spark: SparkSession) -> str:
     """The shared folder of this session, without a slash at its end."""
     named = spark.conf.get("spark.checkpoint.dir", None)
-    if not named and not spark.sparkContext.master.startswith("local["):
+    if not named and spark.sparkContext.master.partition("[")[0] != "local":
         raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
     return (named or _local_root()).rstrip("/")
 
@@ -51,6 +55,8 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     """A fresh path in the shared folder, removed when this Python process ends at the latest."""
     path = f"{shared_root(spark)}/kilnwork-{name}-{uuid.uuid4().hex}"
     _made[path] = spark
+    if (paths := _scope.get()) is not None:
+        paths.add(path)
     return path
 
 
@@ -72,9 +78,16 @@ def release(*tables: DataFrame) -> None:
             _forget(path)
 
 
-def made() -> set[str]:
-    """The paths of all scratch tables there are."""
-    return set(_made)
+@contextlib.contextmanager
+def scope() -> Iterator[set[str]]:
+    """The paths of the scratch tables that this thread makes inside of it; what other threads make
+    meanwhile, or other code of this thread before and after, is not among them."""
+    paths: set[str] = set()
+    token = _scope.set(paths)
+    try:
+        yield paths
+    finally:
+        _scope.reset(token)
 
 
 def forget(paths: Iterable[str]) -> None:
