@@ -1,6 +1,7 @@
 import math
 import zlib
 from collections import Counter
+from concurrent.futures import ThreadPoolExecutor
 
 import numpy as np
 from pyspark.sql import functions as F
@@ -113,3 +114,22 @@ def test_empty_documents_pass_every_stage(spark):
     for _, stage in corpus_pipeline.STAGES:
         docs = store.saved(stage(spark, docs, SF), "empty")
     assert docs.count() == 0
+
+
+def test_runs_and_queries_beside_each_other_keep_their_tables(spark):
+    docs = spark.read.parquet(f"{SF}/documents.parquet").limit(150)
+    stages = dict(corpus_pipeline.STAGES)
+
+    def two_stages(_):
+        after = store.saved(stages["language"](spark, docs, SF), "one")
+        other = store.saved(spark.range(10), "other")  # a query between stages
+        with ThreadPoolExecutor(1) as pool:  # and one in a thread while a stage runs
+            beside = pool.submit(lambda: store.saved(spark.range(20), "beside"))
+            lines = stages["lines"](spark, after, SF)
+        after = store.saved(lines, "two")
+        store.saved(stages["packing"](spark, after, SF), "three")
+        return other.count(), beside.result().count(), after.count()
+
+    with ThreadPoolExecutor(2) as pool:
+        found = list(pool.map(two_stages, range(2)))
+    assert found[0] == found[1] and found[0][:2] == (10, 20) and found[0][2] > 100
