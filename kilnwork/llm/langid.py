@@ -10,8 +10,9 @@ from pyspark.sql import DataFrame, functions as F
 
 #: Hash bins, and lengths of n-grams in code points.
 BINS, LENGTHS = 1 << 16, (1, 2, 3)
-#: Cells of the log-probability matrix at most (4 bytes each): beyond 100 languages it has fewer bins.
-MATRIX_CELLS = 100 * BINS
+#: Languages whose log-probabilities (4 bytes a bin) are broadcast and multiplied together; more are
+#: scored in as many blocks, over the same bins.
+BLOCK_LANGUAGES = 100
 #: Code points that are worked on at a time, and distinct bins of texts that are scored together.
 BLOCK, BATCH_BINS = 1 << 20, 1 << 18
 UNKNOWN = "und"
@@ -68,21 +69,15 @@ def bag(text: str | None, bins: int = BINS) -> tuple[np.ndarray, np.ndarray]:
     return used, counts[used]
 
 
-def bins_for(languages: int) -> int:
-    """Bins of the matrix: BINS for up to 100 languages, else as many (a power of two) as keep it
-    within MATRIX_CELLS."""
-    return min(BINS, 1 << max(1, MATRIX_CELLS // max(1, languages)).bit_length() - 1)
-
-
-def train(labelled: DataFrame, bins: int | None = None) -> tuple[list[str], np.ndarray]:
+def train(labelled: DataFrame, bins: int = BINS) -> tuple[list[str], np.ndarray]:
     """Languages and their log-probabilities (bins x languages, float32).
 
     ``labelled``: text, lang; rows without either are left out. Every row counts: each task sums
-    the counts of its rows, and only the sums reach the driver, MATRIX_CELLS at most. An empty table
-    gives no language.
+    the counts of its rows, and only the sums reach the driver, ``bins`` numbers a language at most.
+    A language's own column does not depend on what other languages there are. An empty table gives
+    no language.
     """
     labelled = labelled.filter("lang is not null and text is not null").select(F.col("text").cast("string").alias("text"), F.col("lang").cast("string").alias("lang"))
-    bins = bins or bins_for(labelled.agg(F.count_distinct("lang")).first()[0])
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sums: dict[str, np.ndarray] = {}
@@ -128,40 +123,52 @@ def predict(docs: DataFrame, model: tuple[list[str], np.ndarray], text_col: str
     score of ``docs`` are replaced, others pass; repeated rows and those without doc_id stay.
     """
     langs, logs = model
-    shared = docs.sparkSession.sparkContext.broadcast(logs)  # at most MATRIX_CELLS numbers
-
-    @F.arrow_udf("struct<lang_pred string, score double>")
-    def guess(texts: pa.Array) -> pa.Array:
-        table, found, scores = shared.value, [], []
-        rows: list[tuple[np.ndarray, np.ndarray]] = []
-
-        def score_rows() -> None:
-            for total, (_, counts) in zip(log_likelihoods(rows, table), rows):
-                if not len(counts):
-                    found.append(UNKNOWN)
-                    scores.append(0.0)
-                    continue
-                total *= min(1.0, margin_grams / counts.sum())
-                best = int(np.argmax(total))
-                found.append(langs[best])
-                scores.append(float(1 / np.exp(total - total[best]).sum()))
-            rows.clear()
-
-        held = 0
-        for x in texts:
-            text = x.as_py()
-            scored = langs and text and any(map(str.isalpha, text))
-            rows.append(bag(text, len(table)) if scored else (np.zeros(0, np.int64), np.zeros(0, np.int64)))
-            held += len(rows[-1][0])
-            if held >= BATCH_BINS:
-                score_rows()
-                held = 0
-        score_rows()
-        return pa.StructArray.from_arrays([pa.array(found, pa.string()), pa.array(scores, pa.float64())], ["lang_pred", "score"])
+
+    def guess(first: int):
+        """For the languages from ``first`` on: the best one, its summed log-probabilities, and the
+        sum of all by it."""
+        shared = docs.sparkSession.sparkContext.broadcast(np.ascontiguousarray(logs[:, first : first + BLOCK_LANGUAGES]))  # 26 MB at most
+
+        @F.arrow_udf("struct<lang string, top double, mass double>")
+        def run(texts: pa.Array) -> pa.Array:
+            table, found, tops, masses = shared.value, [], [], []
+            rows: list[tuple[np.ndarray, np.ndarray]] = []
+
+            def score_rows() -> None:
+                for total, (_, counts) in zip(log_likelihoods(rows, table), rows):
+                    if not len(counts):
+                        found.append(None)
+                        tops.append(None)
+                        masses.append(None)
+                        continue
+                    total *= min(1.0, margin_grams / counts.sum())
+                    best = int(np.argmax(total))
+                    found.append(langs[first + best])
+                    tops.append(float(total[best]))
+                    masses.append(float(np.exp(total - total[best]).sum()))
+                rows.clear()
+
+            held = 0
+            for x in texts:
+                text = x.as_py()
+                scored = langs and text and any(map(str.isalpha, text))
+                rows.append(bag(text, len(table)) if scored else (np.zeros(0, np.int64), np.zeros(0, np.int64)))
+                held += len(rows[-1][0])
+                if held >= BATCH_BINS:
+                    score_rows()
+                    held = 0
+            score_rows()
+            return pa.StructArray.from_arrays([pa.array(found, pa.string()), pa.array(tops, pa.float64()), pa.array(masses, pa.float64())], ["lang", "top", "mass"])
+
+        return run
 
     rest = [c for c in docs.columns if c not in ("lang_pred", "score")]
-    out = docs.select(*(F.col(f"`{c}`") for c in rest), guess(F.col(text_col).cast("string")).alias("_kilnwork_guess"))
-    return out.select(*(F.col(f"`{c}`") for c in rest), "_kilnwork_guess.lang_pred", "_kilnwork_guess.score")
+    guesses = [guess(i)(F.col(text_col).cast("string")) for i in range(0, max(1, len(langs)), BLOCK_LANGUAGES)]
+    out = docs.select(*(F.col(f"`{c}`") for c in rest), F.array(*guesses).alias("_kilnwork_guess"))
+    top = F.array_max(F.col("_kilnwork_guess.top"))  # of equal ones the first block's, as languages are in order
+    best = F.filter("_kilnwork_guess", lambda x: x["top"] == top)[0]["lang"]
+    mass = F.aggregate("_kilnwork_guess", F.lit(0.0), lambda s, x: s + x["mass"] * F.exp(x["top"] - top))
+    return out.select(*(F.col(f"`{c}`") for c in rest), F.coalesce(F.when(top.isNotNull(), best), F.lit(UNKNOWN)).alias("lang_pred"), F.coalesce(1 / mass, F.lit(0.0)).alias("score"))
 
 
 def held_out(doc_id):

@@ -89,14 +89,15 @@ def _anchor_words(words: list[str], size: int, least: float) -> set[str]:
 
 
 def license_scan(docs: DataFrame, templates: dict[str, str] | None = None, least: float = 0.8) -> DataFrame:
-    """For each row of ``docs`` a row per template found: doc_id, license, containment, first_word.
+    """One row per doc_id and template found: doc_id, license, containment, first_word.
 
     containment: share of the template's distinct shingles in the matched stretch, at least
     ``least``; of several places the best one, then the first, counts, and first_word is where its
     window begins (in words from 0). A template whose best place overlaps that of one of higher
     containment is left out, as versions of a licence share most of their words. Null and empty texts
     match nothing; texts of any length are read whole. Each row is judged by its own text, whether
-    its doc_id is null, repeated or neither. Extra columns are left out. An empty table, or one of
+    its doc_id is null, repeated or neither; of rows with one doc_id (null too) that hold a template
+    the best place is given. Extra columns are left out. An empty table, or one of
     no templates, gives an empty result. ``templates``: a small fixed set; with several of one
     wording each is reported.
     """
@@ -164,4 +165,6 @@ def license_scan(docs: DataFrame, templates: dict[str, str] | None = None, least
     def beaten(x):
         return F.exists("all", lambda y: (y["containment"] > x["containment"]) & (y["first_word"] < x["first_word"] + x["n"]) & (x["first_word"] < y["first_word"] + y["n"]))
 
-    return listed.select("doc_id", F.explode(F.filter("all", lambda x: ~beaten(x))).alias("x")).select("doc_id", "x.license", "x.containment", "x.first_word")
+    found = listed.select("doc_id", F.explode(F.filter("all", lambda x: ~beaten(x))).alias("x"))
+    best = found.groupBy("doc_id", "x.license").agg(F.max(F.struct("x.containment", (-F.col("x.first_word")).alias("at"))).alias("best"))
+    return best.select("doc_id", "license", "best.containment", (-F.col("best.at")).alias("first_word"))

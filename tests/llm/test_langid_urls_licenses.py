@@ -55,10 +55,10 @@ def brute_bin(gram, bins):
 
 def test_naive_bayes_against_brute_force(spark, monkeypatch):
     rng, bins = random.Random(4), 64
-    monkeypatch.setattr(langid, "MATRIX_CELLS", 3 * bins)
+    monkeypatch.setattr(langid, "BLOCK_LANGUAGES", 2)  # two blocks
     monkeypatch.setattr(langid, "BATCH_BINS", 100)
     rows = [(" ".join(rng.choice(words) for _ in range(rng.randint(1, 30))), lang) for _ in range(60) for words, lang in ((EN, "en"), (DE, "de"), (FR, "fr"))]
-    langs, table = langid.train(spark.createDataFrame(rows, "text string, lang string").repartition(4))
+    langs, table = langid.train(spark.createDataFrame(rows, "text string, lang string").repartition(4), bins)
     assert langs == ["de", "en", "fr"] and table.shape == (bins, 3)
     counts = {lang: [0.5] * bins for lang in langs}
     for text, lang in rows:
@@ -76,13 +76,17 @@ def test_naive_bayes_against_brute_force(spark, monkeypatch):
         assert r.score == pytest.approx(1 / sum(math.exp(total[x] - total[best]) for x in langs), rel=1e-3)
 
 
-def test_many_languages_share_the_matrix(spark):
-    assert langid.bins_for(4) == langid.bins_for(100) == langid.BINS and langid.bins_for(101) == langid.BINS // 2
-    rows = [(chr(0x4E00 + i) * 5, f"l{i:03}") for i in range(150)]
-    docs = spark.createDataFrame(rows, "text string, lang string")
-    model = langid.train(docs)
-    assert model[1].shape == (langid.BINS // 2, 150)
-    assert langid.predict(docs, model).filter("lang_pred = lang").count() > 140
+def test_a_language_is_the_same_beside_200_others(spark, monkeypatch):
+    own = spark.createDataFrame([(t, x) for words, x in ((EN, "en"), (DE, "zde")) for t in words], "text string, lang string")
+    others = spark.createDataFrame([(chr(0x4E00 + i) * 5, f"l{i:03}") for i in range(200)], "text string, lang string")
+    few, many = langid.train(own), langid.train(own.union(others))
+    assert few[1].shape == (langid.BINS, 2) and many[1].shape == (langid.BINS, 202)
+    assert (few[1][:, 0] == many[1][:, 0]).all() and (few[1][:, 1] == many[1][:, -1]).all()
+    docs = own.union(others).union(spark.createDataFrame([("", None), (None, None)], own.schema))
+    monkeypatch.setattr(langid, "BATCH_BINS", 50)
+    got = {m: sorted((r.text or "", r.lang_pred, round(r.score, 9)) for r in langid.predict(docs, many).collect()) for m in (monkeypatch.setattr(langid, "BLOCK_LANGUAGES", n) or n for n in (100, 1000))}
+    assert got[100] == got[1000]
+    assert langid.predict(docs, many).filter("lang_pred = lang").count() > 190
 
 
 def test_grams_of_a_long_text_are_those_of_its_parts(monkeypatch):
@@ -248,11 +252,19 @@ def test_licenses_found_are_those_of_brute_force(spark):
 
 def test_rows_of_one_id_are_judged_by_themselves(spark):
     cut = TEMPLATES["MIT-warranty"].split()
-    texts = [TEMPLATES["BSD-disclaimer"], " ".join(cut[:10] + cut[12:]), "no license here", TEMPLATES["MIT-warranty"]]
-    own = lambda ids: sorted((r.license, round(r.containment, 9), r.first_word) for r in license_scan(spark.createDataFrame(list(zip(ids, texts)), "doc_id long, text string")).collect())
-    want = own([1, 2, 3, 4])
-    assert {"BSD-disclaimer", "MIT-warranty"} <= {x[0] for x in want} and len(want) > 3
-    assert own([7, 7, 7, 7]) == own([None] * 4) == own([None, 7, 7, None]) == want
+    texts = [TEMPLATES["BSD-disclaimer"], " ".join(cut[:1] + cut[3:]), "no license here", TEMPLATES["MIT-warranty"]]
+
+    def own(ids):
+        docs = spark.createDataFrame(list(zip(ids, texts)), "doc_id long, text string")
+        return {(r.doc_id, r.license): (round(r.containment, 9), r.first_word) for r in license_scan(docs).collect()}
+
+    apart = own([1, 2, 3, 4])
+    best = {}
+    for (_, name), (share, at) in apart.items():
+        best[name] = max(best.get(name, (0, 0)), (share, -at))
+    want = {name: (share, -at) for name, (share, at) in best.items()}
+    assert {"BSD-disclaimer", "MIT-warranty"} <= set(want) and (1, "BSD-disclaimer") in apart and (2, "MIT-warranty") in apart
+    assert own([7, 7, 7, 7]) == {(7, name): v for name, v in want.items()} and own([None] * 4) == {(None, name): v for name, v in want.items()}
 
 
 def test_each_license_is_told_from_its_kin(spark):
