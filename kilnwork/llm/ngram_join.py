@@ -24,7 +24,6 @@ from pyspark.sql import DataFrame, functions as F
 from pyspark.sql.types import ArrayType, BinaryType, IntegerType, LongType, StructField, StructType
 
 from .graph import components
-from .near_text import _joined, _sets, shingle_set
 from .skew import salted_lookup
 from ..sources.store import release, saved
 
@@ -34,6 +33,49 @@ ORDER_GROUPS = 1 << 16
 POINT_GROUPS = 64
 #: Points of a leaf and of a cell that one task joins; children of an inner node; counts compared at a time.
 LEAF, FANOUT, CELLS = 256, 16, 1 << 21
+#: Bits of the filter that wanted texts pass before they are moved, at most (2 MB).
+FILTER_BITS = 1 << 24
+#: Words of a worker's cache of hashes, and the longest of them in bytes.
+CACHE_WORDS, CACHED_BYTES = 400_000, 64
+
+
+class _Hashes(dict):
+    """64-bit hashes of words, filled when asked."""
+
+    def __missing__(self, word: bytes) -> int:
+        h = xxhash.xxh64_intdigest(word, 7)
+        if len(word) <= CACHED_BYTES:
+            if len(self) >= CACHE_WORDS:
+                self.clear()
+            self[word] = h
+        return h
+
+
+_hashes = _Hashes()
+
+
+def words_of(text: str | None) -> list[bytes]:
+    """Runs without ASCII white space, A-Z in lower case."""
+    return (text or "").encode().lower().split()
+
+
+def runs(words: list[bytes], shingle: int) -> np.ndarray:
+    """A hash of each run of ``shingle`` words (of all words of a shorter text), as often as it is
+    there: the words' 64-bit hashes times unrelated odd numbers of their places, so that two
+    different runs are equal once in 2^64."""
+    if not words:
+        return np.zeros(0, "<u8")
+    h = np.fromiter(map(_hashes.__getitem__, words), dtype="<u8", count=len(words))
+    size = min(shingle, len(words))
+    out = np.full(len(h) - size + 1, size, dtype="<u8")
+    for i in range(size):
+        out += h[i : i + len(out)] * np.uint64(xxhash.xxh64_intdigest(b"place %d" % i) | 1)
+    return out
+
+
+def token_set(text: str | None, shingle: int = 5) -> np.ndarray:
+    """Ascending distinct hashes of the runs of ``shingle`` words."""
+    return np.unique(runs(words_of(text), shingle))
 
 
 def _counter(shingle: int):
@@ -41,7 +83,11 @@ def _counter(shingle: int):
         total = np.zeros(ORDER_GROUPS, dtype=np.int64)
         for batch in batches:
             for x in batch.column(0):
-                total += np.bincount((shingle_set(x.as_py(), shingle) & np.uint64(ORDER_GROUPS - 1)).view("<i8"), minlength=ORDER_GROUPS)
+                groups = (runs(words_of(x.as_py()), shingle) & np.uint64(ORDER_GROUPS - 1)).view("<i8")
+                if len(groups) < ORDER_GROUPS // 16:
+                    np.add.at(total, groups, 1)
+                else:
+                    total += np.bincount(groups, minlength=ORDER_GROUPS)
         held = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(held, pa.int32()), pa.array(total[held])], ["g", "n"])
 
@@ -96,9 +142,9 @@ def _prints(ranks, shingle: int, similarity: int):
     def run(text: pa.Array) -> pa.Array:
         keys, sizes, first, counts = [], [], [], []
         for x in text:  # one text at a time outside of Arrow
-            own = x.as_py()
-            tokens = shingle_set(own, shingle)
-            keys.append(xxhash.xxh128_digest(_joined(own)))
+            words = words_of(x.as_py())
+            tokens = np.unique(runs(words, shingle))
+            keys.append(_key(words))
             sizes.append(len(tokens))
             first.append(first_tokens(tokens, ranks.value, similarity).view("<i8"))
             counts.append(packed(point(tokens)))
@@ -108,10 +154,39 @@ def _prints(ranks, shingle: int, similarity: int):
     return run
 
 
-def _keys():
+def _key(words: list[bytes]) -> bytes:
+    return xxhash.xxh128_digest(b" ".join(words))
+
+
+def _wanted_keys(bits):
+    """The key of a text, or null where the filter has no bit for it."""
     @F.arrow_udf(BinaryType())
     def run(text: pa.Array) -> pa.Array:
-        return pa.array([xxhash.xxh128_digest(_joined(x.as_py())) for x in text], pa.binary())
+        held, last, out = bits.value, 8 * len(bits.value) - 1, []
+        for x in text:
+            key = _key(words_of(x.as_py()))
+            at = xxhash.xxh64_intdigest(key, 42) & last
+            out.append(key if held[at >> 3] >> (at & 7) & 1 else None)
+        return pa.array(out, pa.binary())
+
+    return run
+
+
+def key_filter(keys: DataFrame, n: int) -> bytes:
+    """A bit for each of the ``n`` keys, over at most FILTER_BITS bits; other keys may share one."""
+    size = 1 << min(FILTER_BITS.bit_length() - 1, max(15, (16 * n).bit_length()))
+    at = keys.select((F.pmod(F.xxhash64("key"), F.lit(size)) + 1).alias("at"))
+    parts = at.groupBy(F.bitmap_bucket_number("at").alias("part")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("at")).alias("bits")).collect()  # 4 KB each
+    out = bytearray(size // 8)
+    for r in parts:
+        out[(r.part - 1) * 4096 : r.part * 4096] = r.bits
+    return bytes(out)
+
+
+def _sets(shingle: int):
+    @F.arrow_udf(ArrayType(LongType()))
+    def run(text: pa.Array) -> pa.Array:
+        return pa.array([token_set(x.as_py(), shingle).view("<i8") for x in text], pa.list_(pa.int64()))
 
     return run
 
@@ -242,7 +317,8 @@ class _Join:
         return both.filter(fits(_bounds()("counts_a", "counts_b"), F.col("size_a"), F.col("size_b"), s)).select("a", "b")
 
     def verify(self, pairs: DataFrame) -> None:
-        """Exact sets of the pairs not tried before, from the texts of their nodes; then components."""
+        """Exact sets of the pairs not tried before, from the texts of their nodes; then components. A
+        bit filter of bounded size keeps most other texts from being moved to the join."""
         if self.tried is not None:
             pairs = pairs.join(self.tried, ["a", "b"], "left_anti")
         pairs = saved(pairs, "pairs")
@@ -251,7 +327,9 @@ class _Join:
             return
         wanted = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct()
         wanted = saved(self.nodes.select("node", "key").join(wanted, "node"), "wanted")
-        texts = self.docs.select(_keys()(F.col("text").cast("string")).alias("key"), F.col("text").cast("string").alias("text")).join(wanted, "key")
+        bits = self.docs.sparkSession.sparkContext.broadcast(key_filter(wanted, wanted.count()))
+        text = F.col("text").cast("string")
+        texts = self.docs.select(_wanted_keys(bits)(text).alias("key"), text.alias("text")).filter("key is not null").join(wanted, "key")
         sets = texts.groupBy("node").agg(F.first("text").alias("text")).select("node", _sets(self.shingle)("text").alias("hashes"))
         sets = saved(sets, "sets")
         both = F.size(F.array_intersect("hashes_a", "hashes_b"))
