@@ -1,4 +1,5 @@
-"""Lexical retrieval: term statistics, BM25-like search, multi-field scores with exclusions, hits."""
+"""Lexical retrieval: term statistics, multi-field scores with exclusions, hits. Search by an inverted
+index is in ``index``."""
 
 from __future__ import annotations
 
@@ -12,15 +13,12 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window, functions as F
 from pyspark.sql.pandas.types import to_arrow_type
 
-from ..functions.text import identifier_tokens, query_terms
-from ..sources.store import saved
+from ..functions.text import query_terms
 
 # Weights of the scores.
 FIELD_WEIGHTS = {"issue_summary": 0.40, "failure_signal": 0.25, "patch_summary": 0.20, "changed_files": 0.10, "strategy": 0.05}
 HYBRID_WEIGHTS = {"lexical": 0.50, "structural": 0.15, "path": 0.15, "imports": 0.10, "tests": 0.10}
 K1 = 1.2
-#: Words of a query set that a task may look for; a larger set is met by a join alone.
-MOST_TERMS = 100_000
 #: Queries that are scored together, and records at a time.
 QUERY_BLOCK, RECORD_BLOCK = 256, 1000
 _IDENTIFIER = re.compile("[a-zA-Z_][a-zA-Z0-9_]*")
@@ -37,25 +35,24 @@ def _tokens(low: str) -> list[str]:
     return out
 
 
-def term_frequencies(docs: DataFrame, doc_id: str, text: str, terms: Sequence[str] | None = None) -> DataFrame:
-    """doc_id, term, tf: a term's count over the count of the document's most frequent term; only
-    ``terms`` if given. A document is counted as a whole where it is, so nothing is shuffled."""
-    wanted = None if terms is None else frozenset(terms)
+def term_frequencies(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
+    """doc_id, term, tf (a term's count over the count of the document's most frequent term) and
+    most (that count). A document is counted as a whole where it is, so nothing is shuffled."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            ids, found, tf = [], [], []
+            ids, found, tf, peak = [], [], [], []
             for key, low in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 counts = Counter(_tokens(low or ""))
                 most = max(counts.values(), default=1)
-                own = counts if wanted is None else wanted & counts.keys()
-                ids += [key] * len(own)
-                found += own
-                tf += [counts[t] / most for t in own]
-            yield pa.RecordBatch.from_arrays([pa.array(ids, batch.schema.field(0).type), pa.array(found, pa.string()), pa.array(tf, pa.float64())], [doc_id, "term", "tf"])
+                ids += [key] * len(counts)
+                found += counts
+                tf += [n / most for n in counts.values()]
+                peak += [most] * len(counts)
+            yield pa.RecordBatch.from_arrays([pa.array(ids, batch.schema.field(0).type), pa.array(found, pa.string()), pa.array(tf, pa.float64()), pa.array(peak, pa.int64())], [doc_id, "term", "tf", "most"])
 
     kind = docs.schema[doc_id].dataType.simpleString()
-    return docs.select(doc_id, F.lower(text)).mapInArrow(run, f"{doc_id} {kind}, term string, tf double")
+    return docs.select(doc_id, F.lower(text)).mapInArrow(run, f"{doc_id} {kind}, term string, tf double, most long")
 
 
 def inverse_frequencies(tf: DataFrame, n_docs: DataFrame) -> DataFrame:
@@ -64,34 +61,6 @@ def inverse_frequencies(tf: DataFrame, n_docs: DataFrame) -> DataFrame:
     return df.join(n_docs).select("term", "df", (F.log((F.col("n") + 1) / (F.col("df") + 1)) + 1).alias("idf"))  # one row
 
 
-def lexical_scores(queries: DataFrame, query_id: str, text: str, docs: DataFrame, doc_id: str, doc_text: str, only: Column | None = None) -> DataFrame:
-    """query_id, doc_id, lexical: summed over the query's terms (repeated ones count) by an
-    equi-join on terms, over the number of terms. Documents without a term of it are not there, nor
-    those that ``only`` leaves out; these still count for a term's frequency. Documents are
-    tokenized once, and only terms that some query has go on."""
-    asked = queries.select(query_id, identifier_tokens(F.col(text)).alias("_t")).select(query_id, F.size("_t").alias("_n"), F.explode("_t").alias("term"))
-    asked = asked.groupBy(query_id, "_n", "term").agg(F.count("*").alias("_times"))
-    words = [r.term for r in asked.select("term").distinct().limit(MOST_TERMS + 1).collect()]
-    tf = saved(term_frequencies(docs, doc_id, doc_text, words if len(words) <= MOST_TERMS else None), "tf")
-    idf = inverse_frequencies(tf, docs.agg(F.count("*").alias("n")))
-    if only is not None:
-        tf = tf.join(docs.filter(only).select(doc_id), doc_id, "left_semi")
-    part = F.col("_times") * F.col("idf") * F.col("tf") * (K1 + 1) / (F.col("tf") + K1)
-    return asked.join(idf, "term").join(tf, "term").groupBy(query_id, doc_id).agg((F.sum(part) / F.greatest(F.lit(1), F.max("_n"))).alias("lexical"))
-
-
-def hybrid_search(lexical: DataFrame, queries: DataFrame, query_id: str, chunks: DataFrame, doc_id: str, static: Column, k: int = 5) -> DataFrame:
-    """Per query the k best chunks by the lexical score at its weight and a ``static`` part that no
-    query changes. A chunk without a term of the query can only be among the k best overall by its
-    static part, so those k are tried for every query, and no chunk meets every query."""
-    scored = chunks.select(doc_id, static.alias("_static"))
-    with_terms = lexical.join(scored, doc_id).select(query_id, doc_id, F.bround(HYBRID_WEIGHTS["lexical"] * F.col("lexical") + F.col("_static"), 6).alias("score"))
-    best = scored.select(doc_id, F.bround("_static", 6).alias("score")).orderBy(F.desc("score"), doc_id).limit(k)
-    tried = queries.select(query_id).join(F.broadcast(best))  # k rows for each query
-    rest = tried.join(lexical.select(query_id, doc_id), [query_id, doc_id], "left_anti").select(query_id, doc_id, "score")
-    return top_k(with_terms.union(rest), query_id, "score", doc_id, k)
-
-
 def centrality(links: DataFrame, file: str, other: str, enough: int) -> DataFrame:
     """file, share: its distinct links over ``enough``, at most 1."""
     counted = links.groupBy(file).agg(F.count_distinct(other).alias("_n"))
@@ -245,6 +214,19 @@ def hit_rates(ranked: DataFrame, queries: DataFrame, query_id: str, match: Colum
     return all_of.agg(*(share(F.col(f"_h{k}")).alias(f"hit_at_{k}") for k in ks), share(F.col("_n")).alias("mean_returned"), share(F.col("_n").isNull().cast("int")).alias("empty_share"))
 
 
+def localization(ranked: DataFrame, gold: DataFrame, query_id: str, chunk: str, file: Column, ks: Sequence[int] = (1, 3, 5)) -> DataFrame:
+    """One row: n queries with a gold chunk (query_id, chunk in ``gold``), and the shares of them
+    with one of its files and one of its chunks among the first k of ``ranked`` (query_id, chunk,
+    rank). ``file``: of a chunk. Without gold the shares are 0."""
+    own = ranked.withColumn("_file", file)
+    symbols = own.join(gold.select(query_id, chunk).distinct(), [query_id, chunk]).select(query_id, F.col("rank").alias("_s"), F.lit(None).cast("int").alias("_f"))
+    files = own.join(gold.select(query_id, file.alias("_file")).distinct(), [query_id, "_file"]).select(query_id, F.lit(None).cast("int"), F.col("rank"))
+    first = symbols.union(files).groupBy(query_id).agg(F.min("_s").alias("_s"), F.min("_f").alias("_f"))
+    every = gold.select(query_id).distinct().join(first, query_id, "left")
+    share = lambda c, k: F.bround(F.coalesce(F.avg((F.coalesce(c, F.lit(2**31 - 1)) <= k).cast("int")), F.lit(0.0)), 4)
+    return every.agg(F.count("*").alias("n"), *(share(F.col(c), k).alias(f"{name}_hit_at_{k}") for name, c in (("file", "_f"), ("symbol", "_s")) for k in ks))
+
+
 def remaining(queries: DataFrame, query_id: str, records: DataFrame, record_id: str, groups: tuple[str, str], keys: Sequence[str]) -> DataFrame:
     """query_id, n: records left when those equal to the query in any of the two ``groups`` or of
     the ``keys`` are left out. By inclusion and exclusion over counts of the groups, less the

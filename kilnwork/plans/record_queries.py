@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import code as C, payload as P, text as X
-from ..operators import retrieval as T
+from ..operators import index as N, joins as J, retrieval as T
+from ..sources.store import saved
 from .base import query
 from .table_queries import _NO, _OK, _rejected, _success
 
@@ -166,16 +167,12 @@ def idf_table(t):
     return _idf(t, _tf(t)).select("term", "df", F.bround("idf", 6).alias("idf"))
 
 
-def _lexical(t, only=None):
-    return T.lexical_scores(t("benchmark"), "item_id", "text", t("documents"), "doc_id", "text", only)
-
-
 @query(f"""
     WITH {_LEX}, r AS (SELECT item_id, doc_id, round_even(lexical, 6) AS score, row_number() OVER (PARTITION BY item_id ORDER BY round_even(lexical, 6) DESC, doc_id) AS rank FROM lex)
     SELECT * FROM r WHERE rank <= 5""")
 def bm25_topk(t):
-    scored = _lexical(t).select("item_id", "doc_id", F.bround("lexical", 6).alias("score"))
-    return T.top_k(scored, "item_id", "score", "doc_id", 5)
+    index = N.build_index(t("documents"), "doc_id", "text")
+    return N.search(index, t("benchmark"), "item_id", "text", 5).best.withColumnRenamed("doc", "doc_id")
 
 
 _STRUCT = "CASE WHEN len(string_split(text, chr(10))) BETWEEN 3 AND 30 THEN least(1.0, CASE lang WHEN 'en' THEN 1.0 WHEN 'de' THEN 0.9 WHEN 'fr' THEN 0.8 ELSE 0.5 END + 0.1) ELSE CASE lang WHEN 'en' THEN 1.0 WHEN 'de' THEN 0.9 WHEN 'fr' THEN 0.8 ELSE 0.5 END END"
@@ -211,7 +208,8 @@ def _search(t, file_filter: str = ""):
         w["structural"] * X.structural_score(kind, F.lit(""), F.col("text")) + w["path"] * X.path_proximity(F.col("file"), F.lit(_BIAS))
         + w["imports"] * F.coalesce("imports", F.lit(0.0)) + w["tests"] * F.coalesce("tests", F.lit(0.0))
     )
-    return T.hybrid_search(_lexical(t, only), t("benchmark"), "item_id", chunks, "doc_id", static, 5)
+    found = N.search(N.build_index(t("documents"), "doc_id", "text"), t("benchmark"), "item_id", "text", 5, w["lexical"], chunks.select(F.col("doc_id").alias("doc"), static.alias("static")))
+    return found.best.withColumnRenamed("doc", "doc_id")
 
 
 @query(_searched("true"))
@@ -330,29 +328,66 @@ def seeded_sample(t):
     return T.seeded_sample(t("documents").select("doc_id", "source"), "doc_id", 20, 42)
 
 
+_LINE = r"regexp_replace(line, '[\x00-\x1f\x7f]', ' ', 'g')"
+_SOURCE_SQL = rf"""
+    lines AS (SELECT doc_id, {_LINE} AS line, k, regexp_extract(line, '^[A-Za-z_]+') AS word FROM (SELECT doc_id, unnest(string_split(coalesce(text, ''), chr(10))) AS line, generate_subscripts(string_split(coalesce(text, ''), chr(10)), 1) AS k FROM documents)),
+    placed AS (SELECT *, (2 + coalesce(sum(CASE WHEN word = '' THEN 1 ELSE 4 END) OVER (PARTITION BY doc_id ORDER BY k ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0))::INTEGER AS first FROM lines),
+    functions AS (SELECT doc_id, word || '_' || k::VARCHAR AS name, first, 'def ' || word || '_' || k::VARCHAR || '(x):' || chr(10) || '    # ' || line || chr(10) || '    return x' AS content FROM placed WHERE word <> '' AND doc_id % 10 <> 3)"""
+
+
 def _sources(t):
-    """A module for each document: its whole text as comment lines between imports and code."""
-    head = F.concat(F.lit("import os\nfrom src.lib import tool\nimport m"), (F.col("n_chars") % 23).cast("string"), F.lit("\n# "), F.replace("text", F.lit("\n"), F.lit("\n# ")))
-    body = F.concat(F.lit("\n\ndef f"), (F.col("doc_id") % 7).cast("string"), F.lit("(x):\n    \'\'\'Doc.\'\'\'\n    return x\n\nclass K:\n    def m(self):\n        return os.path\n\nA = 1\nB = 2\n"))
-    return t("documents").select("doc_id", F.concat(head, body).alias("code"))
+    """A module of each document's text: an import named by its first word, then a function named by
+    the first word of each line with the line as its comment; a line that begins with no word is a
+    comment. A tenth of the modules is broken."""
+    clean = lambda x: F.regexp_replace(x, r"[\x00-\x1f\x7f]", " ")
+    word = lambda x: F.regexp_extract(x, "^[A-Za-z_]+", 0)
 
+    def line(x, i):
+        body = F.concat(F.lit("def "), word(x), F.lit("_"), (i + 1).cast("string"), F.lit("(x):\n    # "), clean(x), F.lit("\n    return x\n"))
+        return F.when(word(x) == "", F.concat(F.lit("# "), clean(x))).otherwise(body)
 
-_N = "len(string_split(text, chr(10)))"
+    text = F.coalesce("text", F.lit(""))
+    head = F.concat(F.lit("import m_"), F.regexp_extract(text, "[A-Za-z]+", 0))
+    parts = F.array_join(F.transform(F.split(text, "\n", -1), line), "\n")
+    broken = F.when(F.col("doc_id") % 10 == 3, "\ndef (").otherwise("")
+    return t("documents").select("doc_id", F.concat(head, F.lit("\n"), parts, broken).alias("code"))
 
 
 @query(f"""
-    WITH d AS (SELECT doc_id, {_N} AS n FROM documents)
-    SELECT doc_id, unnest(['function', 'class', 'method', 'file_level', 'file_level']) AS kind, unnest([5 + n, 9 + n, 10 + n, 1, 13 + n]) AS first, unnest([7 + n, 11 + n, 11 + n, 3 + n, 14 + n]) AS last,
-           unnest(['f' || (doc_id % 7)::VARCHAR, 'K', 'm', '', '']) AS name FROM d""")
+    WITH {_SOURCE_SQL}, others AS (SELECT doc_id, first AS n FROM placed WHERE word = '' UNION ALL SELECT doc_id, 1 FROM documents),
+         marked AS (SELECT doc_id, n, (n - lag(n) OVER (PARTITION BY doc_id ORDER BY n) > 3)::INT AS starts FROM others WHERE doc_id % 10 <> 3),
+         grouped AS (SELECT doc_id, n, sum(coalesce(starts, 1)) OVER (PARTITION BY doc_id ORDER BY n) AS g FROM marked)
+    SELECT doc_id, 'function' AS kind, first, first + 2 AS last, name FROM functions
+    UNION ALL SELECT doc_id, 'file_level', min(n), max(n), '' FROM grouped GROUP BY doc_id, g HAVING count(*) > 1""")
 def ast_chunks(t):
     return C.parsed(_sources(t), "doc_id", "code", C.chunks).select("doc_id", "kind", "first", "last", "name")
 
 
-@query("SELECT doc_id, unnest(['f' || (doc_id % 7)::VARCHAR, 'K', 'm']) AS name, unnest(['function', 'class', 'function']) AS kind FROM documents")
+@query(f"WITH {_SOURCE_SQL} SELECT doc_id, name, 'function' AS kind FROM functions UNION ALL SELECT doc_id, '', 'syntax_error' FROM documents WHERE doc_id % 10 = 3")
 def ast_symbols(t):
     return C.parsed(_sources(t), "doc_id", "code", C.symbols)
 
 
-@query("SELECT doc_id, unnest(['os', 'src.lib', 'm' || (n_chars % 23)::VARCHAR]) AS module, unnest(['os.py', 'src/lib.py', 'm' || (n_chars % 23)::VARCHAR || '.py']) AS path FROM documents")
+@query("SELECT doc_id, 'm_' || regexp_extract(coalesce(text, ''), '[A-Za-z]+') AS module, 'm_' || regexp_extract(coalesce(text, ''), '[A-Za-z]+') || '.py' AS path FROM documents WHERE doc_id % 10 <> 3")
 def ast_imports(t):
     return C.parsed(_sources(t), "doc_id", "code", C.imports)
+
+
+_CHUNK_LEX = _LEX.replace(_DOC, _TOKENS.format(id="doc_id", text="content", table="chunked")).replace("count(*) FROM documents", "count(*) FROM chunked")
+
+
+@query(f"""
+    WITH {_SOURCE_SQL}, chunked AS (SELECT doc_id::VARCHAR || '#' || name AS doc_id, doc_id AS file, name, content FROM functions), {_CHUNK_LEX},
+         r AS (SELECT item_id, doc_id, row_number() OVER (PARTITION BY item_id ORDER BY round_even(lexical, 6) DESC, doc_id) AS rank FROM lex),
+         gold AS (SELECT b.item_id, c.doc_id, c.file FROM chunked c JOIN benchmark b ON contains(c.content, b.text)),
+         hit AS (SELECT g.item_id, min(CASE WHEN r.doc_id IN (SELECT doc_id FROM gold x WHERE x.item_id = g.item_id) THEN rank END) AS symbol_at, min(CASE WHEN split_part(r.doc_id, '#', 1) IN (SELECT file::VARCHAR FROM gold x WHERE x.item_id = g.item_id) THEN rank END) AS file_at
+                 FROM (SELECT DISTINCT item_id FROM gold) g LEFT JOIN r ON r.item_id = g.item_id AND rank <= 5 GROUP BY g.item_id)
+    SELECT count(*) AS n, {', '.join(f"round_even(coalesce(avg((coalesce({what}_at, 99) <= {k})::INT), 0.0), 4) AS {what}_hit_at_{k}" for what in ('file', 'symbol') for k in (1, 3, 5))} FROM hit""")
+def code_localization(t):
+    """Of the queries whose passage some function holds: how many find that function, and its file,
+    among the first k functions by the index."""
+    functions = C.parsed(_sources(t), "doc_id", "code", C.chunks).filter("kind = 'function'")
+    chunks = saved(functions.select(F.concat(F.col("doc_id").cast("string"), F.lit("#"), "name").alias("chunk"), F.col("doc_id").alias("file"), "content"), "chunks")
+    ranked = N.search(N.build_index(chunks, "chunk", "content"), t("benchmark"), "item_id", "text", 5).best
+    gold = saved(J.contains_pairs(chunks, "chunk", "content", t("benchmark"), "item_id", "text"), "gold")
+    return T.localization(ranked.select("item_id", F.col("doc").alias("chunk"), "rank"), gold, "item_id", "chunk", F.substring_index("chunk", "#", 1))
