@@ -1,61 +1,8 @@
-"""Joins that plain equi-joins do not cover: text containment, as-of, ranges, stars of groups."""
+"""Joins that plain equi-joins do not cover: as-of, ranges, overlaps of intervals, stars of groups."""
 
 from __future__ import annotations
 
-from collections import defaultdict
-from collections.abc import Iterator
-from functools import reduce
-
-import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window, functions as F
-from pyspark.sql.pandas.types import to_arrow_type
-
-#: Bytes of needles that a task looks for at once.
-NEEDLE_BYTES = 1_000_000
-
-
-def contains_pairs(texts: DataFrame, text_id: str, text: str, needles: DataFrame, needle_id: str, needle: str) -> DataFrame:
-    """text_id, needle_id of every text that contains a needle.
-
-    Needles are a stated set, taken in blocks of about NEEDLE_BYTES; each text is read once a block
-    for all its needles together, so no pairs are made and no text is moved. An empty needle is in
-    every text, a null one in none.
-    """
-    spelled = needles.select(F.col(needle_id).alias("id"), F.col(needle).cast("string").alias("needle")).filter("needle is not null")
-    blocks = max(1, -(-(spelled.agg(F.sum(F.octet_length("needle"))).first()[0] or 0) // NEEDLE_BYTES))
-    kinds = f"{text_id} {texts.schema[text_id].dataType.simpleString()}, {needle_id} {needles.schema[needle_id].dataType.simpleString()}"
-
-    def block(words: dict[str, list]):
-        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            import ahocorasick
-
-            tree = ahocorasick.Automaton()
-            for w, ids in words.items():
-                if w:
-                    tree.add_word(w, ids)
-            tree.make_automaton()
-            for batch in batches:
-                keys, found = [], []
-                for key, whole in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                    if whole is None:
-                        continue
-                    own = {i for _, ids in tree.iter(whole) for i in ids} if len(tree) else set()
-                    own.update(words.get("", ()))
-                    keys += [key] * len(own)
-                    found += own
-                yield pa.RecordBatch.from_arrays([pa.array(keys, batch.schema.field(0).type), pa.array(found, kind)], [text_id, needle_id])
-
-        return texts.select(text_id, F.col(text).cast("string")).mapInArrow(run, kinds)
-
-    kind = to_arrow_type(needles.schema[needle_id].dataType)
-    parts = []
-    for b in range(blocks):
-        words: dict[str, list] = defaultdict(list)
-        for r in spelled.filter(F.pmod(F.xxhash64("needle"), F.lit(blocks)) == b).collect():  # about NEEDLE_BYTES
-            words[r.needle].append(r.id)
-        parts.append(block(dict(words)))
-    return reduce(DataFrame.union, parts)
-
 
 def group_stars(df: DataFrame, key: list[str], row_id: str) -> DataFrame:
     """first, row_id: each row of a group of two or more linked to the group's smallest id."""
@@ -90,3 +37,38 @@ def range_join(points: DataFrame, point: Column, ranges: DataFrame, low: str, hi
     dealt = ranges.withColumn("_bucket", F.explode(touched))
     placed = points.withColumn("_point", point).withColumn("_bucket", F.floor(F.col("_point") / width))
     return placed.join(dealt, "_bucket").filter((F.col("_point") >= F.col(low)) & (F.col("_point") < F.col(high))).drop("_bucket", "_point")
+
+
+def overlap_join(left: DataFrame, right: DataFrame, key: str, left_span: tuple[str, str], right_span: tuple[str, str], width: float) -> DataFrame:
+    """Pairs of one ``key`` whose closed intervals overlap, each once; columns other than the key
+    must differ. Intervals of a null end, or that end before they begin, overlap nothing.
+
+    Time is cut into slots of ``width``. Two intervals overlap exactly if one begins within the
+    other, so a pair belongs to the slot where the later one begins, and only the earlier one must
+    be known there. Of that, an interval is listed in a slot as itself where it begins; a longer one
+    is covered by blocks of slots whose lengths are powers of two, few of them whatever its length
+    (a segment tree), and the later one looks up the blocks above its own slot. So long intervals
+    are not copied to every slot they span, and a key with many rows is spread over its slots.
+    """
+    (l0, l1), (r0, r1) = left_span, right_span
+    slot = lambda c: F.floor(F.col(c) / width).cast("long")
+    left, right = left.filter(F.col(l0) <= F.col(l1)), right.filter(F.col(r0) <= F.col(r1))
+    spans = left.agg(F.max(slot(l1) - slot(l0)).alias("m")).union(right.agg(F.max(slot(r1) - slot(r0))))
+    levels = max(1, (spans.agg(F.max("m")).first()[0] or 0).bit_length() + 1)  # of blocks, two numbers reach the driver
+
+    def covered(df: DataFrame, low: str, high: str) -> DataFrame:
+        """A row for each block (level, number) of the cover of the slots low..high: at each level
+        an odd first one and an even last one are blocks of their own, the rest goes a level up."""
+        cover = F.expr(f"""aggregate(sequence(0, {levels}), named_struct('a', _a, 'b', _b, 'out', cast(array() as array<struct<l:int,x:bigint>>)),
+            (s, l) -> IF(s.a > s.b, s, named_struct('a', shiftright(s.a + 1, 1), 'b', shiftright(s.b - 1, 1), 'out', concat(s.out, array_compact(array(
+                IF(pmod(s.a, 2) = 1, named_struct('l', l, 'x', s.a), NULL), IF(pmod(s.b, 2) = 0, named_struct('l', l, 'x', s.b), NULL)))))), s -> s.out)""")
+        return df.withColumns({"_a": slot(low), "_b": slot(high)}).withColumn("_c", F.explode(cover)).withColumns({"_l": F.col("_c.l"), "_x": F.col("_c.x")}).drop("_a", "_b", "_c")
+
+    def above(df: DataFrame, low: str) -> DataFrame:
+        """A row for each block above the slot where the interval begins."""
+        return df.withColumn("_a", slot(low)).withColumn("_l", F.explode(F.sequence(F.lit(0), F.lit(levels)))).withColumn("_x", F.expr("shiftright(_a, _l)")).drop("_a")
+
+    on = [key, "_l", "_x"]
+    first = covered(left, l0, l1).join(above(right, r0), on).filter((F.col(r0) >= F.col(l0)) & (F.col(r0) <= F.col(l1)))
+    second = covered(right, r0, r1).join(above(left, l0), on).filter((F.col(l0) > F.col(r0)) & (F.col(l0) <= F.col(r1)))
+    return first.unionByName(second).drop("_l", "_x")

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from ..operators import substring as B
 from ..sources import files as S, report as P
 from ..sources.store import scratch_path
 from .base import query
@@ -102,10 +103,35 @@ def snk_markdown(t):
     return table.sparkSession.createDataFrame([(P.markdown("Data", table),)], "report string")
 
 
-@query("""
-    WITH f AS (SELECT 'documents' AS name, count(*)::VARCHAR AS content FROM documents UNION ALL SELECT 'labels', count(*)::VARCHAR FROM labels UNION ALL SELECT 'pages', count(*)::VARCHAR FROM pages)
-    SELECT sha256(string_agg(name || chr(0) || content || chr(0), '' ORDER BY name)) AS digest FROM f""")
+_DIGEST = """SELECT '{0}' AS name, sha256(string_agg(g || '=' || d, chr(10) ORDER BY g)) AS content FROM (
+    SELECT substr(sha256(path), 1, 4) AS g, sha256(string_agg(path || '=' || d, chr(10) ORDER BY path)) AS d FROM (SELECT {1}::VARCHAR AS path, sha256({2}) AS d FROM {0}) GROUP BY ALL)"""
+_PARTS = (("documents", "doc_id", "text"), ("pages", "page_id", "html"), ("labels", "doc_id", "coalesce(cast(quality AS VARCHAR), '') || '/' || coalesce(cast(toxic AS VARCHAR), '')"))
+
+
+@query(f"WITH f AS ({' UNION ALL '.join(_DIGEST.format(*p) for p in _PARTS)}) SELECT sha256(string_agg(name || chr(0) || content || chr(0), '' ORDER BY name)) AS digest FROM f")
 def package_digest(t):
-    """A digest over the few files of a package in order of their names."""
-    parts = [t(n).agg(F.count("*").cast("string").alias("content")).select(F.lit(n).alias("name"), "content") for n in ("pages", "documents", "labels")]
+    """A digest over the contents of a package's files in order of their names; each file's own is a
+    tree of digests of its rows, so that no task holds a file."""
+    label = F.concat(F.coalesce(F.col("quality").cast("string"), F.lit("")), F.lit("/"), F.coalesce(F.col("toxic").cast("string"), F.lit("")))
+    parts = []
+    for name, key, content in (("documents", "doc_id", F.col("text")), ("pages", "page_id", F.col("html")), ("labels", "doc_id", label)):
+        rows = t(name).select(F.col(key).cast("string").alias("path"), content.alias("content"))
+        parts.append(P.tree_checksum(rows).select(F.lit(name).alias("name"), F.col("checksum").alias("content")))
     return S.package_digest(parts[0].union(parts[1]).union(parts[2]))
+
+
+@query("""
+    WITH l AS (SELECT CASE WHEN doc_id % 2 = 0 THEN 'exports' ELSE 'train_package' END AS folder, unnest(string_split(text, chr(10))) AS line FROM documents)
+    SELECT folder, item_id, count(*) AS n FROM l JOIN (SELECT item_id, substr(text, 1, 12) AS term FROM benchmark) b ON contains(line, term) GROUP BY ALL""")
+def artifact_term_scan(t):
+    """Lines of the text files below two folders that hold a forbidden term, counted by folder and
+    term."""
+    docs = t("documents")
+    path = scratch_path(docs.sparkSession, "artifacts")
+    for i, folder in enumerate(("exports", "train_package")):
+        docs.filter(F.col("doc_id") % 2 == i).select("text").write.text(f"{path}/{folder}")
+    lines = docs.sparkSession.read.option("recursiveFileLookup", "true").option("lineSep", "\n").text(path)
+    named = lines.select(F.struct(F.regexp_extract("_metadata.file_path", "/([a-z_]+)/[^/]*$", 1).alias("folder")).alias("at"), "value")
+    terms = t("benchmark").select("item_id", F.substring("text", 1, 12).alias("term"))
+    found = B.contains_pairs(named, "at", "value", terms, "item_id", "term")
+    return found.groupBy(F.col("at.folder").alias("folder"), "item_id").agg(F.count("*").alias("n"))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import code as C, payload as P, text as X
-from ..operators import index as N, joins as J, retrieval as T
+from ..operators import index as N, retrieval as T, substring as B
 from ..sources.store import saved
 from .base import query
 from .table_queries import _NO, _OK, _rejected, _success
@@ -389,5 +389,5 @@ def code_localization(t):
     functions = C.parsed(_sources(t), "doc_id", "code", C.chunks).filter("kind = 'function'")
     chunks = saved(functions.select(F.concat(F.col("doc_id").cast("string"), F.lit("#"), "name").alias("chunk"), F.col("doc_id").alias("file"), "content"), "chunks")
     ranked = N.search(N.build_index(chunks, "chunk", "content"), t("benchmark"), "item_id", "text", 5).best
-    gold = saved(J.contains_pairs(chunks, "chunk", "content", t("benchmark"), "item_id", "text"), "gold")
+    gold = saved(B.contains_pairs(chunks, "chunk", "content", t("benchmark"), "item_id", "text"), "gold")
     return T.localization(ranked.select("item_id", F.col("doc").alias("chunk"), "rank"), gold, "item_id", "chunk", F.substring_index("chunk", "#", 1))

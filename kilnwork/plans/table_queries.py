@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Window, functions as F
 
 from ..functions import reward as R, text as X
-from ..operators import aggregates as A, checks as V, joins as J, sequence as S
+from ..operators import aggregates as A, checks as V, joins as J, sequence as S, substring as B
 from .base import query
 from .text_queries import _FAILURE, _REASON, _RISK, _RUN, reason, rewards
 
@@ -131,14 +131,31 @@ def template_leakage_pairs(t):
 
 @query("SELECT d.doc_id, b.item_id FROM documents d JOIN benchmark b ON contains(d.text, b.text)")
 def contamination_semi(t):
-    return J.contains_pairs(t("documents"), "doc_id", "text", t("benchmark"), "item_id", "text")
+    return B.contains_pairs(t("documents"), "doc_id", "text", t("benchmark"), "item_id", "text")
 
 
-@query("SELECT p.page_id, m.doc_id FROM pages p JOIN (SELECT doc_id, doc_id::VARCHAR AS stem FROM documents) m ON contains(p.url, '/' || stem || '.html')")
+@query(r"""
+    WITH s AS (SELECT DISTINCT regexp_extract(url, '([a-z-]+)\.example\.', 1) AS stem FROM pages)
+    SELECT page_id, stem FROM pages JOIN s ON stem <> '' AND contains(lower(html), stem) WHERE page_id % 4 = 0""")
 def test_mentions(t):
-    names = t("documents").select("doc_id", F.col("doc_id").cast("string").alias("stem"))
-    found = t("pages").select("page_id", F.regexp_extract("url", r"/(\d+)\.html", 1).alias("stem")).filter("stem <> ''")
-    return found.join(names, "stem").select("page_id", "doc_id")
+    """Pages that stand for test files, each with the site names its whole text mentions."""
+    stems = t("pages").select(F.regexp_extract("url", r"([a-z-]+)\.example\.", 1).alias("stem")).filter("stem <> ''").distinct()
+    tests = t("pages").filter("page_id % 4 = 0").select("page_id", F.lower("html").alias("html"))
+    return B.contains_pairs(tests, "page_id", "html", stems.withColumn("name", F.col("stem")), "stem", "name")
+
+
+@query("""
+    WITH l AS (SELECT o_orderkey AS id, o_custkey AS k, min(o_orderdate) AS b, max(l_shipdate) AS e FROM orders JOIN lineitem ON l_orderkey = o_orderkey GROUP BY ALL)
+    SELECT x.k AS customer, x.id AS first, y.id AS second FROM l x JOIN l y ON x.k = y.k AND x.id < y.id AND x.b <= y.e AND y.b <= x.e AND x.b <= x.e AND y.b <= y.e""")
+def rel_overlap(t):
+    """Orders of one customer that were open at the same time, from the day of order to the last
+    day of shipment."""
+    seconds = lambda c: F.unix_timestamp(c)
+    spans = t("lineitem").groupBy(F.col("l_orderkey").alias("id")).agg(F.max(seconds("l_shipdate")).alias("e"))
+    lives = t("orders").select(F.col("o_orderkey").alias("id"), F.col("o_custkey").alias("customer"), seconds("o_orderdate").alias("b")).join(spans, "id")
+    sides = [lives.select("customer", F.col("id").alias(n), F.col("b").alias(f"{n}_b"), F.col("e").alias(f"{n}_e")) for n in ("first", "second")]
+    met = J.overlap_join(*sides, "customer", ("first_b", "first_e"), ("second_b", "second_e"), 30 * 86_400)
+    return met.filter("first < second").select("customer", "first", "second")
 
 
 @query("SELECT coalesce(nullif(source, ''), 'unknown') AS source, count(*) AS n FROM documents GROUP BY ALL")

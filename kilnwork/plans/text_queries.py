@@ -109,13 +109,27 @@ def token_estimate(t):
     return t("documents").select("doc_id", X.token_estimate(F.col("text")).alias("tokens"))
 
 
-@query("""
-    WITH o AS (SELECT doc_id, (doc_id % 7)::VARCHAR || ' failed, ' || (doc_id % 11)::VARCHAR || ' passed in 3 s, then ' || (doc_id % 3)::VARCHAR || '  passed' AS out FROM documents)
-    SELECT doc_id, doc_id % 11 + doc_id % 3 AS n_passed, doc_id % 7 AS n_failed, doc_id % 7 + doc_id % 11 + 3 + doc_id % 3 AS n_loose FROM o""")
+#: A log of a text: each line with how long it is, and passed or failed by that.
+_LOG = "array_to_string([x || ' ' || length(x)::VARCHAR || CASE WHEN length(x) % 3 = 0 THEN ' failed' ELSE '  passed' END FOR x IN string_split(text, chr(10))], chr(10))"
+
+
+def _log():
+    line = lambda x: F.concat(x, F.lit(" "), F.length(x).cast("string"), F.when(F.length(x) % 3 == 0, " failed").otherwise("  passed"))
+    return F.array_join(F.transform(F.split("text", "\n", -1), line), "\n")
+
+
+def _summed(found: str) -> str:
+    return f"coalesce(list_sum([x::BIGINT FOR x IN {found}]), 0)::BIGINT"
+
+
+@query(rf"""
+    WITH o AS (SELECT doc_id, {_LOG} AS out FROM documents)
+    SELECT doc_id, {_summed("regexp_extract_all(out, '([0-9]+)[ ]+passed', 1)")} AS n_passed, {_summed("regexp_extract_all(out, '([0-9]+)[ ]+failed', 1)")} AS n_failed,
+           CASE WHEN contains(out, ' passed') THEN {_summed(r"[w FOR w IN regexp_split_to_array(out, '\s+') IF regexp_full_match(w, '[0-9]+')]")} ELSE 0 END AS n_loose FROM o""")
 def test_counts(t):
-    n = lambda k: (F.col("doc_id") % k).cast("string")
-    out = F.concat(n(7), F.lit(" failed, "), n(11), F.lit(" passed in 3 s, then "), n(3), F.lit("  passed"))
-    return t("documents").select("doc_id", out.alias("out")).select("doc_id", X.count_before(F.col("out"), "passed").alias("n_passed"), X.count_before(F.col("out"), "failed").alias("n_failed"), X.loose_pass_count(F.col("out")).alias("n_loose"))
+    """Counts over whole logs made of each text's lines."""
+    logs = t("documents").select("doc_id", _log().alias("out"))
+    return logs.select("doc_id", X.count_before(F.col("out"), "passed").alias("n_passed"), X.count_before(F.col("out"), "failed").alias("n_failed"), X.loose_pass_count(F.col("out")).alias("n_loose"))
 
 
 @query("""
@@ -133,13 +147,22 @@ def extract_test_names(t):
     return t("documents").select("doc_id", F.array_join(X.test_names(code), ",").alias("names"))
 
 
-@query("""
-    WITH o AS (SELECT doc_id, CASE doc_id % 4 WHEN 0 THEN 'test_a PASSED' WHEN 1 THEN 'test_a FAILED' WHEN 2 THEN '3 passed' ELSE '1 failed, 2 passed' END AS out FROM documents)
-    SELECT doc_id, CASE WHEN contains(out, 'test_a PASSED') THEN true WHEN contains(out, 'test_a FAILED') THEN false ELSE contains(out, ' passed') AND NOT contains(out, ' failed') END AS passed FROM o""")
+#: A log of a text's lines after the first: one that begins with a test's name tells of it.
+_RUN_LOG = rf"""array_to_string([CASE WHEN starts_with(x, w) THEN w || CASE WHEN length(x) % 2 = 0 THEN ' PASSED' ELSE ' FAILED' END WHEN length(x) % 7 = 0 THEN x || ' failed' ELSE x || ' passed' END FOR x IN string_split(text, chr(10))[2:]], chr(10))"""
+
+
+@query(f"""
+    WITH d AS (SELECT doc_id, text, 'The' AS w FROM documents), o AS (SELECT doc_id, w, {_RUN_LOG} AS out FROM d)
+    SELECT doc_id, CASE WHEN contains(out, w || ' PASSED') THEN true WHEN contains(out, w || ' FAILED') THEN false ELSE contains(out, ' passed') AND NOT contains(out, ' failed') END AS passed FROM o""")
 def test_passed(t):
-    k = F.col("doc_id") % 4
-    out = F.when(k == 0, "test_a PASSED").when(k == 1, "test_a FAILED").when(k == 2, "3 passed").otherwise("1 failed, 2 passed")
-    return t("documents").select("doc_id", X.test_passed(out, F.lit("mod::test_a")).alias("passed"))
+    """What whole logs, made of each text's lines after the first, say of one test."""
+    def line(x):
+        named = F.concat(F.lit("The"), F.when(F.length(x) % 2 == 0, " PASSED").otherwise(" FAILED"))
+        return F.when(x.startswith("The"), named).otherwise(F.concat(x, F.when(F.length(x) % 7 == 0, " failed").otherwise(" passed")))
+
+    lines = F.split("text", "\n", -1)
+    out = F.array_join(F.transform(F.slice(lines, F.lit(2), F.size(lines)), line), "\n")
+    return t("documents").select("doc_id", X.test_passed(out, F.lit("mod::The")).alias("passed"))
 
 
 @query("""
@@ -172,12 +195,19 @@ def issue_summary(t):
     return t("documents").select("doc_id", F.sha2(X.issue_summary(prompt), 256).alias("summary"))
 
 
-@query("""
-    SELECT page_id, CASE page_id % 4 WHEN 0 THEN 1.0 WHEN 1 THEN round_even(2 / 3::DOUBLE, 6) WHEN 2 THEN 0.0 ELSE round_even(1 / 3::DOUBLE, 6) END AS proximity FROM pages""")
+_PARTS = "[x FOR x IN string_split(regexp_extract({}, '://([^?#]*)', 1), '/') IF x <> '']"
+
+
+@query(rf"""
+    WITH u AS (SELECT page_id, {_PARTS.format('url')} AS a FROM pages), v AS (SELECT page_id // 8 AS g, max_by({_PARTS.format('url')}, page_id) AS b FROM pages GROUP BY ALL),
+         c AS (SELECT page_id, a, b, [i FOR i IN range(1, least(len(a), len(b)) + 1) IF a[i] <> b[i]] AS off FROM u JOIN v ON v.g = page_id // 8)
+    SELECT page_id, CASE WHEN greatest(len(a), len(b)) = 0 THEN 1.0 ELSE round_even(coalesce(list_min(off) - 1, least(len(a), len(b))) / greatest(len(a), len(b))::DOUBLE, 6) END AS proximity FROM c""")
 def path_proximity(t):
-    k = F.col("page_id") % 4
-    bias = F.when(k == 0, "src/lib/parser.py").when(k == 1, "src/lib").when(k == 2, "lib/src").otherwise("src/other/lib")
-    return t("pages").select("page_id", F.bround(X.path_proximity(F.lit("src/lib/parser.py"), bias), 6).alias("proximity"))
+    """Of each url's host and path to those of the last page of its group of eight."""
+    path = F.regexp_extract("url", "://([^?#]*)", 1)
+    own = t("pages").select("page_id", path.alias("path"), F.floor(F.col("page_id") / 8).alias("g"))
+    last = own.groupBy("g").agg(F.max_by("path", "page_id").alias("bias"))
+    return own.join(last, "g").select("page_id", F.bround(X.path_proximity(F.col("path"), F.col("bias")), 6).alias("proximity"))
 
 
 @query(r"""

@@ -3,6 +3,7 @@
 from pyspark.sql import functions as F
 
 from kilnwork.functions import code, diff as D, payload as P, reward as R, text as X
+from kilnwork.operators.substring import contains_pairs
 from kilnwork.operators import aggregates as A, checks as V, joins as J, retrieval as T, sequence as S
 
 
@@ -74,7 +75,7 @@ def test_operators(spark):
     assert V.not_shrunk(snap, snap, "k", "n").count() == 0 and V.not_shrunk(snap, snap.filter("k = 'a'"), "k", "n").count() == 1
     texts = spark.createDataFrame([(1, "one two three four"), (2, "one two"), (3, "xtwo threey")], "d int, t string")
     needles = spark.createDataFrame([(7, "one two three"), (8, "two three")], "n int, s string")
-    assert sorted(map(tuple, J.contains_pairs(texts, "d", "t", needles, "n", "s").collect())) == [(1, 7), (1, 8), (3, 8)]
+    assert sorted(map(tuple, contains_pairs(texts, "d", "t", needles, "n", "s").collect())) == [(1, 7), (1, 8), (3, 8)]
     rate = spark.createDataFrame([], "f boolean").agg(A.rate(F.col("f")).alias("r")).first().r
     assert rate == 0.0
     assert T.seeded_sample(df, "k", 3, 1).count() == 3

@@ -1,24 +1,53 @@
+import math
 import random
-from collections import defaultdict
+from collections import Counter, defaultdict
 
 import pytest
 from pyspark.sql import functions as F
 
-from kilnwork.operators import joins as J, retrieval as T, sequence as S, validate as G
+from kilnwork.operators import index as N, joins as J, retrieval as T, sequence as S, substring, validate as G
 from kilnwork.sources import files, store
 from kilnwork.streaming import streams
 
 
 def test_contained_needles(spark, monkeypatch):
-    monkeypatch.setattr(J, "NEEDLE_BYTES", 20)
+    monkeypatch.setattr(substring, "BLOCK", 64)
     rng = random.Random(1)
-    word = lambda: "".join(rng.choice("ab ") for _ in range(rng.randint(1, 6)))
-    texts = [(i, "".join(word() for _ in range(rng.randint(0, 8)))) for i in range(60)] + [(100, None), (101, ""), (102, "ab" * 50_000)]
-    needles = [(i, word()) for i in range(30)] + [(50, ""), (51, None), (52, "ab"), (53, "ab")]
-    got = J.contains_pairs(spark.createDataFrame(texts, "t long, text string"), "t", "text", spark.createDataFrame(needles, "n int, needle string"), "n", "needle")
-    want = sorted((t, n) for t, text in texts for n, needle in needles if text is not None and needle is not None and needle in text)
-    assert sorted((r.t, r.n) for r in got.collect()) == want
-    assert "Cartesian" not in got._jdf.queryExecution().toString() and "NestedLoop" not in got._jdf.queryExecution().toString()
+    word = lambda: "".join(rng.choice("ab é") for _ in range(rng.randint(1, 12)))
+    texts = [(i, "".join(word() for _ in range(rng.randint(0, 20)))) for i in range(80)] + [(100, None), (101, ""), (102, "ab" * 50_000), (None, "ab baé"), (7, "abab"), (7, "abab")]
+    needles = [(i, word()) for i in range(40)] + [(50, ""), (51, None), (52, "ab"), (53, "ab"), (54, "b" * 9), (None, "aé"), (55, "ab" * 40)]
+    named = lambda rows, kind: spark.createDataFrame([(*r, 1, 2) for r in rows], f"{kind}, size int, gram int")
+    got = substring.contains_pairs(named(texts, "id long, text string").repartition(3), "id", "text", named(needles, "at int, needle string"), "at", "needle")
+    want = sorted(((t, n) for t, text in texts for n, needle in needles if text is not None and needle is not None and needle in text), key=repr)
+    assert sorted(map(tuple, got.collect()), key=repr) == want and len(want) > 300
+    plan = got._jdf.queryExecution().toString()
+    assert "Cartesian" not in plan and "NestedLoop" not in plan
+    none = named([], "id long, text string")
+    assert substring.contains_pairs(none, "id", "text", named(needles, "at int, needle string"), "at", "needle").count() == 0
+    assert substring.contains_pairs(named(texts, "id long, text string"), "id", "text", named([], "at int, needle string"), "at", "needle").count() == 0
+
+
+def test_grams_pass_the_filter_that_holds_them(spark):
+    data = bytes(range(256)) * 9
+    assert substring.windows(b"abc", 2).tolist() == [0x6162, 0x6263] and len(substring.windows(b"a", 2)) == 0
+    for size in substring.SIZES:
+        grams = substring.grams_of(data, size)
+        places = substring._place(grams, size, substring.FILTER_BITS)
+        held = substring._filter(spark.createDataFrame([(int(p),) for p in places], "place long"))
+        assert (substring.grams_of(data, size, __import__("numpy").frombuffer(held, "u1")) == grams).all()
+
+
+def test_overlaps_of_intervals_once_each(spark):
+    rng = random.Random(8)
+    span = lambda: (lambda a: (a, a + rng.choice([0, 1, 3, 40, 700, -2])))(rng.randint(-300, 300))
+    left, right = ([(rng.choice([1, 1, 2, None]), i, *span()) for i in range(n)] + [(1, 900, None, 5)] for n in (90, 110))
+    a = spark.createDataFrame(left, "k int, l long, l0 long, l1 long")
+    b = spark.createDataFrame(right, "k int, r long, r0 long, r1 long")
+    want = sorted((x[1], y[1]) for x in left for y in right if x[0] is not None and x[0] == y[0] and None not in x[2:] + y[2:] and x[2] <= x[3] and y[2] <= y[3] and x[2] <= y[3] and y[2] <= x[3])
+    for width in (1, 10, 5000):
+        got = J.overlap_join(a, b, "k", ("l0", "l1"), ("r0", "r1"), width)
+        assert sorted((r.l, r.r) for r in got.collect()) == want and len(want) > 300
+    assert J.overlap_join(a.limit(0), b, "k", ("l0", "l1"), ("r0", "r1"), 10).count() == 0
 
 
 @pytest.mark.parametrize("width", [3, 7, None])
@@ -135,3 +164,49 @@ def test_shared_folder_must_be_named_off_a_local_master(spark, monkeypatch):
 
     with pytest.raises(ValueError):
         store.shared_root(Session())
+
+
+def brute_search(docs, queries, k, lexical=1.0, static=None):
+    toks = lambda text: T._tokens((text or "").lower())
+    counts = {d: Counter(toks(t)) for d, t in docs}
+    df = Counter(w for c in counts.values() for w in c)
+    out = []
+    for q, text in queries:
+        asked = toks(text)
+        scored = []
+        for d, c in counts.items():
+            hit = [w for w in asked if w in c]
+            part = sum((math.log((len(docs) + 1) / (df[w] + 1)) + 1) * (tf := c[w] / max(c.values())) * 2.2 / (tf + 1.2) for w in hit) / max(1, len(asked))
+            if static is None and hit:
+                scored.append((-round(part, 6), d))
+            elif static is not None and d in static:
+                scored.append((-round(lexical * part + static[d], 6), d))
+        out += [(q, d, r, -s) for r, (s, d) in enumerate(sorted(scored)[:k], 1)]
+    return sorted(out)
+
+
+def test_index_gives_the_best_of_all_documents_and_skips_blocks(spark):
+    rng = random.Random(3)
+    words = [f"w{i}" for i in range(300)]
+    draw = lambda n: " ".join(words[min(299, int(rng.paretovariate(0.6)))] for _ in range(n))
+    docs = [(i, draw(rng.choice([3, 10, 60, 300]))) for i in range(600)] + [(900, None), (901, ""), (902, "rare_word here")]
+    queries = [(i, draw(4)) for i in range(8)] + [(50, "rare_word w299"), (51, "unknown_thing"), (52, None), (53, "w1 w1 w1 w2")]
+    d, q = spark.createDataFrame(docs, "d long, t string").repartition(3), spark.createDataFrame(queries, "q int, t string")
+    index = N.build_index(d, "d", "t", 4)
+    rows = lambda found: sorted((r.q, r.doc, r["rank"], round(r.score, 6)) for r in found.best.collect())
+    close = lambda a, b: [x[:3] for x in a] == [x[:3] for x in b] and all(abs(x[3] - y[3]) < 1.1e-6 for x, y in zip(a, b))
+    found = N.search(index, q, "q", "t", 3)
+    assert close(rows(found), brute_search(docs, queries, 3))
+    one = N.search(index, q.filter("q = 50"), "q", "t", 3)
+    all_of = index.blocks.join(q.filter("q = 50").select(F.explode(N.identifier_tokens(F.col("t"))).alias("term")).distinct(), "term").agg(F.sum("n")).first()[0]
+    assert one.touched.agg(F.sum("n")).first()[0] <= all_of
+    common = N.search(index, q.filter("q = 53"), "q", "t", 3)
+    assert common.touched.agg(F.sum("n")).first()[0] < 0.7 * index.terms.filter("term in ('w1', 'w2')").agg(F.sum("df")).first()[0]
+    static = {i: rng.choice([0.0, 0.1, 0.4]) for i in [*range(0, 600, 2), 900, 902]}
+    part = spark.createDataFrame(list(static.items()), "doc long, static double")
+    assert close(rows(N.search(index, q, "q", "t", 3, 0.5, part)), brute_search(docs, queries, 3, 0.5, static))
+    path = store.scratch_path(spark, "kept-index")
+    index.save(path)
+    assert rows(N.search(N.open_index(spark, path), q, "q", "t", 3)) == rows(found)
+    empty = N.build_index(d.limit(0), "d", "t")
+    assert N.search(empty, q, "q", "t").best.count() == 0 and N.search(index, q.limit(0), "q", "t").best.count() == 0
