@@ -36,7 +36,7 @@ LEAF, FANOUT, CELLS = 256, 16, 1 << 21
 #: Bits of the filter that wanted texts pass before they are moved, at most (2 MB).
 FILTER_BITS = 1 << 24
 #: Words of a worker's cache of hashes, and the longest of them in bytes.
-CACHE_WORDS, CACHED_BYTES = 400_000, 64
+CACHE_WORDS, CACHED_BYTES = 100_000, 64
 
 
 class _Hashes(dict):
@@ -140,11 +140,18 @@ def _prints(ranks, shingle: int, similarity: int):
 
     @F.arrow_udf(kind)
     def run(text: pa.Array) -> pa.Array:
-        keys, sizes, first, counts = [], [], [], []
+        """A text that stands in the batch already gets its key and size only."""
+        keys, sizes, first, counts, known = [], [], [], [], {}
         for x in text:  # one text at a time outside of Arrow
             words = words_of(x.as_py())
+            keys.append(key := _key(words))
+            if not words or key in known:
+                sizes.append(known.get(key, 0))
+                first.append(None)
+                counts.append(None)
+                continue
             tokens = np.unique(runs(words, shingle))
-            keys.append(_key(words))
+            known[key] = len(tokens)
             sizes.append(len(tokens))
             first.append(first_tokens(tokens, ranks.value, similarity).view("<i8"))
             counts.append(packed(point(tokens)))
@@ -305,9 +312,9 @@ def _favourites(met: DataFrame) -> DataFrame:
 class _Join:
     """The turns of a join: candidates, their exact verification, and the components so far."""
 
-    def __init__(self, docs: DataFrame, nodes: DataFrame, posts: DataFrame, similarity: int, shingle: int):
-        self.docs, self.nodes, self.posts, self.similarity, self.shingle = docs, nodes, posts, similarity, shingle
-        self.tried = self.links = self.found = None
+    def __init__(self, docs: DataFrame, nodes: DataFrame, posts: DataFrame, similarity: int, shingle: int, links: DataFrame):
+        self.docs, self.nodes, self.posts, self.similarity, self.shingle, self.links = docs, nodes, posts, similarity, shingle, links
+        self.tried, self.found = None, None if links.isEmpty() else saved(components(links), "roots")
 
     def bounded(self, pairs: DataFrame) -> DataFrame:
         """The pairs that sizes and points allow."""
@@ -336,7 +343,7 @@ class _Join:
         close = 100 * both >= self.similarity * (F.size("hashes_a") + F.size("hashes_b") - both)
         links = saved(_beside(pairs, sets, ["hashes"]).filter(close).select("a", "b"), "similar")
         release(sets, wanted)
-        self.links = links if self.links is None else self.links.union(links)
+        self.links = self.links.union(links)
         self.found = saved(components(self.links), "roots")
 
     def open_cells(self) -> DataFrame | None:
@@ -392,14 +399,15 @@ def ngram_components(docs: DataFrame, similarity: int = 80, shingle: int = 5) ->
     ranks = docs.sparkSession.sparkContext.broadcast(group_ranks(docs, shingle))
     prints = docs.select("doc_id", F.monotonically_increasing_id().alias("at"), _prints(ranks, shingle, similarity)(F.col("text").cast("string")).alias("x"))
     prints = saved(prints.select("doc_id", "at", "x.*"), "prints")
-    ids = saved(prints.select("doc_id", "at", "key", "size"), "ids")
+    ids = prints.select("doc_id", "at", "key", "size")
     keys = saved(ids.filter("size > 0").groupBy("key").agg(F.min("at").alias("node"), F.min("doc_id").alias("rep"), F.count("*").alias("n")), "keys")
-    nodes = saved(prints.select(F.col("at").alias("node"), "key", "size", "first", "counts").join(keys.select("node"), "node"), "nodes")
-    release(prints)
+    # a node is the first row of a text in a batch: few copies are left, and those are linked as they are
+    nodes = prints.filter("counts is not null").select(F.col("at").alias("node"), "key", "size", "first", "counts")
+    equal = nodes.select("key", F.col("node").alias("b")).join(keys.select("key", F.col("node").alias("a")), "key").filter("a != b").select("a", "b")
     posts = nodes.select("node", F.explode("first").alias("w"))
     shared = saved(posts.groupBy("w").agg(F.count("*").alias("n"), F.min("node").alias("lead")).filter("n > 1"), "shared")
     posts = saved(salted_lookup(posts, shared, ["w"], "n", "node").select("w", "node", "lead"), "posts")
-    join = _Join(docs, nodes, posts, similarity, shingle)
+    join = _Join(docs, nodes, posts, similarity, shingle, saved(equal, "equal"))
     join.verify(join.bounded(saved(_favourites(posts.filter("lead != node").select(F.col("lead").alias("a"), F.col("node").alias("b"))), "leads")))
     cells = join.open_cells()
     if cells is not None:
