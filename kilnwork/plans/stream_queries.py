@@ -4,11 +4,15 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from ..streaming import streams as S
-from .base import QUERIES, SQL, read
+from ..sources.store import scratch_path
+from ..streaming import stateful as K, streams as S
+from . import table_queries  # noqa: F401  (their SQL)
+from .base import ENTITIES, QUERIES, SQL, entity
 
 
 def stream_query(sql: str | None = None):
+    """Register a stream; ``sql`` is the DuckDB equivalent of what it has given by its end."""
+
     def add(make):
         QUERIES[make.__name__] = make
         if sql:
@@ -60,3 +64,48 @@ def st_rollout_state(spark: SparkSession, sf_dir: str) -> DataFrame:
 def st_export(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = _events(spark, sf_dir).filter("event_type <> 'error'").select("event_id", "event_type", F.bround("value", 4).alias("value"))
     return S.upserted(rows, "export").drop("epoch")
+
+
+def _folded(spark: SparkSession, sf_dir: str, kind, columns: tuple[str, ...], name: str) -> DataFrame:
+    """The steps of all runs as a stream in two goes: the odd ones come first and wait, then the
+    query starts again and the even ones come; each key's last row."""
+    steps = entity(spark, sf_dir, ENTITIES["run_steps"])
+    steps = steps.withColumns({"old": (F.col("step_id") % 3).cast("string"), "guarded": F.col("file_path").isin("src/f1.py", "src/f2.py", "src/f3.py").cast("string")})
+    source, folder = scratch_path(spark, f"{name}-source"), scratch_path(spark, name)
+    with K.state_store(spark):
+        for odd in (1, 0):
+            steps.filter(F.col("step_id") % 2 == odd).write.mode("append").parquet(source)
+            rows = S.upserted(K.folded(spark.readStream.schema(steps.schema).parquet(source), kind, "trajectory_id", "step_id", columns), name, "update", folder)
+    return rows.groupBy("trajectory_id").agg(F.max_by(F.struct(*(c for c in rows.columns if c not in ("trajectory_id", "epoch"))), "epoch").alias("x")).select("trajectory_id", "x.*")
+
+
+@stream_query(SQL["repair_guard"])
+def st_repair_guard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The repair guard over micro-batches in any order, with a restart between."""
+    return _folded(spark, sf_dir, K.RepairGuard, ("action_name", "file_path", "old"), "repair-guard").select("trajectory_id", "rejected", "repeated")
+
+
+@stream_query(SQL["leakage_fold"])
+def st_leakage(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = _folded(spark, sf_dir, K.UnsurfacedAccess, ("action_name", "file_path", "guarded"), "leakage")
+    return found.select("trajectory_id", (F.col("leaked") == 1).alias("leaked"))
+
+
+@stream_query("""
+    WITH e AS (SELECT *, event_id % 50 = 0 AS withheld, ts >= (SELECT max(ts) FROM events) - INTERVAL 1 DAY AS newest FROM events),
+         mark AS (SELECT max(ts) - INTERVAL 2 HOUR AS at FROM e WHERE NOT withheld AND NOT newest),
+         w AS (SELECT event_type, unnest([time_bucket(INTERVAL 1 HOUR, ts), time_bucket(INTERVAL 1 HOUR, ts - INTERVAL 30 MINUTE) + INTERVAL 30 MINUTE]) AS start, withheld OR newest AS second FROM e)
+    SELECT strftime(start, '%Y-%m-%d %H:%M:%S') AS start, event_type, count(*) AS n FROM w, mark WHERE NOT second OR start + INTERVAL 1 HOUR > mark.at GROUP BY ALL""")
+def st_late(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Sliding windows over a JSON log that comes in two goes. The second one brings the last day, and
+    events of all days that were withheld: those of windows that had closed by then are dropped."""
+    events = spark.read.parquet(f"{sf_dir}/events.parquet").select("event_id", F.col("ts").cast("timestamp").alias("ts"), "event_type")
+    last = events.agg(F.max("ts")).first()[0]
+    late = (F.col("event_id") % 50 == 0) | (F.col("ts") >= F.lit(last) - F.expr("INTERVAL 1 DAY"))
+    source, folder = scratch_path(spark, "late-source"), scratch_path(spark, "late")
+    for rows in (events.filter(~late), events.filter(late)):
+        rows.write.mode("append").json(source)
+        log = S.json_stream(spark, source, "event_id long, ts timestamp, event_type string").filter("bad is null")
+        out = S.upserted(S.windowed_counts(log, "ts", "event_type", "1 hour", "2 hours", "30 minutes"), "late", "update", folder)
+    counts = out.groupBy("start", "event_type").agg(F.max_by("n", "epoch").alias("n"))
+    return counts.select(F.date_format("start", "yyyy-MM-dd HH:mm:ss").alias("start"), "event_type", "n")

@@ -11,7 +11,7 @@ from collections.abc import Iterator
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
-from pyspark.sql.types import LongType, StructField, StructType
+from pyspark.sql.types import LongType, StringType, StructField, StructType
 
 from ..sources.store import scratch_path
 
@@ -23,6 +23,33 @@ def event_stream(spark: SparkSession, path: str, time: str = "ts") -> DataFrame:
     return spark.readStream.schema(schema).parquet(f"{head}[{last}]").withColumn(time, F.col(time).cast("timestamp"))
 
 
+def json_stream(spark: SparkSession, path: str, schema: StructType | str, files_a_batch: int | None = None) -> DataFrame:
+    """The lines of a JSON log as a stream: the columns of ``schema``, and ``bad``, the line itself
+    where it is no such record. Blank lines are left out."""
+    fields = StructType.fromDDL(schema) if isinstance(schema, str) else schema
+    options = {"maxFilesPerTrigger": str(files_a_batch)} if files_a_batch else {}
+    lines = spark.readStream.options(**options).text(path).filter(F.trim("value") != "")
+    whole = StructType([*fields.fields, StructField("_bad", StringType())])
+    record = F.from_json("value", whole, {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_bad"})
+    return lines.select(record.alias("r")).select("r.*").withColumnRenamed("_bad", "bad")
+
+
+def quarantined(stream: DataFrame, name: str, folder: str | None = None) -> tuple[DataFrame, DataFrame]:
+    """Run a ``json_stream`` to the end of its input: its records, and the bad lines kept apart. Each
+    micro-batch has a folder of its own in both, and overwrites it if it runs again."""
+    spark = stream.sparkSession
+    folder = folder or scratch_path(spark, name)
+    kept = stream.drop("bad").schema
+
+    def write(batch: DataFrame, epoch: int) -> None:
+        batch.filter("bad is null").drop("bad").write.mode("overwrite").parquet(f"{folder}/records/batch-{epoch}")
+        batch.filter("bad is not null").select("bad").write.mode("overwrite").parquet(f"{folder}/bad/batch-{epoch}")
+
+    stream.writeStream.foreachBatch(write).option("checkpointLocation", f"{folder}/state").trigger(availableNow=True).start().awaitTermination()
+    read = spark.read.option("recursiveFileLookup", "true")
+    return read.schema(kept).parquet(f"{folder}/records"), read.schema("bad string").parquet(f"{folder}/bad")
+
+
 def finished(stream: DataFrame, name: str, mode: str = "append", folder: str | None = None) -> DataFrame:
     """Run the stream to the end of its input; the rows it emitted. With a ``folder`` of its own a
     stream goes on from where its last run there ended; else it is a fresh one."""
@@ -46,7 +73,14 @@ def upserted(stream: DataFrame, name: str, mode: str = "append", folder: str | N
 
     q = stream.writeStream.outputMode(mode).foreachBatch(write).option("checkpointLocation", f"{folder}/state").trigger(availableNow=True).start()
     q.awaitTermination()
-    return spark.read.option("recursiveFileLookup", "true").schema(StructType([*stream.schema.fields, StructField("epoch", LongType())])).parquet(f"{folder}/out")
+    out = spark.read.option("recursiveFileLookup", "true").schema(StructType([*stream.schema.fields, StructField("epoch", LongType())])).parquet(f"{folder}/out")
+    out._kilnwork_dropped = sum(op.numRowsDroppedByWatermark for p in q.recentProgress for op in p.stateOperators)
+    return out
+
+
+def dropped_late(run: DataFrame) -> int:
+    """How many rows of aggregates the run that gave this table dropped as too late."""
+    return getattr(run, "_kilnwork_dropped", 0)
 
 
 def windowed_counts(events: DataFrame, time: str, key: str, size: str, late: str, slide: str | None = None) -> DataFrame:

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from kilnwork.operators import index as N, joins as J, retrieval as T, sequence as S, substring, validate as G
 from kilnwork.sources import files, store
-from kilnwork.streaming import streams
+from kilnwork.streaming import stateful, streams
 
 
 def test_contained_needles(spark, monkeypatch):
@@ -210,3 +210,48 @@ def test_index_gives_the_best_of_all_documents_and_skips_blocks(spark):
     assert rows(N.search(N.open_index(spark, path), q, "q", "t", 3)) == rows(found)
     empty = N.build_index(d.limit(0), "d", "t")
     assert N.search(empty, q, "q", "t").best.count() == 0 and N.search(index, q.limit(0), "q", "t").best.count() == 0
+
+
+def test_stateful_folds_equal_their_batch_twins(spark):
+    rng = random.Random(6)
+    actions, paths = ["read_file", "edit_file", "run_test", "git_diff", "search_repo"], ["a", "b", None]
+    rows = [(k, o, rng.choice(actions), rng.choice(paths), rng.choice(["x", "y", None])) for k in range(25) for o in range(rng.randint(1, 30))]
+    schema = "k long, o int, action string, path string, old string"
+    frame = spark.createDataFrame(rows, schema).withColumn("guarded", F.col("path").eqNullSafe("a").cast("string"))
+    shuffled = rng.sample(rows, len(rows))
+    source = store.scratch_path(spark, "steps")
+    wanted = {
+        stateful.RepairGuard: (("action", "path", "old"), {r.k: (r.rejected, r.repeated) for r in S.repair_guard(frame.fillna("", ["path", "old"]), "k", "o", "action", "path", "old").collect()}, lambda r: (r.rejected, r.repeated)),
+        stateful.UnsurfacedAccess: (("action", "path", "guarded"), {r.k: r.leaked for r in S.unsurfaced_access(frame, "k", "o", "action", "path", F.col("path") == "a").collect()}, lambda r: r.leaked == 1),
+    }
+    folders = {kind: store.scratch_path(spark, "fold") for kind in wanted}
+    for turn in range(3):  # each turn is a stream that starts again; the last one repeats rows
+        part = shuffled[turn * len(rows) // 2 :][: len(rows) // 2 + 1] if turn < 2 else shuffled[:40]
+        spark.createDataFrame(part, schema).withColumn("guarded", F.col("path").eqNullSafe("a").cast("string")).coalesce(1).write.mode("append").parquet(source)
+        for kind, (columns, want, read) in wanted.items():
+            with stateful.state_store(spark):
+                out = streams.upserted(stateful.folded(spark.readStream.schema(frame.schema).parquet(source), kind, "k", "o", columns), "fold", "update", folders[kind])
+            last = {}
+            for r in sorted(out.collect(), key=lambda r: r.epoch):
+                last[r.k] = r
+            if turn == 0:
+                assert any(r.waiting for r in last.values())
+            else:
+                assert {k: read(r) for k, r in last.items()} == want
+                assert not any(r.waiting for r in last.values()) and sum(r.steps for r in last.values()) == len(rows)
+
+
+def test_bad_lines_are_kept_apart_and_late_rows_counted(spark):
+    source = store.scratch_path(spark, "log")
+    spark.createDataFrame([('{"id": 1, "ts": "2024-01-01 00:10:00"}',), ("not json",), ("",), ('{"id": "x"',), ('{"id": 2, "ts": "2024-01-03 00:00:00"}',)], "value string").coalesce(1).write.text(source)
+    schema = "id long, ts timestamp"
+    good, bad = streams.quarantined(streams.json_stream(spark, source, schema), "quarantine")
+    assert sorted(r.id for r in good.collect()) == [1, 2] and sorted(r.bad for r in bad.collect()) == ["not json", '{"id": "x"']
+    folder, kept = store.scratch_path(spark, "late"), lambda: streams.json_stream(spark, source, schema).filter("bad is null").withColumn("kind", F.lit("a"))
+    first = streams.upserted(streams.windowed_counts(kept(), "ts", "kind", "1 hour", "1 hour"), "late", "update", folder)
+    assert streams.dropped_late(first) == 0
+    spark.createDataFrame([('{"id": 3, "ts": "2024-01-01 00:20:00"}',), ('{"id": 4, "ts": "2024-01-03 00:30:00"}',)], "value string").coalesce(1).write.mode("append").text(source)
+    out = streams.upserted(streams.windowed_counts(kept(), "ts", "kind", "1 hour", "1 hour"), "late", "update", folder)
+    assert streams.dropped_late(out) == 1
+    last = {r.start.isoformat(): r.n for r in sorted(out.collect(), key=lambda r: r.epoch)}
+    assert last == {"2024-01-01T00:00:00": 1, "2024-01-03T00:00:00": 2}
