@@ -4,10 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..functions import code as C, payload as P, text as X
+from ..functions import code as C, payload as P, tables, text as X
 from ..operators import index as N, retrieval as T, substring as B
 from ..sources.store import saved
-from .base import query
+from .base import SQL, query
 from .table_queries import _NO, _OK, _rejected, _success
 
 
@@ -373,6 +373,21 @@ def ast_imports(t):
     return C.parsed(_sources(t), "doc_id", "code", C.imports)
 
 
+@query(SQL["ast_chunks"])
+def lateral_chunks(t):
+    """The same chunks by a table function that SQL calls for each row."""
+    sources = _sources(t)
+    tables.register(sources.sparkSession)
+    return sources.sparkSession.sql("SELECT s.doc_id, c.kind, c.first, c.last, c.name FROM {sources} s, LATERAL source_parts(s.code, 'chunks') c", sources=sources)
+
+
+@query(SQL["ast_symbols"])
+def lateral_symbols(t):
+    sources = _sources(t)
+    tables.register(sources.sparkSession)
+    return sources.sparkSession.sql("SELECT s.doc_id, c.name, c.kind FROM {sources} s, LATERAL source_parts(s.code, 'symbols') c", sources=sources)
+
+
 _CHUNK_LEX = _LEX.replace(_DOC, _TOKENS.format(id="doc_id", text="content", table="chunked")).replace("count(*) FROM documents", "count(*) FROM chunked")
 
 

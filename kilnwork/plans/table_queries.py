@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Window, functions as F
 
 from ..functions import reward as R, text as X
-from ..operators import aggregates as A, checks as V, joins as J, sequence as S, substring as B
+from ..operators import aggregates as A, checks as V, joins as J, sequence as S, sketches as K, substring as B
 from .base import query
 from .text_queries import _FAILURE, _REASON, _RISK, _RUN, reason, rewards
 
@@ -421,3 +421,35 @@ def rel_except(t):
 def rel_window_frame(t):
     w = Window.partitionBy("user_id").orderBy("event_id").rowsBetween(-3, 0)
     return t("events").select("event_id", F.bround(F.sum("value").over(w), 4).alias("recent"))
+
+
+@query("""
+    SELECT 'l_extendedprice' AS name, unnest([0.0, 0.01, 0.5, 0.9, 0.999, 1.0]) AS share, unnest([min(l_extendedprice), quantile_disc(l_extendedprice, 0.01), quantile_disc(l_extendedprice, 0.5), quantile_disc(l_extendedprice, 0.9), quantile_disc(l_extendedprice, 0.999), max(l_extendedprice)]) AS value FROM lineitem
+    UNION ALL SELECT 'value', unnest([0.0, 0.01, 0.5, 0.9, 0.999, 1.0]), unnest([min(value), quantile_disc(value, 0.01), quantile_disc(value, 0.5), quantile_disc(value, 0.9), quantile_disc(value, 0.999), max(value)]) FROM events""")
+def exact_quantiles(t):
+    """Percentiles of two columns by selection over range counts, without a sort of all rows."""
+    shares, out = (0.0, 0.01, 0.5, 0.9, 0.999, 1.0), []
+    for table, column in (("lineitem", "l_extendedprice"), ("events", "value")):
+        out.append(K.exact_quantiles(t(table), column, shares).select(F.lit(column).alias("name"), "share", "value"))
+    return out[0].union(out[1])
+
+
+@query("""
+    SELECT event_type, true AS distinct_close, true AS median_close FROM (SELECT DISTINCT event_type FROM events) UNION ALL SELECT 'all', true, true""")
+def sketch_bounds(t):
+    """States kept for each event type and hour, merged by type and once more over all: whether the
+    distinct users and the median that they tell lie within the stated error of the exact ones."""
+    e = t("events").withColumn("hour", F.date_trunc("hour", F.col("ts").cast("timestamp")))
+    users = K.merged(K.distinct_states(e, ["event_type", "hour"], F.col("user_id")), ["event_type"])
+    values = K.merged_quantiles(K.quantile_states(e, ["event_type", "hour"], F.col("value")), ["event_type"])
+    both = users.withColumnRenamed("state", "u").join(values.withColumnRenamed("state", "v"), "event_type")
+    every = K.merged(users, []).withColumnRenamed("state", "u").join(F.broadcast(K.merged_quantiles(values, []).withColumnRenamed("state", "v")))  # one row each
+    told = both.unionByName(every.withColumn("event_type", F.lit("all"))).select("event_type", K.distinct_count(F.col("u")).alias("users"), F.kll_sketch_get_quantile_double("v", F.lit(0.5)).alias("median"))
+    named = e.select("event_type", "user_id", "value").union(e.select(F.lit("all"), "user_id", "value"))
+    exact = named.groupBy("event_type").agg(F.count_distinct("user_id").alias("n"), F.count("value").alias("rows"))
+    below = named.join(told.select("event_type", "median"), "event_type").groupBy("event_type").agg(F.count_if(F.col("value") < F.col("median")).alias("below"), F.count_if(F.col("value") <= F.col("median")).alias("upto"))
+    close = told.join(exact, "event_type").join(below, "event_type")
+    return close.select(
+        "event_type", (F.abs(F.col("users") - F.col("n")) <= 3 / 64 * F.col("n") + 0.5).alias("distinct_close"),
+        ((F.col("below") <= 0.51 * F.col("rows") + 1) & (F.col("upto") >= 0.49 * F.col("rows") - 1)).alias("median_close"),
+    )
