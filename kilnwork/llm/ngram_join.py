@@ -312,9 +312,9 @@ def _favourites(met: DataFrame) -> DataFrame:
 class _Join:
     """The turns of a join: candidates, their exact verification, and the components so far."""
 
-    def __init__(self, docs: DataFrame, nodes: DataFrame, posts: DataFrame, similarity: int, shingle: int, links: DataFrame):
-        self.docs, self.nodes, self.posts, self.similarity, self.shingle, self.links = docs, nodes, posts, similarity, shingle, links
-        self.tried, self.found = None, None if links.isEmpty() else saved(components(links), "roots")
+    def __init__(self, docs: DataFrame, nodes: DataFrame, posts: DataFrame, similarity: int, shingle: int):
+        self.docs, self.nodes, self.posts, self.similarity, self.shingle = docs, nodes, posts, similarity, shingle
+        self.tried = self.links = self.found = None
 
     def bounded(self, pairs: DataFrame) -> DataFrame:
         """The pairs that sizes and points allow."""
@@ -343,7 +343,7 @@ class _Join:
         close = 100 * both >= self.similarity * (F.size("hashes_a") + F.size("hashes_b") - both)
         links = saved(_beside(pairs, sets, ["hashes"]).filter(close).select("a", "b"), "similar")
         release(sets, wanted)
-        self.links = self.links.union(links)
+        self.links = links if self.links is None else self.links.union(links)
         self.found = saved(components(self.links), "roots")
 
     def open_cells(self) -> DataFrame | None:
@@ -401,13 +401,15 @@ def ngram_components(docs: DataFrame, similarity: int = 80, shingle: int = 5) ->
     prints = saved(prints.select("doc_id", "at", "x.*"), "prints")
     ids = prints.select("doc_id", "at", "key", "size")
     keys = saved(ids.filter("size > 0").groupBy("key").agg(F.min("at").alias("node"), F.min("doc_id").alias("rep"), F.count("*").alias("n")), "keys")
-    # a node is the first row of a text in a batch: few copies are left, and those are linked as they are
-    nodes = prints.filter("counts is not null").select(F.col("at").alias("node"), "key", "size", "first", "counts")
-    equal = nodes.select("key", F.col("node").alias("b")).join(keys.select("key", F.col("node").alias("a")), "key").filter("a != b").select("a", "b")
-    posts = nodes.select("node", F.explode("first").alias("w"))
+    # only the first row of a text in a batch has tokens; of these one of each text is its node
+    held = prints.filter("counts is not null")
+    again = saved(held.select("key", "at").join(keys.select("key", "node"), "key").filter("at != node").select("at"), "again")
+    held = held.join(again, "at", "left_anti").withColumnRenamed("at", "node")
+    nodes = saved(held.select("node", "key", "size", "counts"), "nodes")
+    posts = held.select("node", F.explode("first").alias("w"))
     shared = saved(posts.groupBy("w").agg(F.count("*").alias("n"), F.min("node").alias("lead")).filter("n > 1"), "shared")
     posts = saved(salted_lookup(posts, shared, ["w"], "n", "node").select("w", "node", "lead"), "posts")
-    join = _Join(docs, nodes, posts, similarity, shingle, saved(equal, "equal"))
+    join = _Join(docs, nodes, posts, similarity, shingle)
     join.verify(join.bounded(saved(_favourites(posts.filter("lead != node").select(F.col("lead").alias("a"), F.col("node").alias("b"))), "leads")))
     cells = join.open_cells()
     if cells is not None:
