@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from kilnwork.llm import langid
 from kilnwork.llm.licenses import TEMPLATES, license_scan
-from kilnwork.llm.urlfilter import MarkovModel, ORDER, RULES, calibrate, ratio, sample, url_filter
+from kilnwork.llm.urlfilter import MarkovModel, ORDER, RULES, calibrate, fit, least_error, ratio, sample, url_filter
 
 EN, DE, FR = "the and thing of with that here".split(), "der und dass über schön nicht".split(), "le été où ça être avec".split()
 
@@ -194,6 +194,26 @@ def test_a_hot_url_stays_within_the_bound(spark):
     assert dict(sample(spark.createDataFrame(rows, "url string, verdict string"), 400)["block"])["http://hot.net/fr/"] == 3000
 
 
+def test_every_judged_url_counts(spark):
+    """More distinct urls of a kind than a sample of 20,000 would take."""
+    rows = spark.range(30_000).selectExpr("concat('http://a.com/', id) AS url", "'allow' AS verdict").union(spark.createDataFrame([("http://b.net/fr/", "block")] * 7, "url string, verdict string"))
+    (allowed, blocked), _ = fit(rows)
+    urls = [r.url for r in rows.filter("verdict = 'allow'").withColumn("h", F.xxhash64("url")).orderBy(F.pmod("h", F.lit(1 << 30)), "h", "url").collect()]
+    assert allowed.counts[0].sum() == sum(len(u) + 1 for i, u in enumerate(urls) if i % 5)
+    assert blocked.counts[0].sum() == 0
+
+
+def test_least_error_is_that_of_calibrate(spark):
+    rng = random.Random(3)
+    for n, step in ((300, 40), (300, 3), (40, 1), (2, 1)):
+        rows = [(k, rng.randint(1, 5), rng.randint(-step, step) / 8 + (k == "allow") * rng.randint(0, 1)) for k in ("allow", "block") for _ in range(n)]
+        values = [[r for r in rows if r[0] == k] for k in ("allow", "block")]
+        want = calibrate(*(np.array([x for _, _, x in v]) for v in values), *([m for _, m, _ in v] for v in values))
+        assert least_error(spark.createDataFrame(rows, "verdict string, n long, llr double").repartition(3)) == want
+    assert least_error(spark.createDataFrame(rows[:2], "verdict string, n long, llr double")) == -np.inf
+    assert least_error(spark.createDataFrame([("block", 1, 2.0), ("allow", 1, 1.0)], "verdict string, n long, llr double")) == calibrate(np.array([1.0]), np.array([2.0]))
+
+
 def brute_licenses(text, templates, least, slack=0):
     """Templates of which a stretch of their own length, and ``slack`` strides more, holds the least share."""
     words = lambda t: re.findall(r"[^\W_]+", (t or "").lower())
