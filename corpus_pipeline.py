@@ -82,7 +82,8 @@ def dedup_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def dedup_documents(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near-duplicates stays, the one of the smallest doc_id (one
     without doc_id only where no other is in the group), and one row of repeated rows. Near:
-    Jaccard similarity of five-word shingles of 0.8 or more."""
+    Jaccard similarity of five-word shingles of 0.8 or more; op8's SimHash postings give candidates,
+    and bands those that are over 4 bits apart."""
     return near_text.drop_near_texts(docs)
 
 

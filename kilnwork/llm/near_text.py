@@ -1,6 +1,8 @@
-"""Near-duplicate texts: MinHash bands give candidates, exact Jaccard of word shingles decides.
+"""Near-duplicate texts: SimHash fingerprints and MinHash bands give candidates, exact Jaccard of word
+shingles decides.
 
-Two texts of similarity s share one of the 32 bands of 5 MinHash rows with probability
+Fingerprints are met by their positional bytes as in ``simhash`` (at most 4 of 64 bits apart). Few
+pairs of a similarity of 0.8 are that close, so bands give the rest. Two texts of similarity s share one of the 32 bands of 5 MinHash rows with probability
 1 - (1 - s^5)^32: 0.999997 at 0.8, and more above. Equal texts are one node. Each node is tried
 against the lead that shares most of its bands, then against the leads of all its bands. Nodes of a
 band that are then still in several components are joined by their rarest shingles (prefix
@@ -16,6 +18,7 @@ import xxhash
 from pyspark.sql import DataFrame, functions as F
 from pyspark.sql.types import ArrayType, BinaryType, LongType, StructField, StructType
 
+from . import simhash
 from .graph import components
 from .skew import salted_lookup
 from ..sources.store import release, saved
@@ -53,15 +56,16 @@ def band_hashes(h: np.ndarray) -> np.ndarray:
 
 
 def _prints(shingle: int):
-    """Key of the words (equal for equal words) and band hashes of a text."""
-    @F.arrow_udf(StructType([StructField("key", BinaryType()), StructField("bands", ArrayType(LongType()))]))
+    """Key of the words (equal for equal words), band hashes and SimHash fingerprint of a text."""
+    @F.arrow_udf(StructType([StructField("key", BinaryType()), StructField("bands", ArrayType(LongType())), StructField("fp", LongType())]))
     def run(text: pa.Array) -> pa.Array:
-        keys, bands = [], []
+        keys, bands, prints = [], [], []
         for x in text:  # one text at a time outside of Arrow
             own = x.as_py()
             keys.append(xxhash.xxh128_digest(_joined(own)))
             bands.append(band_hashes(shingle_set(own, shingle)))
-        return pa.StructArray.from_arrays([pa.array(keys, pa.binary()), pa.array(bands, pa.list_(pa.int64()))], ["key", "bands"])
+            prints.append(simhash.fingerprint(own, shingle))
+        return pa.StructArray.from_arrays([pa.array(keys, pa.binary()), pa.array(bands, pa.list_(pa.int64())), pa.array(np.array(prints, dtype="<u8").view("<i8"))], ["key", "bands", "fp"])
 
     return run
 
@@ -118,12 +122,25 @@ def rare_pairs(sets: DataFrame, similarity: float) -> DataFrame:
     return met.select(F.least("key_a", "key_b").alias("a"), F.greatest("key_a", "key_b").alias("b")).distinct()
 
 
-def near_components(posts: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
+def fingerprint_pairs(nodes: DataFrame, bits: int = 4) -> DataFrame:
+    """Pairs a, b of nodes (key, fp) that join the nodes whose fingerprints are within ``bits``: each
+    node of a fingerprint with the first one, and first ones along the links of ``simhash``."""
+    firsts = saved(nodes.groupBy("fp").agg(F.min("key").alias("a"), F.count("*").alias("n")), "prints")
+    own = salted_lookup(nodes, firsts.filter("n > 1"), ["fp"], "n", "key").filter("a != key").select("a", F.col("key").alias("b"))
+    links = simhash.near_links(firsts.select("fp"), bits)
+    ends = [firsts.select(F.col("fp").alias(side), F.col("a").alias(f"key_{side}")) for side in "ab"]
+    met = links.join(ends[0], "a").join(ends[1], "b").select("key_a", "key_b")
+    return saved(own.union(met).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "print-pairs")
+
+
+def near_components(posts: DataFrame, sets: DataFrame, similarity: float, more: DataFrame | None = None) -> DataFrame:
     """node, root of every node that has a link. ``posts``: h, key of the bands that several nodes
-    share; ``sets``: key, hashes of these nodes. Joins what all candidate pairs would join."""
+    share; ``more``: further candidates a, b; ``sets``: key, hashes of the nodes of both. Joins what
+    all candidate pairs of the bands would join, and what ``more`` does."""
     leads = posts.groupBy("h").agg(F.min("key").alias("a"), F.count("*").alias("n"))
     stars = salted_lookup(posts, leads, ["h"], "n", "key").filter("a != key").groupBy("a", F.col("key").alias("b")).agg(F.count("*").alias("n"))
-    pairs = saved(stars.groupBy("b").agg(F.max(F.struct("n", "a")).alias("x")).select("x.a", "b"), "pairs")
+    pairs = stars.groupBy("b").agg(F.max(F.struct("n", "a")).alias("x")).select("x.a", "b")
+    pairs = saved(pairs if more is None else pairs.union(more.select("a", "b")).distinct(), "pairs")
     tried, links, turns = pairs, saved(_similar(pairs, sets, similarity), "similar"), ["leads", "pairs"]
     found = saved(components(links), "roots")
     while turns:
@@ -156,24 +173,25 @@ def drop_near_texts(docs: DataFrame, similarity: float = 0.8, shingle: int = 5)
     of repeated rows one stays. Texts of any length are read whole. An empty table stays empty.
 
     Text is moved once, when rows meet the list of first rows of their text; after that only rows
-    that share a band with another text are moved.
+    that share a band, or nearly a fingerprint, with another text are moved.
     """
     row = F.struct(*(F.col(f"`{c}`") for c in docs.columns))
     rows = docs.select(row.alias("row"), F.monotonically_increasing_id().alias("at"), _prints(shingle)(F.col("text").cast("string")).alias("print"))
     rows = saved(rows, "rows")
     order = F.struct(F.col("row.doc_id").isNull().alias("unnamed"), F.col("row.doc_id").alias("doc_id"), "at")
-    nodes = rows.groupBy("print.key").agg(F.min(order).alias("first"), F.first("print.bands").alias("bands"))
-    nodes = saved(nodes.select(F.col("first.at").alias("at"), "first", "bands"), "nodes")  # a node is named by its first row
+    nodes = rows.groupBy("print.key").agg(F.min(order).alias("first"), F.first("print.bands").alias("bands"), F.first("print.fp").alias("fp"))
+    nodes = saved(nodes.select(F.col("first.at").alias("at"), "first", "bands", "fp"), "nodes")  # a node is named by its first row
     posts = nodes.select(F.explode("bands").alias("h"), F.col("at").alias("key"))
     shared = saved(posts.groupBy("h").agg(F.count("*").alias("n")).filter("n > 1"), "shared")
     posts = saved(salted_lookup(posts, shared, ["h"], "n", "key").select("h", "key"), "posts")
-    met = posts.select(F.col("key").alias("at")).distinct().withColumn("met", F.lit(True))
+    alike = fingerprint_pairs(nodes.select(F.col("at").alias("key"), "fp"))
+    met = posts.select("key").union(alike.select("a")).union(alike.select("b")).toDF("at").distinct().withColumn("met", F.lit(True))
     firsts = rows.select("row", "at").join(nodes.select("at").join(met, "at", "left"), "at")
     firsts = saved(firsts.select("at", F.coalesce("met", F.lit(False)).alias("met"), "row"), "firsts")
     release(rows)
     near = firsts.filter("met")
     sets = saved(near.select(F.col("at").alias("key"), _sets(shingle)(F.col("row.text").cast("string")).alias("hashes")), "sets")
-    found = near_components(posts, sets, similarity)
+    found = near_components(posts, sets, similarity, alike)
     members = found.join(nodes.select(F.col("at").alias("node"), "first"), "node")
     roots = members.groupBy("root").agg(F.min("first").alias("best"), F.count("*").alias("size"))
     lost = salted_lookup(members, roots, ["root"], "size", "node").filter("node != best.at").select(F.col("node").alias("at"))

@@ -3,6 +3,7 @@ import random
 import pytest
 
 import corpus_pipeline
+from kilnwork.llm import near_text
 from kilnwork.llm.near_text import drop_near_texts, rare_pairs
 
 from .test_simhash import brute_components, brute_fingerprint
@@ -79,3 +80,30 @@ def test_rare_pairs_lose_none_and_square_no_common_passage(spark):
                 want.add((a, b))
     assert len(want) > 300 and want <= got
     assert len({(a, b) for a, b in got if a < 120 and b < 120}) < 20
+
+
+def test_fingerprints_give_the_candidates_of_all_pairs_within_four_bits(spark):
+    rng = random.Random(9)
+    prints = [rng.getrandbits(63) for _ in range(60)]
+    prints += [p ^ sum(1 << b for b in rng.sample(range(63), rng.randint(0, 6))) for p in prints for _ in range(3)]
+    nodes = list(enumerate(prints))
+    got = near_text.fingerprint_pairs(spark.createDataFrame(nodes, "key long, fp long").repartition(3)).collect()
+
+    def joined(pairs):
+        root = {k: k for k, _ in nodes}
+        for _ in nodes:
+            for a, b in pairs:
+                root[a] = root[b] = min(root[a], root[b])
+        return root
+
+    want = [(a, b) for a, x in nodes for b, y in nodes if a < b and (x ^ y).bit_count() <= 4]
+    assert joined([(r.a, r.b) for r in got]) == joined(want) and len(got) < len(nodes)
+
+
+def test_a_link_that_no_band_gives_counts(spark):
+    text = " ".join(f"w{i}" for i in range(40))
+    sets = spark.createDataFrame([(i, near_text.shingle_set(t).view("<i8").tolist()) for i, t in enumerate((text, text + " x", "other words that are not alike at all"))], "key long, hashes array<long>")
+    none = spark.createDataFrame([], "h long, key long")
+    more = spark.createDataFrame([(0, 1), (0, 2)], "a long, b long")
+    assert {(r.node, r.root) for r in near_text.near_components(none, sets, 0.8, more).collect()} == {(0, 0), (1, 0)}
+    assert near_text.near_components(none, sets, 0.8).count() == 0
