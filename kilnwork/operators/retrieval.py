@@ -21,6 +21,8 @@ HYBRID_WEIGHTS = {"lexical": 0.50, "structural": 0.15, "path": 0.15, "imports":
 K1 = 1.2
 #: Queries that are scored together, and records at a time.
 QUERY_BLOCK, RECORD_BLOCK = 256, 1000
+#: Rows that a task gives at a time, about.
+OUT_ROWS = 20_000
 _IDENTIFIER = re.compile("[a-zA-Z_][a-zA-Z0-9_]*")
 
 
@@ -35,24 +37,36 @@ def _tokens(low: str) -> list[str]:
     return out
 
 
-def term_frequencies(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
-    """doc_id, term, tf (a term's count over the count of the document's most frequent term) and
-    most (that count). A document is counted as a whole where it is, so nothing is shuffled."""
-
+def _term_rows(doc_id: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
+            kind = batch.schema.field(0).type
             ids, found, tf, peak = [], [], [], []
-            for key, low in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                counts = Counter(_tokens(low or ""))
+
+            def made() -> pa.RecordBatch:
+                return pa.RecordBatch.from_arrays([pa.array(ids, kind), pa.array(found, pa.string()), pa.array(tf, pa.float64()), pa.array(peak, pa.int64())], [doc_id, "term", "tf", "most"])
+
+            for key, low in zip(*batch.columns, strict=True):  # one text at a time outside of Arrow
+                counts = Counter(_tokens(low.as_py() or ""))
                 most = max(counts.values(), default=1)
-                ids += [key] * len(counts)
+                ids += [key.as_py()] * len(counts)
                 found += counts
                 tf += [n / most for n in counts.values()]
                 peak += [most] * len(counts)
-            yield pa.RecordBatch.from_arrays([pa.array(ids, batch.schema.field(0).type), pa.array(found, pa.string()), pa.array(tf, pa.float64()), pa.array(peak, pa.int64())], [doc_id, "term", "tf", "most"])
+                if len(ids) >= OUT_ROWS:
+                    yield made()
+                    ids, found, tf, peak = [], [], [], []
+            yield made()
+
+    return run
+
+
+def term_frequencies(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
+    """doc_id, term, tf (a term's count over the count of the document's most frequent term) and
+    most (that count). A document is counted as a whole where it is, so nothing is shuffled."""
 
     kind = docs.schema[doc_id].dataType.simpleString()
-    return docs.select(doc_id, F.lower(text)).mapInArrow(run, f"{doc_id} {kind}, term string, tf double, most long")
+    return docs.select(doc_id, F.lower(text)).mapInArrow(_term_rows(doc_id), f"{doc_id} {kind}, term string, tf double, most long")
 
 
 def inverse_frequencies(tf: DataFrame, n_docs: DataFrame) -> DataFrame:

@@ -2,6 +2,7 @@ import math
 import random
 from collections import Counter, defaultdict
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -227,6 +228,14 @@ def test_static_parts_are_kept_with_the_index(spark):
     assert sorted((r.q, r.doc, r["rank"], round(r.score, 6)) for r in found.collect()) == [(*x[:3], pytest.approx(x[3], abs=1.1e-6)) for x in want]
 
 
+def test_tasks_give_rows_in_bounded_batches(monkeypatch):
+    monkeypatch.setattr(T, "OUT_ROWS", 50)
+    texts = pa.array([" ".join(f"w{j}" for j in range(10))] * 400)
+    out = list(T._term_rows("d")(iter([pa.RecordBatch.from_arrays([pa.array(range(400)), texts], ["d", "t"])])))
+    assert sum(b.num_rows for b in out) == 4000 and max(b.num_rows for b in out) <= 60
+    assert out[0].schema.names == ["d", "term", "tf", "most"]
+
+
 def test_stateful_folds_equal_their_batch_twins(spark):
     rng = random.Random(6)
     actions, paths = ["read_file", "edit_file", "run_test", "git_diff", "search_repo"], ["a", "b", None]
