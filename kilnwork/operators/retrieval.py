@@ -148,35 +148,55 @@ def _best(scores: np.ndarray, ids: list, k: int) -> tuple[np.ndarray, list]:
     return scores[out], [ids[i] for i in out]
 
 
-def _top_records(block: _QueryBlock, record_id: str, fields: list[str], exclude: list[str], k: int):
+def _top_records(block: _QueryBlock, record_id: str, fields: list[str], modes: dict[str, Sequence[str]], k: int):
+    exclude = sorted({c for m in modes.values() for c in m})
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         share, kind = block.matcher(), None
         codes = {c: {v: i for i, v in enumerate(dict.fromkeys(block.values[f"_x_{c}"]))} for c in exclude}
         own = {c: np.array([codes[c][v] for v in block.values[f"_x_{c}"]]) for c in exclude}
-        best = [(np.zeros(0), []) for _ in block.ids]
+        best = {mode: [(np.zeros(0), []) for _ in block.ids] for mode in modes}
         for batch in batches:
             kind = batch.schema.field(0).type
             for at in range(0, batch.num_rows, RECORD_BLOCK):
                 part = batch.slice(at, RECORD_BLOCK)
-                rows = {n: c.to_pylist() for n, c in zip(part.schema.names, part.columns)}
-                ids = rows[record_id]
-                scores = np.zeros((len(ids), len(block.ids)))
+                rows = {n: c for n, c in zip(part.schema.names, part.columns)}
+                ids = rows[record_id].to_pylist()
+                every = np.zeros((len(ids), len(block.ids)))
                 for name in fields:
-                    scores = scores + FIELD_WEIGHTS[name] * np.array([share(x) for x in rows[f"_f_{name}"]])
-                for c in exclude:
-                    scores[np.array([codes[c].get(v, -1) for v in rows[c]])[:, None] == own[c]] = -1.0
-                for q, (kept, names) in enumerate(best):
-                    least = kept[k - 1] - 2e-6 if len(kept) >= k else 0.0
-                    new = np.flatnonzero(scores[:, q] >= least)
-                    if len(new):
-                        best[q] = _best(np.concatenate([kept, scores[new, q]]), names + [ids[i] for i in new], k)
-        for q, (kept, names) in enumerate(best):
-            if names:
-                yield pa.RecordBatch.from_arrays([pa.array([block.ids[q].as_py()] * len(names), block.ids.type), pa.array(names, kind), pa.array(kept)], ["query_id", record_id, "score"])
+                    for i, x in enumerate(rows[f"_f_{name}"]):  # one text at a time outside of Arrow
+                        every[i] += FIELD_WEIGHTS[name] * share(x.as_py())
+                same = {c: np.array([codes[c].get(v, -1) for v in rows[c].to_pylist()])[:, None] == own[c] for c in exclude}
+                for mode, without in modes.items():
+                    scores = every.copy() if without else every
+                    for c in without:
+                        scores[same[c]] = -1.0
+                    least = np.array([kept[k - 1] - 2e-6 if len(kept) >= k else 0.0 for kept, _ in best[mode]])
+                    for q in np.flatnonzero((scores >= least).any(axis=0)):
+                        kept, names = best[mode][q]
+                        new = np.flatnonzero(scores[:, q] >= least[q])
+                        best[mode][q] = _best(np.concatenate([kept, scores[new, q]]), names + [ids[i] for i in new], k)
+        for mode in modes:
+            for q, (kept, names) in enumerate(best[mode]):
+                if names:
+                    yield pa.RecordBatch.from_arrays([pa.array([mode] * len(names)), pa.array([block.ids[q].as_py()] * len(names), block.ids.type), pa.array(names, kind), pa.array(kept)], ["mode", "query_id", record_id, "score"])
 
     return run
 
 
+def retrieve_modes(queries: DataFrame, query_id: str, text: str, records: DataFrame, record_id: str, fields: dict[str, Column], k: int, modes: dict[str, Sequence[str]]) -> DataFrame:
+    """mode, query_id, record, score, rank: ``retrieve`` for several lists of columns to exclude by,
+    named, over one pass of the records."""
+    exclude = sorted({c for m in modes.values() for c in m})
+    asked = queries.select(F.col(query_id).alias("query_id"), query_terms(F.col(text)).alias("_terms"), *(F.col(c).alias(f"_x_{c}") for c in exclude))
+    low = records.select(record_id, *exclude, *(F.lower(c).alias(f"_f_{n}") for n, c in fields.items()))
+    kinds = f"mode string, query_id {queries.schema[query_id].dataType.simpleString()}, {record_id} {records.schema[record_id].dataType.simpleString()}, score double"
+    found = [low.mapInArrow(_top_records(block, record_id, list(fields), modes, k), kinds) for block in _query_blocks(asked)]
+    every = reduce(DataFrame.union, found, records.sparkSession.createDataFrame([], kinds)).withColumn("score", F.bround("score", 6))
+    rank = F.row_number().over(Window.partitionBy("mode", "query_id").orderBy(F.desc("score"), record_id))
+    return every.withColumn("rank", rank).filter(F.col("rank") <= k)
+
+
 def retrieve(queries: DataFrame, query_id: str, text: str, records: DataFrame, record_id: str, fields: dict[str, Column], k: int = 5, exclude: Sequence[str] = ()) -> DataFrame:
     """Per query the k best records by weighted term overlap, then id.
 
@@ -186,12 +206,7 @@ def retrieve(queries: DataFrame, query_id: str, text: str, records: DataFrame, r
     and no pairs are made. ``exclude``: columns that queries and records share; a record equal to
     the query in any of them is left out.
     """
-    asked = queries.select(F.col(query_id).alias("query_id"), query_terms(F.col(text)).alias("_terms"), *(F.col(c).alias(f"_x_{c}") for c in exclude))
-    low = records.select(record_id, *exclude, *(F.lower(c).alias(f"_f_{n}") for n, c in fields.items()))
-    kinds = f"query_id {queries.schema[query_id].dataType.simpleString()}, {record_id} {records.schema[record_id].dataType.simpleString()}, score double"
-    found = [low.mapInArrow(_top_records(block, record_id, list(fields), list(exclude), k), kinds) for block in _query_blocks(asked)]
-    every = reduce(DataFrame.union, found, records.sparkSession.createDataFrame([], kinds))
-    return top_k(every.withColumn("score", F.bround("score", 6)), "query_id", "score", record_id, k)
+    return retrieve_modes(queries, query_id, text, records, record_id, fields, k, {"": tuple(exclude)}).drop("mode")
 
 
 def best_overlap(queries: DataFrame, query_id: str, text: str, records: DataFrame, record_id: str, record_text: str) -> DataFrame:

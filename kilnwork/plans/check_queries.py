@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from ..functions import payload as P, text as X
 from ..operators import aggregates as A, checks as V, retrieval as T, sequence as S, validate as G
+from ..sources.store import saved
 from .base import query
 from .record_queries import _SNIP, _asked, _history_fields, _records, _snippet
 from .table_queries import _NO, _OK, _rejected, _success
@@ -206,17 +207,23 @@ def failure_signal(t):
 def retrieval_checks(t):
     """Self-checks of the index: something is found, what is excluded is not, and no snippet leaks."""
     asked, records = _asked(t), _records(t)
-    found = lambda exclude: T.retrieve(asked, "query_id", "q", records, "experience_id", _history_fields(), 5, exclude)
-    checks = {"basic_retrieval": found(()).agg((F.count("*") > 0).alias("passed"))}
-    for name, column in (("task_id", "task_id"), ("family", "family"), ("patch_hash", "patch_hash")):
-        own = found((column,)).join(records.select("experience_id", F.col(column).alias("_r")), "experience_id").join(asked.select("query_id", F.col(column).alias("_q")), "query_id")
-        checks[f"exclude_{name}"] = own.agg((F.count_if(F.col("_r") == F.col("_q")) == 0).alias("passed"))
-    low = F.lower(_snippet())
+    modes = {"basic": (), "task_id": ("task_id",), "family": ("family",), "patch_hash": ("patch_hash",)}
+    every = saved(T.retrieve_modes(asked, "query_id", "q", records, "experience_id", _history_fields(), 5, modes), "retrieved")
+    found = lambda mode: every.filter(F.col("mode") == mode)
+    checks = {"basic_retrieval": found("basic").agg((F.count("*") > 0).alias("passed"))}
+    keys = ("task_id", "family", "patch_hash")
+    own = every.filter("mode <> 'basic'").join(records.select("experience_id", *(F.col(c).alias(f"_r_{c}") for c in keys)), "experience_id").join(asked.select("query_id", *keys), "query_id")
+    told = saved(own, "told")
+    for c in keys:
+        checks[f"exclude_{c}"] = told.filter(F.col("mode") == c).agg((F.count_if(F.col(f"_r_{c}") == F.col(c)) == 0).alias("passed"))
+    low, clean = F.lower(_snippet()), {}
     for name, terms in (("no_full_diff", ("diff --git",)), ("no_hidden_test", ("hidden_test", "tests_hidden")), ("no_gold_patch", ("gold_patch",))):
         leak = F.lit(False)
         for x in terms:
             leak |= F.contains(low, F.lit(x))
-        checks[name] = records.agg(F.bool_and(~leak).alias("passed"))
+        clean[name] = F.bool_and(~leak)
+    snippets = saved(records.agg(*(c.alias(name) for name, c in clean.items())), "snippets")  # one pass for all three
+    checks |= {name: snippets.select(F.col(name).alias("passed")) for name in clean}
     return V.check_report(checks).filter("name <> 'overall'")
 
 

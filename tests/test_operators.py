@@ -107,6 +107,16 @@ def test_retrieval_against_brute_force(spark, monkeypatch, block):
     assert {(r.r, r.q, r.overlap) for r in best.collect()} == {(r, -max(s)[1], max(s)[0]) for r, s in shares.items()}
 
 
+def test_several_exclusions_share_a_pass(spark):
+    records = spark.createDataFrame([(f"r{i:02}", " ".join("abcd"[: i % 4 + 1]), "fg"[i % 2]) for i in range(30)], "r string, one string, kind string")
+    queries = spark.createDataFrame([(1, "a b", "f"), (2, "c", "g"), (3, "d a", None)], "q int, text string, kind string")
+    given = (queries, "q", "text", records, "r", {"issue_summary": F.col("one")}, 3)
+    got = T.retrieve_modes(*given, {"all": (), "other": ("kind",)})
+    assert got._jdf.queryExecution().optimizedPlan().toString().count("MapInArrow") == 1
+    for mode, exclude in (("all", ()), ("other", ("kind",))):
+        assert sorted(map(tuple, got.filter(F.col("mode") == mode).drop("mode").collect())) == sorted(map(tuple, T.retrieve(*given, exclude).collect()))
+
+
 def test_loader_refuses_bad_records(spark):
     good = [("sft_v1", ["system", "user", "assistant"], True, True)]
     schema = "record_type string, roles array<string>, public_pass boolean, hidden_pass boolean"
