@@ -80,20 +80,54 @@ def _filter(grams: DataFrame) -> bytes:
     return bytes(out)
 
 
-def _text_grams(shared, sizes: list[int], kind: pa.DataType):
-    """id, size, gram of what a text shares with the filter; and its row number."""
+def _blocks(texts: pa.Array) -> Iterator[tuple[np.ndarray, list[bytes]]]:
+    """Places and bytes of neighbouring texts of about BLOCK bytes together; a longer one is alone."""
+    places, held, size = [], [], 0
+    for i, text in enumerate(texts):
+        if not text.is_valid:
+            continue
+        data = text.as_py().encode()
+        if held and size + len(data) > BLOCK:
+            yield np.array(places), held
+            places, held, size = [], [], 0
+        places.append(i)
+        held.append(data)
+        size += len(data)
+    if held:
+        yield np.array(places), held
+
+
+def _grams_of_all(texts: list[bytes], size: int, held: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """``grams_of`` each of the texts that pass the filter: which text, and the gram."""
+    if len(texts) == 1:
+        grams = grams_of(texts[0], size, held)
+        return np.zeros(len(grams), np.int64), grams
+    w = windows(b"".join(texts), size)
+    ends = np.cumsum([len(t) for t in texts])
+    p = _place(w, size, 8 * len(held))
+    at = np.flatnonzero((held[(p >> np.uint64(3)).astype(np.int64)] >> (p & np.uint64(7)).astype(np.uint8)) & 1)
+    of = np.searchsorted(ends, at, "right")
+    inside = at + size <= ends[of]  # a run over two texts is in neither
+    of, w = of[inside], w[at[inside]]
+    order = np.lexsort((w, of))
+    of, w = of[order], w[order]
+    first = np.ones(len(w), bool)
+    first[1:] = (of[1:] != of[:-1]) | (w[1:] != w[:-1])
+    return of[first], w[first]
+
+
+def _text_grams(shared, sizes: list[int]):
+    """at (the text's row number), size, gram of what a text shares with the filter. Short texts are
+    worked on together."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held = np.frombuffer(shared.value, np.uint8)
         for batch in batches:
-            for at, text in zip(batch.column(0), batch.column(1)):  # one text at a time outside of Arrow
-                if not text.is_valid:
-                    continue
-                data = text.as_py().encode()
+            for places, texts in _blocks(batch.column(1)):
                 for size in sizes:
-                    grams = grams_of(data, size, held)
+                    of, grams = _grams_of_all(texts, size, held)
                     if len(grams):
-                        yield pa.RecordBatch.from_arrays([pa.array([at.as_py()] * len(grams), kind), pa.array(np.full(len(grams), size, np.int32)), pa.array(grams.view("<i8"))], ["at", "size", "gram"])
+                        yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(places[of])), pa.array(np.full(len(grams), size, np.int32)), pa.array(grams.view("<i8"))], ["at", "size", "gram"])
 
     return run
 
@@ -112,12 +146,12 @@ def contains_pairs(texts: DataFrame, text_id: str, text: str, needles: DataFrame
     sizes = sorted(r["size"] for r in grams.select("size").distinct().collect())  # of SIZES
     out = spark.createDataFrame([], f"{text_id} {texts.schema['id'].dataType.simpleString()}, {needle_id} {spelled.schema['needle_id'].dataType.simpleString()}")
     if sizes:
-        found = _text_grams(spark.sparkContext.broadcast(_filter(grams)), sizes, pa.int64())
+        found = _text_grams(spark.sparkContext.broadcast(_filter(grams)), sizes)
         counted = texts.select("at", "text").mapInArrow(found, "at long, size int, gram long").groupBy("size", "gram").agg(F.count("*").alias("n"))
         # a needle with a gram that no text holds is in none
         held = grams.join(counted, ["size", "gram"], "left").groupBy("at").agg(F.min(F.struct(F.coalesce("n", F.lit(0)).alias("n"), "size", "gram", "place")).alias("x"))
         chosen = saved(held.filter("x.n > 0").select(F.col("at").alias("n_at"), "x.*"), "chosen")
-        found = _text_grams(spark.sparkContext.broadcast(_filter(chosen)), sizes, pa.int64())
+        found = _text_grams(spark.sparkContext.broadcast(_filter(chosen)), sizes)
         hits = saved(texts.select("at", "text").mapInArrow(found, "at long, size int, gram long"), "hits")
         keys = chosen.groupBy("size", "gram").agg(F.max("n").alias("n"))  # n: texts with the gram
         met = salted_lookup(hits, keys, ["size", "gram"], "n", "at").select("size", "gram", "at")

@@ -1,7 +1,9 @@
 import math
 import random
 from collections import Counter, defaultdict
+from types import SimpleNamespace
 
+import numpy as np
 import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
@@ -38,6 +40,19 @@ def test_grams_pass_the_filter_that_holds_them(spark):
         assert (substring.grams_of(data, size, __import__("numpy").frombuffer(held, "u1")) == grams).all()
 
 
+def test_grams_of_texts_together_are_those_of_each(monkeypatch):
+    monkeypatch.setattr(substring, "BLOCK", 300)
+    rng = random.Random(8)
+    texts = ["".join(rng.choice("abé") for _ in range(rng.randint(0, 40))) for _ in range(60)] + ["", None, "a" * 900, "ab"]
+    held = np.full(substring.FILTER_BITS // 8, 0x5A, np.uint8)
+    for size in substring.SIZES:
+        out = list(substring._text_grams(SimpleNamespace(value=held.tobytes()), [size])(iter([pa.RecordBatch.from_arrays([pa.array(range(len(texts))), pa.array(texts)], ["at", "text"])])))
+        got = {(i, g) for b in out for i, g in zip(b.column(0).to_pylist(), b.column(2).to_pylist())}
+        want = {(i, g) for i, t in enumerate(texts) if t for g in substring.grams_of(t.encode(), size, held).view("<i8").tolist()}
+        assert got == want and sum(b.num_rows for b in out) == len(want)
+        assert len(out) < 20  # not one batch a text
+
+
 def test_overlaps_of_intervals_once_each(spark):
     rng = random.Random(8)
     span = lambda: (lambda a: (a, a + rng.choice([0, 1, 3, 40, 700, -2])))(rng.randint(-300, 300))
