@@ -14,6 +14,16 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 #: Buckets that an exact quantile counts in each pass, and rows that it may collect in the end.
 BUCKETS, LAST_ROWS = 4096, 20_000
+#: Rows that a task makes states of, about.
+TASK_ROWS = 250_000
+
+
+def dealt(df: DataFrame, *columns: str) -> DataFrame:
+    """``df`` in partitions of about TASK_ROWS rows by a hash of all its columns, or of ``columns``. A
+    task that makes states of many keys sorts its rows, and sets of values grow with them: so what
+    it holds does not depend on the size of the table. It moves the rows once: select what is needed
+    first."""
+    return df.repartition(max(1, -(-df.count() // TASK_ROWS)), *(columns or df.columns))
 
 
 def distinct_states(df: DataFrame, keys: list[str], value: Column, lg: int = 12) -> DataFrame:

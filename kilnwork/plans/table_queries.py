@@ -439,15 +439,18 @@ def exact_quantiles(t):
 def sketch_bounds(t):
     """States kept for each event type and hour, merged by type and once more over all: whether the
     distinct users and the median that they tell lie within the stated error of the exact ones."""
-    e = t("events").withColumn("hour", F.date_trunc("hour", F.col("ts").cast("timestamp")))
+    e = K.dealt(t("events").select("event_type", "user_id", "value", F.date_trunc("hour", F.col("ts").cast("timestamp")).alias("hour")), "event_type", "hour")
     users = K.merged(K.distinct_states(e, ["event_type", "hour"], F.col("user_id")), ["event_type"])
     values = K.merged_quantiles(K.quantile_states(e, ["event_type", "hour"], F.col("value")), ["event_type"])
     both = users.withColumnRenamed("state", "u").join(values.withColumnRenamed("state", "v"), "event_type")
     every = K.merged(users, []).withColumnRenamed("state", "u").join(F.broadcast(K.merged_quantiles(values, []).withColumnRenamed("state", "v")))  # one row each
     told = both.unionByName(every.withColumn("event_type", F.lit("all"))).select("event_type", K.distinct_count(F.col("u")).alias("users"), F.kll_sketch_get_quantile_double("v", F.lit(0.5)).alias("median"))
     named = e.select("event_type", "user_id", "value").union(e.select(F.lit("all"), "user_id", "value"))
-    exact = named.groupBy("event_type").agg(F.count_distinct("user_id").alias("n"), F.count("value").alias("rows"))
-    below = named.join(told.select("event_type", "median"), "event_type").groupBy("event_type").agg(F.count_if(F.col("value") < F.col("median")).alias("below"), F.count_if(F.col("value") <= F.col("median")).alias("upto"))
+    seen = K.dealt(t("events").select("event_type", "user_id"), "user_id")  # the rows of a user in one task, so sets of users are small
+    each = seen.distinct().groupBy("event_type").agg(F.count("user_id").alias("n"))
+    each = each.union(seen.select("user_id").distinct().agg(F.lit("all"), F.count("user_id")))
+    exact = named.groupBy("event_type").agg(F.count("value").alias("rows")).join(each, "event_type")
+    below = named.join(F.broadcast(told.select("event_type", "median")), "event_type").groupBy("event_type").agg(F.count_if(F.col("value") < F.col("median")).alias("below"), F.count_if(F.col("value") <= F.col("median")).alias("upto"))
     close = told.join(exact, "event_type").join(below, "event_type")
     return close.select(
         "event_type", (F.abs(F.col("users") - F.col("n")) <= 3 / 64 * F.col("n") + 0.5).alias("distinct_close"),

@@ -49,3 +49,11 @@ def test_source_parts_from_sql(spark):
     assert [r[:3] for r in ask("chunks")][:3] == [(1, "class", "K"), (1, "file_level", ""), (1, "function", "f")]
     with pytest.raises(Exception, match="second argument"):
         ask("other")
+
+
+def test_rows_of_a_task_are_bounded(spark, monkeypatch):
+    monkeypatch.setattr(K, "TASK_ROWS", 100)
+    df = spark.range(0, 5000, 1, 1).selectExpr("id", "id % 3 AS k", "nullif(id % 7, 0) AS x")
+    sizes = [r["count"] for r in K.dealt(df).groupBy(F.spark_partition_id().alias("p")).count().collect()]
+    assert sum(sizes) == 5000 and max(sizes) < 200
+    assert K.dealt(df.limit(0)).count() == 0
