@@ -19,6 +19,7 @@ from itertools import groupby
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame, functions as F
 from pyspark.sql.types import ArrayType, BinaryType, IntegerType, LongType, StructField, StructType
@@ -33,25 +34,42 @@ ORDER_GROUPS = 1 << 16
 POINT_GROUPS = 64
 #: Points of a leaf and of a cell that one task joins; children of an inner node; counts compared at a time.
 LEAF, FANOUT, CELLS = 256, 16, 1 << 21
+#: Nodes of a cell that needs no tree; members of a larger one's largest component that its other nodes are tried against first.
+FEW, MEMBERS = 8, 16
+#: Bytes of neighbouring texts whose words are hashed together.
+PIECE = 1 << 21
 #: Bits of the filter that wanted texts pass before they are moved, at most (2 MB).
 FILTER_BITS = 1 << 24
-#: Words of a worker's cache of hashes, and the longest of them in bytes.
-CACHE_WORDS, CACHED_BYTES = 100_000, 64
-
-
-class _Hashes(dict):
-    """64-bit hashes of words, filled when asked."""
-
-    def __missing__(self, word: bytes) -> int:
-        h = xxhash.xxh64_intdigest(word, 7)
-        if len(word) <= CACHED_BYTES:
-            if len(self) >= CACHE_WORDS:
-                self.clear()
-            self[word] = h
-        return h
-
-
-_hashes = _Hashes()
+#: Bytes of the longest word whose hash is made together with those of others (a multiple of 8).
+LONG_WORD = 64
+
+
+def _mixed(h: np.ndarray) -> np.ndarray:
+    """SplitMix64's last step."""
+    h = (h ^ (h >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+    h = (h ^ (h >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+    return h ^ (h >> np.uint64(31))
+
+
+def word_hashes(words: pa.Array) -> np.ndarray:
+    """64-bit hashes of words: the length and then each eight bytes are mixed in; long words go one
+    by one through XXH64."""
+    words = words.cast(pa.binary())
+    ends = np.frombuffer(words.buffers()[1], "<i4")[words.offset : words.offset + len(words) + 1].astype(np.int64)
+    at, size = ends[:-1], np.diff(ends)
+    data = words.buffers()[2].to_pybytes() if words.buffers()[2] else b""
+    eight = np.ndarray(len(data) + 1, "<u8", data + bytes(8), strides=(1,))  # the eight bytes from each place on
+    h = _mixed(size.astype("<u8") + np.uint64(0x9E3779B97F4A7C15))
+    some = np.flatnonzero((size > 0) & (size <= LONG_WORD))
+    for i in range(0, LONG_WORD, 8):
+        some = some[size[some] > i]
+        if not len(some):
+            break
+        spare = np.uint64(8) * np.maximum(8 - (size[some] - i), 0).astype("<u8")
+        h[some] = _mixed(h[some] ^ (eight[at[some] + i] << spare)) + np.uint64(0x9E3779B97F4A7C15)
+    for i in np.flatnonzero(size > LONG_WORD):
+        h[i] = xxhash.xxh64_intdigest(data[at[i] : at[i] + size[i]], 7)
+    return h
 
 
 def words_of(text: str | None) -> list[bytes]:
@@ -63,16 +81,48 @@ def runs(words: list[bytes], shingle: int) -> np.ndarray:
     """A hash of each run of ``shingle`` words (of all words of a shorter text), as often as it is
     there: the words' 64-bit hashes times unrelated odd numbers of their places, so that two
     different runs are equal once in 2^64."""
-    if not words:
-        return np.zeros(0, "<u8")
-    h = np.fromiter(map(_hashes.__getitem__, words), dtype="<u8", count=len(words))
-    size = min(shingle, len(words))
+    return _runs(word_hashes(pa.array(words, pa.binary())), shingle)
+
+
+def _runs(h: np.ndarray, shingle: int) -> np.ndarray:
+    """``runs`` of words by their hashes."""
+    if not len(h):
+        return h
+    size = min(shingle, len(h))
     out = np.full(len(h) - size + 1, size, dtype="<u8")
     for i in range(size):
         out += h[i : i + len(out)] * np.uint64(xxhash.xxh64_intdigest(b"place %d" % i) | 1)
     return out
 
 
+def hashed_texts(text: pa.Array, shingle: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+    """Neighbouring texts of about PIECE bytes at a time: the hashes of their words, where each
+    text's words end, and the same for its runs."""
+    text = pc.fill_null(text, "")
+    upto = np.cumsum(pc.binary_length(text).to_numpy(zero_copy_only=False), dtype=np.int64)
+    at = 0
+    while at < len(text):
+        end = max(at + 1, int(np.searchsorted(upto, (upto[at - 1] if at else 0) + PIECE, "right")))
+        words = pc.ascii_split_whitespace(pc.ascii_lower(text.slice(at, end - at)))
+        held, words = pc.list_value_length(words).to_numpy(zero_copy_only=False), words.flatten()
+        some = pc.binary_length(words).to_numpy(zero_copy_only=False) > 0  # white space at an end leaves an empty word
+        ends = np.concatenate([[0], np.cumsum(some)])[np.cumsum(held)]
+        h = word_hashes(words.filter(pa.array(some)))
+        starts = np.concatenate([[0], ends[:-1]])
+        n = ends - starts
+        made = np.where(n > 0, np.maximum(n - shingle + 1, 1), 0)
+        run_ends = np.cumsum(made)
+        found = np.zeros(run_ends[-1], dtype="<u8")
+        if len(h) >= shingle:
+            first = np.arange(len(found)) + np.repeat(starts - (run_ends - made), made)
+            every = _runs(h, shingle)
+            found = every[np.minimum(first, len(every) - 1)]
+        for i in np.flatnonzero((n > 0) & (n < shingle)):  # a text of one run
+            found[run_ends[i] - 1] = _runs(h[starts[i] : ends[i]], shingle)[0]
+        yield h, ends, found, run_ends
+        at = end
+
+
 def token_set(text: str | None, shingle: int = 5) -> np.ndarray:
     """Ascending distinct hashes of the runs of ``shingle`` words."""
     return np.unique(runs(words_of(text), shingle))
@@ -82,12 +132,8 @@ def _counter(shingle: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(ORDER_GROUPS, dtype=np.int64)
         for batch in batches:
-            for x in batch.column(0):
-                groups = (runs(words_of(x.as_py()), shingle) & np.uint64(ORDER_GROUPS - 1)).view("<i8")
-                if len(groups) < ORDER_GROUPS // 16:
-                    np.add.at(total, groups, 1)
-                else:
-                    total += np.bincount(groups, minlength=ORDER_GROUPS)
+            for _, _, found, _ in hashed_texts(batch.column(0), shingle):
+                total += np.bincount((found & np.uint64(ORDER_GROUPS - 1)).view("<i8"), minlength=ORDER_GROUPS)
         held = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(held, pa.int32()), pa.array(total[held])], ["g", "n"])
 
@@ -109,8 +155,9 @@ def first_tokens(tokens: np.ndarray, ranks: np.ndarray, similarity: int) -> np.n
     n = len(tokens)
     if not n:
         return tokens
-    order = np.argsort((ranks[(tokens & np.uint64(ORDER_GROUPS - 1)).view("<i8")] << np.uint64(48)) | (tokens >> np.uint64(16)), kind="stable")
-    return tokens[order[: n + 1 + -similarity * n // 100]]
+    place = (ranks[(tokens & np.uint64(ORDER_GROUPS - 1)).view("<i8")] << np.uint64(48)) | (tokens >> np.uint64(16))  # no two alike
+    some = min(n, n + 1 + -similarity * n // 100)
+    return tokens[np.argpartition(place, some - 1)[:some]] if some < n else tokens
 
 
 def point(tokens: np.ndarray) -> np.ndarray:
@@ -141,39 +188,42 @@ def _prints(ranks, shingle: int, similarity: int):
     @F.arrow_udf(kind)
     def run(text: pa.Array) -> pa.Array:
         """A text that stands in the batch already gets its key and size only."""
-        keys, sizes, first, counts, known = [], [], [], [], {}
-        for x in text:  # one text at a time outside of Arrow
-            words = words_of(x.as_py())
-            keys.append(key := _key(words))
-            if not words or key in known:
-                sizes.append(known.get(key, 0))
-                first.append(None)
-                counts.append(None)
-                continue
-            tokens = np.unique(runs(words, shingle))
-            known[key] = len(tokens)
-            sizes.append(len(tokens))
-            first.append(first_tokens(tokens, ranks.value, similarity).view("<i8"))
-            counts.append(packed(point(tokens)))
+        keys, sizes, first, counts, known, order = [], [], [], [], {}, ranks.value
+        for h, ends, found, run_ends in hashed_texts(text, shingle):
+            at = start = 0
+            for end, upto in zip(ends.tolist(), run_ends.tolist()):
+                own, mine, at, start = h[at:end], found[start:upto], end, upto
+                keys.append(key := _key(own))
+                if not len(own) or key in known:
+                    sizes.append(known.get(key, 0))
+                    first.append(None)
+                    counts.append(None)
+                    continue
+                tokens = np.unique(mine)
+                known[key] = len(tokens)
+                sizes.append(len(tokens))
+                first.append(first_tokens(tokens, order, similarity).view("<i8"))
+                counts.append(packed(point(tokens)))
         columns = [pa.array(keys, pa.binary()), pa.array(sizes, pa.int32()), pa.array(first, pa.list_(pa.int64())), pa.array(counts, pa.binary())]
         return pa.StructArray.from_arrays(columns, ["key", "size", "first", "counts"])
 
     return run
 
 
-def _key(words: list[bytes]) -> bytes:
-    return xxhash.xxh128_digest(b" ".join(words))
+def _key(hashes: np.ndarray) -> bytes:
+    """Of a text by its words' hashes: equal words are equal keys, whatever white space is between."""
+    return xxhash.xxh128_digest(hashes.tobytes())
 
 
-def _wanted_keys(bits):
+def _wanted_keys(bits, shingle: int):
     """The key of a text, or null where the filter has no bit for it."""
     @F.arrow_udf(BinaryType())
     def run(text: pa.Array) -> pa.Array:
         held, last, out = bits.value, 8 * len(bits.value) - 1, []
-        for x in text:
-            key = _key(words_of(x.as_py()))
-            at = xxhash.xxh64_intdigest(key, 42) & last
-            out.append(key if held[at >> 3] >> (at & 7) & 1 else None)
+        for h, ends, _, _ in hashed_texts(text, shingle):
+            for key in (_key(x) for x in np.split(h, ends[:-1])):
+                at = xxhash.xxh64_intdigest(key, 42) & last
+                out.append(key if held[at >> 3] >> (at & 7) & 1 else None)
         return pa.array(out, pa.binary())
 
     return run
@@ -193,7 +243,10 @@ def key_filter(keys: DataFrame, n: int) -> bytes:
 def _sets(shingle: int):
     @F.arrow_udf(ArrayType(LongType()))
     def run(text: pa.Array) -> pa.Array:
-        return pa.array([token_set(x.as_py(), shingle).view("<i8") for x in text], pa.list_(pa.int64()))
+        sets = []
+        for _, _, found, ends in hashed_texts(text, shingle):
+            sets += [np.unique(x).view("<i8") for x in np.split(found, ends[:-1])]
+        return pa.array(sets, pa.list_(pa.int64()))
 
     return run
 
@@ -247,6 +300,16 @@ def cell_pairs(nodes: np.ndarray, roots: np.ndarray, sizes: np.ndarray, counts:
     points = [unpacked(c) for c in counts]
     groups = np.array([len(p) for p in points])
     found: set[tuple[int, int]] = set()
+    if len(nodes) <= FEW:
+        for i in guests.tolist():
+            for j in hosts.tolist():
+                m, n, least = sizes[i], sizes[j], min(groups[i], groups[j])
+                if roots[i] == roots[j] or 100 * m < similarity * n or 100 * n < similarity * m or nodes[i] > nodes[j] and len(guests) == len(hosts) == len(nodes):
+                    continue
+                bound = np.minimum(*(points[x] if groups[x] == least else folded(points[x][None], least)[0] for x in (i, j))).sum()
+                if fits(bound, m, n, similarity):
+                    found.add((min(nodes[i], nodes[j]), max(nodes[i], nodes[j])))
+        return found
     for g in np.unique(groups[guests]):
         for h in np.unique(groups[hosts]):
             if 200 * min(g, h) < similarity * max(g, h):
@@ -336,7 +399,7 @@ class _Join:
         wanted = saved(self.nodes.select("node", "key").join(wanted, "node"), "wanted")
         bits = self.docs.sparkSession.sparkContext.broadcast(key_filter(wanted, wanted.count()))
         text = F.col("text").cast("string")
-        texts = self.docs.select(_wanted_keys(bits)(text).alias("key"), text.alias("text")).filter("key is not null").join(wanted, "key")
+        texts = self.docs.select(_wanted_keys(bits, self.shingle)(text).alias("key"), text.alias("text")).filter("key is not null").join(wanted, "key")
         sets = texts.groupBy("node").agg(F.first("text").alias("text")).select("node", _sets(self.shingle)("text").alias("hashes"))
         sets = saved(sets, "sets")
         both = F.size(F.array_intersect("hashes_a", "hashes_b"))
@@ -361,6 +424,16 @@ class _Join:
         cells = saved(cells.select("w", F.col("x.root").alias("most"), F.col("x.lead").alias("lead"), "n", (F.col("n") - F.col("x.n")).alias("others")), "open")
         return None if cells.isEmpty() else salted_lookup(rooted, cells, ["w"], "n", "node")
 
+    def members(self, cells: DataFrame) -> DataFrame:
+        """Of each cell of more than FEW nodes, the nodes outside its largest component with MEMBERS of
+        the nodes inside of it. They go by a hash of the node, so that like cells give like pairs.
+        Nodes of a large group of near copies link with many of it, and hardly all with its lead."""
+        large = cells.filter(F.col("n") > FEW)
+        own = large.filter("root = most").groupBy("w").agg(F.first("others").alias("others"), F.array_distinct(F.array(*(F.min_by("node", F.xxhash64("node", F.lit(i))) for i in range(MEMBERS)))).alias("own"))
+        met = salted_lookup(large.filter("root != most").select("w", "node"), own, ["w"], "others", "node").select("own", "node").distinct()
+        met = met.select("node", F.explode("own").alias("own"))
+        return met.select(F.least("own", "node").alias("a"), F.greatest("own", "node").alias("b")).distinct()
+
     def trees(self, cells: DataFrame) -> DataFrame:
         """Pairs that the R-trees of the open cells can't tell apart. A cell that fits into a leaf is
         one tree, and equal cells are joined once; of a larger one, leaves of all its nodes meet
@@ -397,7 +470,8 @@ def ngram_components(docs: DataFrame, similarity: int = 80, shingle: int = 5) ->
     """
     docs = docs.select("doc_id", "text")
     ranks = docs.sparkSession.sparkContext.broadcast(group_ranks(docs, shingle))
-    prints = docs.select("doc_id", F.monotonically_increasing_id().alias("at"), _prints(ranks, shingle, similarity)(F.col("text").cast("string")).alias("x"))
+    text = F.col("text").cast("string")
+    prints = docs.select("doc_id", F.monotonically_increasing_id().alias("at"), _prints(ranks, shingle, similarity)(text).alias("x"))
     prints = saved(prints.select("doc_id", "at", "x.*"), "prints")
     ids = prints.select("doc_id", "at", "key", "size")
     keys = saved(ids.filter("size > 0").groupBy("key").agg(F.min("at").alias("node"), F.min("doc_id").alias("rep"), F.count("*").alias("n")), "keys")
@@ -414,7 +488,7 @@ def ngram_components(docs: DataFrame, similarity: int = 80, shingle: int = 5) ->
     cells = join.open_cells()
     if cells is not None:
         apart = cells.filter("root != most").select(F.least("lead", "node").alias("a"), F.greatest("lead", "node").alias("b"))
-        join.verify(join.bounded(saved(_favourites(apart), "leads")))
+        join.verify(join.bounded(saved(_favourites(apart).union(join.members(cells)).distinct(), "leads")))
         cells = join.open_cells()
     if cells is not None:
         join.verify(join.trees(cells))

@@ -1,6 +1,7 @@
 import random
 
 import numpy as np
+import pyarrow as pa
 import pytest
 import xxhash
 
@@ -109,3 +110,30 @@ def test_large_counts_and_long_texts(spark):
 
 def test_empty_table(spark):
     assert ngram_components(spark.createDataFrame([], "doc_id long, text string")).count() == 0
+
+
+def test_a_group_of_near_copies_is_not_squared(spark, monkeypatch):
+    """Pairs of a group link by chance and not all with its lead; what the trees give stays linear."""
+    rng, made, trees = random.Random(7), [], ngram_join._Join.trees
+    base = [f"w{i}" for i in range(150)]
+    rows = [(i, " ".join(w if rng.random() > 0.012 else f"x{rng.random()}" for w in base)) for i in range(160)]
+
+    def counted(self, cells):
+        made.append(pairs := ngram_join.saved(trees(self, cells), "counted"))
+        return pairs
+
+    monkeypatch.setattr(ngram_join._Join, "trees", counted)
+    assert sorted((tuple(r) for r in ngram_components(spark.createDataFrame(rows, "doc_id long, text string")).collect()), key=repr) == brute(rows)
+    assert sum(p.count() for p in made) <= 8 * len(rows)
+
+
+def test_words_of_a_batch_are_hashed_as_one_by_one(monkeypatch):
+    rng = random.Random(2)
+    texts = [None, "", " ", "a", *("".join(rng.choice(["a", "B", " ", "\n\t", "\x1c\x85", "é", "x" * 70, "word", "\x0b\r"]) for _ in range(rng.randint(0, 40))) for _ in range(300)), ""]
+    for piece in (40, 1 << 21):
+        monkeypatch.setattr(ngram_join, "PIECE", piece)
+        found = []
+        for _, _, each, ends in ngram_join.hashed_texts(pa.array(["cut", *texts]).slice(1), 5):
+            found += np.split(each, ends[:-1])
+        assert len(found) == len(texts)
+        assert all(x.tolist() == runs(words_of(t), 5).tolist() for x, t in zip(found, texts))
