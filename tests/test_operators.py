@@ -6,7 +6,7 @@ from types import SimpleNamespace
 import numpy as np
 import pyarrow as pa
 import pytest
-from pyspark.sql import functions as F
+from pyspark.sql import Row, functions as F
 
 from kilnwork.operators import index as N, joins as J, retrieval as T, sequence as S, substring, validate as G
 from kilnwork.sources import files, store
@@ -269,6 +269,17 @@ def test_a_range_is_closed_by_its_postings_and_packed(spark, monkeypatch):
     assert sorted((r.q, r.doc, r["rank"], round(r.score, 6)) for r in found.best.collect()) == [(*x[:3], pytest.approx(x[3], abs=1.1e-6)) for x in brute_search(docs, q, 4)]
 
 
+def test_ranges_that_a_filter_leaves_out_are_not_unpacked(spark):
+    docs = [(i, f"w{i % 7} w{i % 5} common", 0.1 if i < 8 else None) for i in range(40)]
+    index = N.build_index(spark.createDataFrame(docs, "d long, t string, s double").coalesce(1), "d", "t", 4, "s")
+    table = index.ranges.orderBy("range").toArrow()
+    held = [any(x is not None for x in r) for r in table.column("static").to_pylist()]
+    table = table.set_column(table.schema.get_field_index("at"), "at", pa.array([a if h else b"" for a, h in zip(table.column("at").to_pylist(), held)], pa.binary()))
+    asked = N._Asked([1], [Row(query=1, term=w, c=1.0) for w in ("w1", "common")], pa.int32())
+    found = [r for b in N._searcher(asked, 3, 0.5, True, False)(iter(table.combine_chunks().to_batches())) for r in b.to_pylist()]
+    assert not all(held) and {r["doc"] for r in found} <= set(range(8)) and len(found) >= 3
+
+
 def test_code_search_moves_no_text_to_its_files(spark, monkeypatch):
     from kilnwork.plans import base, queries  # noqa: F401
 
